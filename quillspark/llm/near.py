@@ -1,3 +1,284 @@
-"""To come."""
+"""Contents that are lightly edited versions of one another (problem 4).
 
-QUERIES: dict = {}
+Every distinct set of words gets an odd sketch: its MinHash samples are folded into a bitmap by parity, so the number
+of ones in the XOR of two sketches tells how many samples differ. Candidates come from bands: the words are dealt to
+parts by hash, as many parts as a set of that size needs, and each part that is still telling is one band value. Sets
+that share 0.8 of their union differ in few words and so agree in whole parts. Sketches drop candidates that are
+clearly less similar, and the words themselves decide the rest.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import cut, table
+from .form import Form, learned, words
+from .copies import record
+
+THRESHOLD = 0.8
+MIN_LETTERS_DIGITS = 60
+MIN_WORDS = 15
+#: MinHash samples, and bits of the odd sketch they are folded into.
+SAMPLES, BITS = 128, 256
+#: Words in a part on average, and how often sets of up to so many words are dealt to parts.
+PART_WORDS, DEALINGS = 5.0, ((30, 5), (60, 4), (1 << 30, 2))
+#: A part is a band value if its words together are rare enough for at most 2 ** SLACK sets to hold them all by chance.
+#: Words in over COMMON of all sets tell nothing.
+SLACK, COMMON = 4.0, 0.05
+#: Counters for the frequency of words; their number is fixed, so the table has the same size whatever the corpus.
+SLOTS, CHUNK = 1 << 20, 1 << 14
+
+_U = np.uint64
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers whose bits all depend on all bits (a published finalizer)."""
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+def most_flips(threshold: float = THRESHOLD, sigmas: float = 5.0) -> int:
+    """Ones in the XOR of two sketches beyond which sets are less similar than the threshold, but for a deviation of
+    ``sigmas`` standard deviations, which covers the spread of the samples and that of the bits they fall on."""
+    differ = SAMPLES * (1 - threshold)
+    keep = (1 - 2 / BITS) ** (2 * differ)
+    expected = BITS / 2 * (1 - keep)
+    samples = math.sqrt(SAMPLES * threshold * (1 - threshold)) * 2 * keep
+    return math.ceil(expected + sigmas * math.hypot(samples, math.sqrt(BITS * (1 - keep * keep)) / 2))
+
+
+def similarity(flips: np.ndarray) -> np.ndarray:
+    """The estimate of Jaccard similarity from the number of ones in the XOR of two sketches."""
+    return 1 - np.log(np.maximum(1 - 2 * flips / BITS, 1e-9)) / np.log(1 - 2 / BITS) / 2 / SAMPLES
+
+
+def sketch(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Odd sketches, one row of bytes per set; ``hashes`` holds the sets one after another from ``starts`` on."""
+    rng = np.random.default_rng(7)
+    low = (hashes & _U(0xFFFFFFFF)).astype(np.uint32)
+    multiply, add = rng.integers(1, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
+    cells = np.empty((SAMPLES, len(starts)), np.int64)
+    base = np.arange(len(starts), dtype=np.int64) * BITS
+    scrambled = low ^ (low >> np.uint32(15))
+    for k in range(SAMPLES):
+        x = scrambled * multiply[k] + add[k]
+        x ^= x >> np.uint32(16)
+        x *= np.uint32(0x45D9F3B)
+        least = np.minimum.reduceat(x, starts).astype(np.uint64)
+        cells[k] = base + (_mix(least * _U(SAMPLES) + _U(k)) % _U(BITS)).astype(np.int64)
+    ones = np.bincount(cells.ravel(), minlength=len(starts) * BITS).astype(np.uint8) & 1
+    return np.packbits(ones.reshape(-1, BITS), axis=1)
+
+
+def _levels(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The size level of each set (levels double from MIN_WORDS on), and whether a set at the threshold's size ratio
+    above it lies on the next level."""
+    level = np.maximum(0, np.floor(np.log2(np.maximum(n, 1) / MIN_WORDS) + 1e-9)).astype(np.int64)
+    return level, np.floor(n / THRESHOLD + 1e-9) >= MIN_WORDS * 2.0 ** (level + 1)
+
+
+def bands(hashes: np.ndarray, rarity: np.ndarray, least: float, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(set number, band value) of the telling parts of every set, on its own level and where needed on the next. A part
+    tells if the ``rarity`` of its words, in bits, sums to ``least`` or more."""
+    n = np.diff(np.append(starts, len(hashes)))
+    owner = np.repeat(np.arange(len(n)), n)
+    level, above = _levels(n)
+    sets, values = [], []
+    for lv in range(int(level.max(initial=0)) + 2):
+        on = (level == lv) | (above & (level == lv - 1))
+        if not on.any():
+            continue
+        take = on[owner]
+        h, o, w = hashes[take], owner[take], rarity[take]
+        parts = max(2, round(MIN_WORDS * 2.0**lv * math.sqrt(2) / PART_WORDS))
+        for dealing in range(next(d for most, d in DEALINGS if MIN_WORDS * 2.0**lv < most)):
+            salt = _U(lv * 64 + dealing + 1)
+            part = (_mix(h ^ _mix(np.array([salt]))) % _U(parts)).astype(np.int64)
+            cell = o * parts + part
+            order = np.argsort(cell, kind="stable")
+            cell = cell[order]
+            first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+            total = np.add.reduceat(_mix(h[order] ^ salt), first)
+            telling = np.add.reduceat(w[order], first) >= least
+            cell, total = cell[first][telling], total[telling]
+            sets.append(cell // parts)
+            values.append(_mix(total + (cell % parts).astype(np.uint64) * _U(0xD6E8FEB86659FD93) + salt))
+    if not sets:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    return np.concatenate(sets), np.concatenate(values)
+
+
+def _hash_words(tokens: list[str]) -> np.ndarray:
+    codes, unique = pd.factorize(np.array(tokens, dtype=object))
+    return np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in unique), np.uint64, len(unique))[codes]
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (_mix(hashes ^ _U(5)) % _U(SLOTS)).astype(np.int64)
+
+
+def word_rarity(paragraphs: DataFrame, form: Form) -> tuple[np.ndarray, float]:
+    """How rare words are, in bits by counter, and how many bits make a part telling. All rows are counted; equal
+    contents count once per batch, so that a text copied all over the corpus doesn't make its words common. What comes
+    to the driver is one table of SLOTS counters, whatever the corpus; words that share a counter seem less rare."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        n = 0
+        for batch in batches:
+            tokens: list[str] = []
+            for c in set(batch.column(0).to_pylist()):
+                if c is not None and len(c) >= MIN_LETTERS_DIGITS:
+                    distinct = set(words(form(c)))
+                    if len(distinct) >= MIN_WORDS:
+                        n += 1
+                        tokens.extend(distinct)
+            if tokens:
+                total += np.bincount(_slots(_hash_words(tokens)), minlength=SLOTS)
+        yield pa.RecordBatch.from_arrays([
+            pa.array([-1, *range(SLOTS // CHUNK)], pa.int32()),
+            pa.array([np.array([n], np.int64).tobytes(), *(total[k : k + CHUNK].tobytes() for k in range(0, SLOTS, CHUNK))], pa.binary())], ["chunk", "counts"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in group.column("counts").to_pylist())
+        return pa.table({"chunk": group.column("chunk")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "chunk int, counts binary"
+    got = {r.chunk: np.frombuffer(r.counts, np.int64) for r in paragraphs.select("content").mapInArrow(count, schema).groupBy("chunk").applyInArrow(add, schema).collect()}
+    n = max(2, int(got.get(-1, [0])[0]))
+    seen = np.concatenate([got[k] for k in range(SLOTS // CHUNK)]) if got else np.zeros(SLOTS, np.int64)
+    bits = np.where(seen > n * COMMON, 0, np.log2(n / np.maximum(seen, 1)))
+    return np.clip(np.round(bits * 4), 0, 255).astype(np.uint8), max(1.0, math.log2(n) - SLACK)
+
+
+_SCAN = "id long, key binary, words_id long, n int, sketch array<long>, bands array<long>"
+
+
+def scanned(paragraphs: DataFrame, form: Form, rarity: np.ndarray, least: float) -> DataFrame:
+    """One row per eligible paragraph: its key among copies (problem 5), the id of its set of words, that set's size,
+    odd sketch and band values. Sketch and bands stand once per distinct set of a batch, else they are null."""
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, content, is_table = (batch.column(k).to_pylist() for k in range(3))
+            seen: dict = {}
+            sets: dict = {}
+            rows, tokens, starts = [], [], []
+            for i, c, t in zip(ids, content, is_table):
+                if c is None or len(c) < MIN_LETTERS_DIGITS:
+                    continue
+                got = seen.get((c, t))
+                if got is None:
+                    text = form(c)
+                    run = words(text)
+                    distinct = set(run)
+                    got = ()
+                    if len(distinct) >= MIN_WORDS and sum(map(len, run)) >= MIN_LETTERS_DIGITS:
+                        fields = record(c, t, form)[1] if t else ["".join(run)]
+                        codes = sorted(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in fields)
+                        got = xxhash.xxh3_128_digest(b"".join(codes), seed=int(t)), frozenset(distinct)
+                    seen[c, t] = got
+                if not got:
+                    continue
+                key, distinct = got
+                number = sets.get(distinct)
+                fresh = number is None
+                if fresh:
+                    number = sets[distinct] = len(starts)
+                    starts.append(len(tokens))
+                    tokens.extend(distinct)
+                rows.append((i, key, number, len(distinct), fresh))
+            if not rows:
+                continue
+            hashes = _hash_words(tokens)
+            begin = np.array(starts)
+            words_id = _mix(np.add.reduceat(_mix(hashes), begin)).view(np.int64)
+            odd = sketch(hashes, begin).view(np.int64)
+            owner, values = bands(hashes, rarity[_slots(hashes)] / 4, least, begin)
+            order = np.argsort(owner, kind="stable")
+            cuts = np.searchsorted(owner[order], np.arange(len(begin) + 1))
+            values = values[order].view(np.int64)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()),
+                pa.array(words_id[[r[2] for r in rows]]), pa.array([r[3] for r in rows], pa.int32()),
+                pa.array([odd[r[2]] if r[4] else None for r in rows], pa.list_(pa.int64())),
+                pa.array([values[cuts[r[2]] : cuts[r[2] + 1]] if r[4] else None for r in rows], pa.list_(pa.int64())),
+            ], ["id", "key", "words_id", "n", "sketch", "bands"])
+
+    kind = F.coalesce(F.lower("paragraph_type") == "table", F.lit(False))
+    return paragraphs.select(F.col("id").cast("long"), "content", kind.alias("t")).mapInArrow(scan, _SCAN)
+
+
+def hashed_words(contents: DataFrame, form: Form) -> DataFrame:
+    """(words_id, hashes) of rows (words_id, content): the 64-bit hashes of the different words of each content."""
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [_hash_words(list(set(words(form(c))))).view(np.int64) for c in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["words_id", "hashes"])
+
+    return contents.select("words_id", "content").mapInArrow(scan, "words_id long, hashes array<long>")
+
+
+def similar_sets(rows: DataFrame, paragraphs: DataFrame, form: Form, evidence: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """(words_a, words_b, jaccard): pairs of different sets of words that share ``threshold`` of their union.
+
+    ``rows`` comes from :func:`scanned`; ``evidence`` may hold further candidates (words_a, words_b). Copies take part
+    once, as the sets are joined and not the rows. A band value shared by many sets is split over tasks by the skew
+    join; no bucket is collected and none is capped.
+    """
+    fresh = rows.filter("sketch is not null")
+    sketches = fresh.groupBy("words_id").agg(F.first("sketch").alias("s"), F.first("n").alias("n"), F.min("id").alias("id"))
+    values = fresh.select(F.explode("bands").alias("v"), "words_id").distinct()
+    pairs = values.select("v", F.col("words_id").alias("words_a")).join(values.select("v", F.col("words_id").alias("words_b")), "v").filter("words_a < words_b").select("words_a", "words_b")
+    if evidence is not None:
+        pairs = pairs.unionByName(evidence)
+    side = lambda x: sketches.select(F.col("words_id").alias(f"words_{x}"), *[F.col("s")[k].alias(f"s{x}{k}") for k in range(BITS // 64)], F.col("n").alias(f"n_{x}"))
+    judged = pairs.distinct().join(side("a"), "words_a").join(side("b"), "words_b")
+    flips = sum((F.bit_count(F.col(f"sa{k}").bitwiseXOR(F.col(f"sb{k}"))) for k in range(BITS // 64)), F.lit(0))
+    close = judged.filter((flips <= most_flips(threshold)) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9))
+    close = cut(close.select("words_a", "words_b"), "near-pairs")
+    ends = close.select(F.explode(F.array("words_a", "words_b")).alias("words_id")).distinct()
+    first = rows.filter("sketch is not null").groupBy("words_id").agg(F.min("id").alias("id"))
+    contents = ends.join(first, "words_id").join(paragraphs.select("id", "content"), "id")
+    sets = cut(hashed_words(contents, form), "near-words")
+    a, b = (sets.select(F.col("words_id").alias(f"words_{x}"), F.col("hashes").alias(f"h_{x}")) for x in "ab")
+    shared = close.join(a, "words_a").join(b, "words_b").withColumn("both", F.size(F.array_intersect("h_a", "h_b")))
+    union = F.size("h_a") + F.size("h_b") - F.col("both")
+    # whole numbers decide, so that a share of exactly the threshold counts
+    thousandths = round(threshold * 1000)
+    return shared.filter(F.col("both") * 1000 >= union * thousandths).select("words_a", "words_b", (F.col("both") / union).alias("jaccard"))
+
+
+def _edited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The scanned rows, and the similar pairs of sets of words."""
+    paragraphs = table(spark, sf_dir, "paragraphs")
+    form = learned(paragraphs, "content")
+    rows = cut(scanned(paragraphs, form, *word_rarity(paragraphs, form)), "near-rows")
+    ids = rows.select("id", "words_id")
+    earlier = table(spark, sf_dir, "similarity_results").select("paragraph1_id", "paragraph2_id").distinct()
+    earlier = earlier.join(ids.select(F.col("id").alias("paragraph1_id"), F.col("words_id").alias("x")), "paragraph1_id").join(
+        ids.select(F.col("id").alias("paragraph2_id"), F.col("words_id").alias("y")), "paragraph2_id").filter("x <> y")
+    return rows, similar_sets(rows, paragraphs, form, earlier.select(F.least("x", "y").alias("words_a"), F.greatest("x", "y").alias("words_b")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of paragraphs, by the similar pairs of their sets of words; equal sets in different groups count too."""
+    rows, pairs = _edited(spark, sf_dir)
+    held = rows.select("words_id", "id", "key")
+    a, b = (held.select(F.col("words_id").alias(f"words_{x}"), F.col("id").alias(f"id_{x}"), F.col("key").alias(f"key_{x}")) for x in "ab")
+    mixed = held.groupBy("words_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x <> y").select(F.col("words_id").alias("words_a"), F.col("words_id").alias("words_b"))
+    linked = pairs.select("words_a", "words_b").unionByName(mixed).join(a, "words_a").join(b, "words_b").filter("key_a <> key_b and (words_a <> words_b or id_a < id_b)")
+    return linked.select(F.least("id_a", "id_b").alias("paragraph_a"), F.greatest("id_a", "id_b").alias("paragraph_b"))
+
+
+QUERIES = {"p4_found": p4_found}
