@@ -1,3 +1,183 @@
-"""To come."""
+"""Per-document text quality statistics and the verdict prose, list, table or junk (problem 10).
 
-QUERIES: dict = {}
+The statistics are built-in expressions over whole texts, a regular expression pass each. The verdict is an ordered
+rule list, induced from labelled documents by incremental reduced-error pruning and applied as one SQL CASE.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import cut, table
+
+# Frequent function words of English, German and French.
+COMMON_WORDS = """
+the of and to in is a an for be by on that this with as at from or it its are was were has have been not if any each no shall will may most them into so
+der die das des dem den und ist zu von mit auf für ein eine einer eines nicht wird wurde werden war sich als nach vor bei bis noch zum zur über unter ohne sobald
+le la les l de du un une et est à en pour que qui par sur dans ne se il elle au aux pas ni si sera été selon avec sous dès avant soit ce cette ont plus
+"""
+#: Labelled documents to learn from; beyond these a seeded sample of so many is taken.
+MOST_LABELS = 4000
+_COMMON = "(?iU)(?<![\\w])(?:" + "|".join(COMMON_WORDS.split()) + ")(?![\\w])"
+_LIST = r"(?mU)^[ \t]*(?:[-–—*•·‣▪◦]|\(?(?:\d{1,3}|[a-zA-Z]|[ivx]{1,4})[.)])[ \t]+\S[^\n]*$"
+# lines of cells between bars, or three cells and more between semicolons, tabs or wide gaps
+_TABLE = (r"(?mU)^(?=[^\n]*\w)[^\n|]{0,80}\|[^\n]*$|^(?:[^\n;]{0,40};){2}[^\n]*$|^(?:[^\n\t]{0,40}\t){2}[^\n]*$"
+          r"|^(?:[^\n]{1,40}?\S {3,}){2}[^\n]*$")
+_REPEATED = r"(?U)(\b\w+\b)(?:\W{1,2}\1\b){3,}"
+_LONG = r"(?U)[\w+/=]{30,}"
+_CONSONANTS = r"(?iU)\w*[bcdfghjklmnpqrstvwxz]{4}\w*"
+
+
+def _share(text: Column, pattern: str) -> Column:
+    """The share of a text's characters that belong to matches of a pattern."""
+    return (F.col("n_chars") - F.length(F.regexp_replace(text, pattern, ""))) / F.greatest(F.col("n_chars"), F.lit(1))
+
+
+FEATURES = ["mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "mean_line_length", "list_share", "table_share", "junk_share",
+            "repeated_share", "long_share", "consonant_share", "odd_share", "digit_share"]
+
+
+def statistics(documents: DataFrame) -> DataFrame:
+    """(doc_id, n_chars, n_words, n_lines and FEATURES) of each document's whole text; a null text counts as empty, and
+    an empty text has zeros."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    base = documents.select("doc_id", text.alias("text")).withColumn("n_chars", F.length("text"))
+    t = F.col("text")
+    solid = F.greatest(F.length(F.regexp_replace(t, r"(?U)\s+", "")), F.lit(1))
+    letters = F.length(F.regexp_replace(t, r"[^\p{L}\p{M}\p{N}]+", ""))
+    out = base.select(
+        "doc_id", "n_chars",
+        F.regexp_count(t, F.lit(r"[\p{L}\p{M}\p{N}]+")).alias("n_words"),
+        F.regexp_count(t, F.lit(r"(?m)^[^\n]*\S[^\n]*$")).alias("n_lines"),
+        letters.alias("_letters"), solid.alias("_solid"),
+        F.regexp_count(t, F.lit(r"(?mU)[.!?:;,…][\"'”’»)]*[ \t]*$")).alias("_ended"),
+        F.regexp_count(t, F.lit(_COMMON)).alias("_common"),
+        _share(t, _LIST).alias("list_share"), _share(t, _TABLE).alias("table_share"),
+        _share(t, _REPEATED).alias("repeated_share"), _share(t, _LONG).alias("long_share"), _share(t, _CONSONANTS).alias("consonant_share"),
+        _share(t, r"[^\p{L}\p{M}\p{N}\s.,;:!?()/'\"|%–•*-][^\p{L}\p{M}\p{N}\n]*|[ÂÃâï�]+").alias("odd_share"), _share(t, r"\d+").alias("digit_share"))
+    words, lines = F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))
+    return out.select(
+        "doc_id", "n_chars", "n_words", "n_lines", (F.col("_letters") / words).alias("mean_word_length"),
+        ((F.col("_solid") - F.col("_letters")) / F.col("_solid")).alias("symbol_ratio"), (F.col("_ended") / lines).alias("punctuated_lines"),
+        (F.col("_common") / words).alias("common_words"), (F.col("n_chars") / lines).alias("mean_line_length"),
+        "list_share", "table_share",
+        F.least(F.col("repeated_share") + F.col("long_share") + F.col("consonant_share") + F.col("odd_share"), F.lit(1.0)).alias("junk_share"),
+        *["repeated_share", "long_share", "consonant_share", "odd_share", "digit_share"])
+
+
+Rule = tuple[str, list[tuple[str, str, float]]]
+
+
+def _covers(rule: list, x: pd.DataFrame) -> np.ndarray:
+    hit = np.ones(len(x), bool)
+    for name, op, value in rule:
+        hit &= (x[name].to_numpy() >= value) if op == ">=" else (x[name].to_numpy() < value)
+    return hit
+
+
+def _grow(x: pd.DataFrame, positive: np.ndarray) -> list:
+    """Conditions added one by one, each the one of highest information gain (FOIL), until no negative is covered."""
+    rule: list = []
+    hit = np.ones(len(x), bool)
+    while (hit & ~positive).any():
+        p, n = (hit & positive).sum(), (hit & ~positive).sum()
+        before, found = math.log2(p / (p + n)), (1e-9, None)
+        for name in FEATURES:
+            v, y = x[name].to_numpy()[hit], positive[hit]
+            order = np.argsort(v, kind="stable")
+            v, y = v[order], y[order]
+            ups, all_up = np.cumsum(y), y.sum()
+            edges = np.flatnonzero(v[1:] > v[:-1])
+            if not len(edges):
+                continue
+            below, below_p = edges + 1, ups[edges]
+            for op, total, good in (("<", below, below_p), (">=", len(v) - below, all_up - below_p)):
+                gain = np.where(good > 0, good * (np.log2(np.maximum(good, 1e-9) / total) - before), -1)
+                k = int(gain.argmax())
+                if gain[k] > found[0]:
+                    found = gain[k], (name, op, float((v[edges[k]] + v[edges[k] + 1]) / 2))
+        if found[1] is None:
+            break
+        rule.append(found[1])
+        hit = _covers(rule, x)
+    return rule
+
+
+def _prune(rule: list, x: pd.DataFrame, positive: np.ndarray) -> tuple[list, float]:
+    """The start of a rule that is best on the pruning rows, by (right - wrong) / covered; the shortest on a tie."""
+    best: tuple[float, int] = (-2.0, 0)
+    for k in range(1, len(rule) + 1):
+        hit = _covers(rule[:k], x)
+        p, n = (hit & positive).sum(), (hit & ~positive).sum()
+        value = (p - n) / (p + n) if p + n else -1.0
+        if value > best[0] + 1e-9:
+            best = value, k
+    return rule[: best[1]], best[0]
+
+
+def induce(x: pd.DataFrame, kinds: np.ndarray, seed: int = 3) -> list[Rule]:
+    """An ordered rule list by incremental reduced-error pruning. Classes come from the rarest on; for each, rules are
+    grown on two thirds of the rows left and pruned on the rest, and kept while three of four rows they cover there are
+    right. The last, empty rule is the most frequent class. ``x`` holds FEATURES, ``kinds`` the labels."""
+    rng = np.random.default_rng(seed)
+    names, counts = np.unique(kinds, return_counts=True)
+    order = names[np.argsort(counts, kind="stable")]
+    rules: list[Rule] = []
+    left = np.ones(len(x), bool)
+    for kind in order[:-1]:
+        while (left & (kinds == kind)).sum() >= 2:
+            rows = np.flatnonzero(left)
+            rows = rows[np.argsort(rng.random(len(rows)), kind="stable")]
+            # both parts hold the class in equal shares
+            rows = np.concatenate([rows[kinds[rows] == kind], rows[kinds[rows] != kind]])
+            growing = np.arange(len(rows)) % 3 != 2
+            g, p = rows[growing], rows[~growing]
+            rule, value = _prune(_grow(x.iloc[g], kinds[g] == kind), x.iloc[p], kinds[p] == kind)
+            covered = _covers(rule, x) & left
+            if not rule or value <= 0.5 or not (covered & (kinds == kind)).any():
+                break
+            rules.append((str(kind), rule))
+            left &= ~covered
+    rules.append((str(order[-1]), []))
+    return rules
+
+
+def as_sql(rules: list[Rule]) -> str:
+    """The rule list as one CASE expression over the statistics."""
+    cases = " ".join(f"WHEN {' AND '.join(f'{n} {op} {v!r}D' for n, op, v in rule)} THEN '{kind}'" for kind, rule in rules if rule)
+    return f"CASE {cases} ELSE '{rules[-1][0]}' END" if cases else f"'{rules[-1][0]}'"
+
+
+def learned_rules(stats: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> list[Rule]:
+    """Rules from the labelled documents, at most ``most`` of them by a seeded order. A document with several labels
+    has the most frequent, the smallest name on a tie. Without labels everything is prose."""
+    one = labels.filter("kind is not null").groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(
+        F.min_by("kind", F.struct(-F.col("n"), F.col("kind"))).alias("label"))
+    chosen = one.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(most)
+    rows = stats.join(chosen, "doc_id").select("doc_id", "label", *FEATURES).toPandas().sort_values("doc_id", ignore_index=True)
+    if rows.empty:
+        return [("prose", [])]
+    return induce(rows[FEATURES], rows["label"].to_numpy())
+
+
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of every document, with its verdict ``kind``."""
+    stats = cut(statistics(table(spark, sf_dir, "documents")), "quality")
+    return stats.withColumn("kind", F.expr(as_sql(learned_rules(stats, table(spark, sf_dir, "doc_labels")))))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(spark, sf_dir).filter("kind <> 'prose'").select("doc_id", "kind")
+
+
+def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document."""
+    return judged(spark, sf_dir)
+
+
+QUERIES = {"p10_found": p10_found, "p10_statistics": p10_statistics}
