@@ -23,6 +23,8 @@ le la les l de du un une et est à en pour que qui par sur dans ne se il elle au
 """
 #: Labelled documents to learn from; beyond these a seeded sample of so many is taken.
 MOST_LABELS = 4000
+#: The least (right - wrong) / covered of a rule on the pruning rows, and refused rules before a class is done.
+KEEP, RETRIES = 0.5, 6
 _COMMON = "(?iU)(?<![\\w])(?:" + "|".join(COMMON_WORDS.split()) + ")(?![\\w])"
 _LIST = r"(?mU)^[ \t]*(?:[-–—*•·‣▪◦]|\(?(?:\d{1,3}|[a-zA-Z]|[ivx]{1,4})[.)])[ \t]+\S[^\n]*$"
 # lines of cells between bars, or three cells and more between semicolons, tabs or wide gaps
@@ -122,15 +124,16 @@ def _prune(rule: list, x: pd.DataFrame, positive: np.ndarray) -> tuple[list, flo
 
 def induce(x: pd.DataFrame, kinds: np.ndarray, seed: int = 3) -> list[Rule]:
     """An ordered rule list by incremental reduced-error pruning. Classes come from the rarest on; for each, rules are
-    grown on two thirds of the rows left and pruned on the rest, and kept while three of four rows they cover there are
-    right. The last, empty rule is the most frequent class. ``x`` holds FEATURES, ``kinds`` the labels."""
+    grown on two thirds of the rows left and pruned on the rest, and kept if their value
+    there is KEEP or more; a refused rule is followed by another split, up to RETRIES times in a class. The last, empty rule is the most frequent class. ``x`` holds FEATURES, ``kinds`` the labels."""
     rng = np.random.default_rng(seed)
     names, counts = np.unique(kinds, return_counts=True)
     order = names[np.argsort(counts, kind="stable")]
     rules: list[Rule] = []
     left = np.ones(len(x), bool)
     for kind in order[:-1]:
-        while (left & (kinds == kind)).sum() >= 2:
+        refused = 0
+        while refused < RETRIES and (left & (kinds == kind)).sum() >= 2:
             rows = np.flatnonzero(left)
             rows = rows[np.argsort(rng.random(len(rows)), kind="stable")]
             # both parts hold the class in equal shares
@@ -139,8 +142,9 @@ def induce(x: pd.DataFrame, kinds: np.ndarray, seed: int = 3) -> list[Rule]:
             g, p = rows[growing], rows[~growing]
             rule, value = _prune(_grow(x.iloc[g], kinds[g] == kind), x.iloc[p], kinds[p] == kind)
             covered = _covers(rule, x) & left
-            if not rule or value <= 0.5 or not (covered & (kinds == kind)).any():
-                break
+            if not rule or value < KEEP or not (covered & (kinds == kind)).any():
+                refused += 1
+                continue
             rules.append((str(kind), rule))
             left &= ~covered
     rules.append((str(order[-1]), []))
