@@ -28,11 +28,11 @@ MIN_LETTERS_DIGITS = 60
 MIN_WORDS = 15
 #: MinHash samples, and bits of the odd sketch they are folded into.
 SAMPLES, BITS = 128, 256
-#: Words in a part on average, and how often sets of up to so many words are dealt to parts.
-PART_WORDS, DEALINGS = 5.0, ((30, 5), (60, 4), (1 << 30, 2))
+#: Words of a set for each part its telling words are dealt to, and how often sets of up to so many words are dealt.
+PART_WORDS, DEALINGS = 10.0, ((30, 9), (60, 6), (1 << 30, 3))
 #: A part is a band value if its words together are rare enough for at most 2 ** SLACK sets to hold them all by chance.
-#: Words in over COMMON of all sets tell nothing.
-SLACK, COMMON = 4.0, 0.05
+#: Words in over COMMON of all sets tell nothing and are dealt to no part, so no band value is shared by more sets.
+SLACK, COMMON = 4.0, 0.015
 #: Counters for the frequency of words; their number is fixed, so the table has the same size whatever the corpus.
 SLOTS, CHUNK = 1 << 20, 1 << 14
 
@@ -90,14 +90,17 @@ def bands(hashes: np.ndarray, rarity: np.ndarray, least: float, starts: np.ndarr
     """(set number, band value) of the telling parts of every set, on its own level and where needed on the next. A part
     tells if the ``rarity`` of its words, in bits, sums to ``least`` or more."""
     n = np.diff(np.append(starts, len(hashes)))
-    owner = np.repeat(np.arange(len(n)), n)
     level, above = _levels(n)
+    rare = rarity > 0
+    hashes, rarity, owner = hashes[rare], rarity[rare], np.repeat(np.arange(len(n)), n)[rare]
     sets, values = [], []
     for lv in range(int(level.max(initial=0)) + 2):
         on = (level == lv) | (above & (level == lv - 1))
         if not on.any():
             continue
         take = on[owner]
+        if not take.any():
+            continue
         h, o, w = hashes[take], owner[take], rarity[take]
         parts = max(2, round(MIN_WORDS * 2.0**lv * math.sqrt(2) / PART_WORDS))
         for dealing in range(next(d for most, d in DEALINGS if MIN_WORDS * 2.0**lv < most)):
@@ -230,33 +233,39 @@ def hashed_words(contents: DataFrame, form: Form) -> DataFrame:
 
 
 def similar_sets(rows: DataFrame, paragraphs: DataFrame, form: Form, evidence: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """(words_a, words_b, jaccard): pairs of different sets of words that share ``threshold`` of their union.
+    """(words_a, words_b): pairs of different sets of words that share ``threshold`` of their union.
 
     ``rows`` comes from :func:`scanned`; ``evidence`` may hold further candidates (words_a, words_b). Copies take part
-    once, as the sets are joined and not the rows. A band value shared by many sets is split over tasks by the skew
-    join; no bucket is collected and none is capped.
+    once, as the sets are joined and not the rows. A band value is shared by few sets as its words are rare, so no
+    bucket is hot; none is collected and none is capped. Two sets similar to a third are candidates too.
     """
     fresh = rows.filter("sketch is not null")
-    sketches = fresh.groupBy("words_id").agg(F.first("sketch").alias("s"), F.first("n").alias("n"), F.min("id").alias("id"))
-    values = fresh.select(F.explode("bands").alias("v"), "words_id").distinct()
+    sketches = fresh.groupBy("words_id").agg(F.first("sketch").alias("s"), F.first("n").alias("n"))
+    # one exchange by band value serves the removal of repeated sets and both sides of the join
+    values = fresh.select(F.explode("bands").alias("v"), "words_id").repartition("v").distinct()
     pairs = values.select("v", F.col("words_id").alias("words_a")).join(values.select("v", F.col("words_id").alias("words_b")), "v").filter("words_a < words_b").select("words_a", "words_b")
     if evidence is not None:
         pairs = pairs.unionByName(evidence)
     side = lambda x: sketches.select(F.col("words_id").alias(f"words_{x}"), *[F.col("s")[k].alias(f"s{x}{k}") for k in range(BITS // 64)], F.col("n").alias(f"n_{x}"))
     judged = pairs.distinct().join(side("a"), "words_a").join(side("b"), "words_b")
     flips = sum((F.bit_count(F.col(f"sa{k}").bitwiseXOR(F.col(f"sb{k}"))) for k in range(BITS // 64)), F.lit(0))
-    close = judged.filter((flips <= most_flips(threshold)) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9))
-    close = cut(close.select("words_a", "words_b"), "near-pairs")
+    close = cut(judged.filter((flips <= most_flips(threshold)) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)).select("words_a", "words_b"), "near-pairs")
+
     ends = close.select(F.explode(F.array("words_a", "words_b")).alias("words_id")).distinct()
-    first = rows.filter("sketch is not null").groupBy("words_id").agg(F.min("id").alias("id"))
-    contents = ends.join(first, "words_id").join(paragraphs.select("id", "content"), "id")
-    sets = cut(hashed_words(contents, form), "near-words")
+    holders = fresh.select("words_id", "id").join(ends, "words_id").groupBy("words_id").agg(F.min("id").alias("id"))
+    sets = cut(hashed_words(holders.join(paragraphs.select("id", "content"), "id"), form), "near-words")
     a, b = (sets.select(F.col("words_id").alias(f"words_{x}"), F.col("hashes").alias(f"h_{x}")) for x in "ab")
-    shared = close.join(a, "words_a").join(b, "words_b").withColumn("both", F.size(F.array_intersect("h_a", "h_b")))
-    union = F.size("h_a") + F.size("h_b") - F.col("both")
-    # whole numbers decide, so that a share of exactly the threshold counts
-    thousandths = round(threshold * 1000)
-    return shared.filter(F.col("both") * 1000 >= union * thousandths).select("words_a", "words_b", (F.col("both") / union).alias("jaccard"))
+
+    def exactly(pairs: DataFrame) -> DataFrame:
+        shared = F.size(F.array_intersect("h_a", "h_b"))
+        # whole numbers decide, so that a share of exactly the threshold counts
+        enough = shared * 1000 >= (F.size("h_a") + F.size("h_b") - shared) * round(threshold * 1000)
+        return pairs.join(a, "words_a").join(b, "words_b").filter(enough).select("words_a", "words_b")
+
+    sure = cut(exactly(close), "similar-sets")
+    ways = sure.select(F.col("words_a").alias("hub"), F.col("words_b").alias("w")).unionByName(sure.select(F.col("words_b").alias("hub"), F.col("words_a").alias("w")))
+    hops = ways.select("hub", F.col("w").alias("words_a")).join(ways.select("hub", F.col("w").alias("words_b")), "hub").filter("words_a < words_b").select("words_a", "words_b").distinct()
+    return sure.unionByName(exactly(hops.join(close, ["words_a", "words_b"], "left_anti")))
 
 
 def _edited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

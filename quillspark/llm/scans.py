@@ -1,3 +1,359 @@
-"""To come."""
+"""Noise in text from scanned pages (problem 7): lines labelled header, body or break by a hidden Markov model over
+layout features; words split over line ends; misrecognised words; and the paragraphs put together again."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import cut, table
+from .form import Form, learned
+
+HEADER, BODY, BREAK = 0, 1, 2
+#: Lines to fit the model on, by a seeded order.
+MOST_LINES = 50_000
+#: No page furniture is longer than this.
+FURNITURE = 80
+
+_MARK = "[-‐‑­¬]"
+SPLIT = rf"([^\W\d_]+){_MARK}[^\S\n]*\n\s*([^\W\d_]+)"
+_SPLIT = re.compile(SPLIT)
+# How page numbers are written.
+_PAGE = r"(?:(?:page|seite|p\.|s\.)\s*\d+(?:\s*(?:of|von|sur|/)\s*\d+)?|\d+\s*\|\s*(?:page|seite)|\[\s*\d+\s*\]|[-–—]\s*\d+\s*[-–—]|\d{1,4}(?:\s*/\s*\d{1,4})?)"
+_IS_PAGE = re.compile(rf"^\s*{_PAGE}\s*$", re.I)
+_PAGE_END = re.compile(rf"(?:\s*·\s*|\s*\|\s*|\s{{2,}}|\t){_PAGE}\s*$", re.I)
+_PAGE_START = re.compile(rf"^\s*{_PAGE}(?:\s*·\s*|\s*\|\s*|\s{{2,}}|\t)", re.I)
+_ENDS = re.compile(r"[.!?:;,)]['\"”’»]*$")
+
+
+def line_key(line: str) -> str:
+    """A line without its page number, in lower case and single blanks: what recurs of a running title."""
+    return " ".join(_PAGE_START.sub("", _PAGE_END.sub("", line.strip())).lower().split())
+
+
+def _features(line: str, alone: bool) -> int:
+    """The layout of a line as one of 72 symbols; recurrence in the document makes it one of 144."""
+    ends = 2 if line.endswith(("-", "‐", "­", "¬")) else 1 if _ENDS.search(line) else 0
+    length = 0 if len(line) < 12 else 1 if len(line) < FURNITURE else 2
+    page = bool(_IS_PAGE.match(line))
+    return (((page * 3 + ends) * 3 + length) * 2 + line[:1].islower()) * 2 + alone
+
+
+def lines(paragraphs: DataFrame, form: Form) -> DataFrame:
+    """(id, document_id, line_no, symbol, key): the lines of every paragraph that has several, or is short enough to be
+    page furniture. ``key`` is a hash of what may recur, null where that can't be a running title."""
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, d, content in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if not content or "\n" not in content and len(content) > FURNITURE:
+                    continue
+                held = [(k, x.strip()) for k, x in enumerate(form(content).split("\n")) if x.strip()]
+                for k, x in held:
+                    symbol = _features(x, len(held) == 1)
+                    key = line_key(x) if len(x) <= FURNITURE and not _IS_PAGE.match(x) else ""
+                    recurring = key and len(key) >= 6 and not _ENDS.search(key) and not _MARKED.search(key)
+                    rows.append((i, d, k, symbol, xxhash.xxh3_64_intdigest(key.encode()) - (1 << 63) if recurring else None))
+            columns = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))], ["id", "document_id", "line_no", "symbol", "key"])
+
+    return paragraphs.select(F.col("id").cast("long"), F.col("document_id").cast("long"), "content").mapInArrow(scan, "id long, document_id long, line_no int, symbol int, key long")
+
+
+_MARKED = re.compile(rf"{_MARK}$")
+SYMBOLS = 144
+
+
+def with_recurrence(held: DataFrame) -> DataFrame:
+    """``lines`` with ``seen``: the symbol, moved up by 72 if the same key stands in another paragraph of the document.
+    Equal keys are counted before the shuffle, so a document with a third of all rows is no hot group."""
+    per_key = held.filter("key is not null").groupBy("document_id", "key", "id").agg(F.count(F.lit(1)).alias("n"))
+    often = per_key.groupBy("document_id", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("document_id", "key", F.lit(72).alias("up"))
+    return held.join(often, ["document_id", "key"], "left").select("id", "line_no", (F.col("symbol") + F.coalesce("up", F.lit(0))).alias("seen"))
+
+
+class Model:
+    """A hidden Markov model of the lines of a paragraph, in log probabilities."""
+
+    def __init__(self, start: np.ndarray, step: np.ndarray, emit: np.ndarray) -> None:
+        self.start, self.step, self.emit = start, step, emit
+
+    def decode(self, symbols: list[int]) -> list[int]:
+        """The most likely states (Viterbi)."""
+        if not symbols:
+            return []
+        score = self.start + self.emit[:, symbols[0]]
+        back = []
+        for s in symbols[1:]:
+            reach = score[:, None] + self.step
+            back.append(reach.argmax(0))
+            score = reach.max(0) + self.emit[:, s]
+        out = [int(score.argmax())]
+        for b in reversed(back):
+            out.append(int(b[out[-1]]))
+        return out[::-1]
+
+
+def _cue(symbol: int, last: bool) -> int | None:
+    """The state that a line's layout shows beyond doubt, else None; these cues label the lines to learn from."""
+    recurs, rest = divmod(symbol, 72)
+    page, ends, length = rest // 36, rest // 12 % 3, rest // 4 % 3
+    if page or recurs and length < 2 and ends == 0:
+        return HEADER
+    if ends == 2 or length == 2 and not last:
+        return BODY
+    if ends == 1 and last:
+        return BREAK
+    return None
+
+
+def fit(sequences: list[list[int]], rounds: int = 5) -> Model:
+    """A model fitted by expectation maximisation, begun from and bound to the lines whose cues leave no doubt."""
+    prior = np.array([[4.0, 4.0, 2.0], [2.0, 20.0, 6.0], [2.0, 12.0, 2.0]])
+    start, step, emit = np.array([1.0, 4.0, 2.0]), prior.copy(), np.full((3, SYMBOLS), 0.1)
+    cues = [[_cue(s, k == len(q) - 1) for k, s in enumerate(q)] for q in sequences]
+    for q, c in zip(sequences, cues):
+        for s, state in zip(q, c):
+            if state is not None:
+                emit[state, s] += 1
+    model = None
+    for _ in range(rounds):
+        a, t, e = start / start.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True)
+        model = Model(np.log(a), np.log(t), np.log(e))
+        start, step, emit = np.ones(3), prior.copy(), np.full((3, SYMBOLS), 0.1)
+        whole = Counter(zip(map(tuple, sequences), map(tuple, cues)))
+        for (q, c), n in whole.items():
+            out = np.array([e[:, s] * ([1, 1, 1] if x is None else np.eye(3)[x]) for s, x in zip(q, c)]) + 1e-12
+            f, b = np.empty_like(out), np.ones_like(out)
+            f[0] = a * out[0]
+            f[0] /= f[0].sum()
+            for k in range(1, len(q)):
+                f[k] = f[k - 1] @ t * out[k]
+                f[k] /= f[k].sum()
+            for k in range(len(q) - 2, -1, -1):
+                b[k] = t @ (out[k + 1] * b[k + 1])
+                b[k] /= b[k].sum()
+            g = f * b
+            g /= g.sum(1, keepdims=True)
+            start += n * g[0]
+            for k, s in enumerate(q):
+                emit[:, s] += n * g[k]
+            for k in range(len(q) - 1):
+                x = f[k][:, None] * t * (out[k + 1] * b[k + 1])
+                step += n * x / x.sum()
+    return model
+
+
+def _sequences(rows: Iterable[tuple[int, int, int]]) -> Iterator[tuple[int, list[int], list[int]]]:
+    """(id, line numbers, symbols) of rows (id, line_no, seen) that come in order."""
+    at, numbers, symbols = None, [], []
+    for i, k, s in rows:
+        if i != at:
+            if numbers:
+                yield at, numbers, symbols
+            at, numbers, symbols = i, [], []
+        numbers.append(k)
+        symbols.append(s)
+    if numbers:
+        yield at, numbers, symbols
+
+
+def labelled(seen: DataFrame, most: int = MOST_LINES) -> DataFrame:
+    """(id, headers, breaks): of every paragraph in ``seen`` the numbers of its lines labelled header and break. The
+    model is fitted on the lines of a seeded sample of paragraphs with at most ``most`` lines, then decodes all."""
+    sample = seen.orderBy(F.xxhash64(F.lit(5), "id"), "id", "line_no").limit(most).toPandas()
+    model = fit([s for _, _, s in _sequences(sample.itertuples(index=False, name=None))])
+
+    def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for batch in batches:
+                yield from zip(*(batch.column(k).to_pylist() for k in range(3)))
+        done: dict = {}
+        out = []
+
+        def packed(out):
+            columns = list(zip(*out)) or [()] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())))], ["id", "headers", "breaks"])
+
+        for i, numbers, symbols in _sequences(rows()):
+            q = tuple(symbols)
+            states = done.get(q)
+            if states is None:
+                states = model.decode(symbols)
+                if len(q) < 8 and len(done) < 100_000:
+                    done[q] = states
+            out.append((i, [k for k, s in zip(numbers, states) if s == HEADER], [k for k, s in zip(numbers, states) if s == BREAK]))
+            if len(out) == 10_000:
+                yield packed(out)
+                out = []
+        yield packed(out)
+
+    return seen.repartition("id").sortWithinPartitions("id", "line_no").mapInArrow(decode, "id long, headers array<int>, breaks array<int>")
+
+
+# How recognition confuses characters, as read and as printed.
+IN_WORDS = {"0": "o", "1": "li", "5": "s", "9": "g", "8": "b", "@": "a", "$": "s"}
+LETTERS = [("c", "e"), ("l", "i"), ("f", "t"), ("b", "h"), ("ii", "u"), ("cl", "d"), ("rn", "m"), ("vv", "w")]
+_TOKEN = re.compile(r"[@$]?[^\W_]+(?:[@$]+[^\W_]+)*[@$]?")
+_STRANGE = re.compile(r"[01598@$]")
+#: A word of letters is misread if the word it confuses is so many times as frequent, and occurs so often.
+TIMES, LEAST = 8, 8
+#: Words in at most so many contents of a batch are kept with the rows that hold them.
+POSTED = 8
+
+
+def _counts(paragraphs: DataFrame, form: Form) -> DataFrame:
+    """(word, n, ids): words of a batch with the number of different contents that hold them, and the ids of the rows
+    where these are few. Words and compounds split by a hyphen inside a line are in lower case."""
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compound = re.compile(r"[^\W\d_]+[-‐][^\W\d_]+")
+        for batch in batches:
+            rows: dict[str, list[int]] = {}
+            for i, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if c:
+                    rows.setdefault(c, []).append(i)
+            held: dict[str, list[int]] = {}
+            contents = list(rows)
+            for k, c in enumerate(contents):
+                text = form(c).lower()
+                found = {w for w in _TOKEN.findall(text) if len(w) > 2 and not w.isdigit()}
+                if "-" in text:
+                    found.update(compound.findall(text))
+                for w in found:
+                    held.setdefault(w, []).append(k)
+            ids = [[i for k in v for i in rows[contents[k]]] if len(v) <= POSTED and "-" not in w else None for w, v in held.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([len(v) for v in held.values()], pa.int64()), pa.array(ids, pa.list_(pa.int64()))], ["word", "n", "ids"])
+
+    return paragraphs.select(F.col("id").cast("long"), "content").mapInArrow(scan, "word string, n long, ids array<long>")
+
+
+def readings(word: str) -> dict[str, bool]:
+    """What a word in lower case may have been before recognition, with whether it holds characters that words don't."""
+    out: dict[str, bool] = {}
+    letters = sum(c.isalpha() for c in word)
+    if _STRANGE.search(word):
+        if letters < 2 or any(c.isdigit() and c not in IN_WORDS for c in word):
+            return out
+        plain = [""]
+        for c in word:
+            plain = [p + x for p in plain for x in IN_WORDS.get(c, c)][:16]
+        out |= {p: True for p in plain}
+        for p in plain:
+            for wrong, right in LETTERS:
+                out |= {p[:k] + right + p[k + len(wrong):]: True for k in range(len(p)) if p.startswith(wrong, k)}
+    elif letters == len(word) > 3:
+        for wrong, right in LETTERS:
+            out |= {word[:k] + right + word[k + len(wrong):]: False for k in range(len(word)) if word.startswith(wrong, k)}
+    return out
+
+
+def misread_words(counts: DataFrame) -> DataFrame:
+    """(word, reading) of the words that stand for a more frequent word with characters confused."""
+    frequency = cut(counts.groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+    def vary(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(w, n, r, s) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r, s in readings(w).items()]
+            columns = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.bool_()))], ["word", "n", "reading", "strange"])
+
+    varied = frequency.mapInArrow(vary, "word string, n long, reading string, strange boolean")
+    known = frequency.select(F.col("word").alias("reading"), F.col("n").alias("known"))
+    fits = F.when(F.col("strange"), F.col("known") >= F.col("n")).otherwise((F.col("known") >= LEAST) & (F.col("known") >= TIMES * F.col("n")))
+    return varied.join(known, "reading").filter(fits).groupBy("word").agg(F.max_by("reading", F.struct("known", "reading")).alias("reading"))
+
+
+def misread(paragraphs: DataFrame, counts: DataFrame, form: Form) -> tuple[DataFrame, DataFrame]:
+    """(id, word, reading) of every misread word of every paragraph, and the misread words themselves."""
+    wrong = cut(misread_words(counts), "misread")
+    out = counts.filter("ids is not null").join(wrong, "word").select(F.explode("ids").alias("id"), "word", "reading")
+    # a misread word that is frequent in some batch has no ids there: its rows are found by a join on all words
+    rest = counts.filter("ids is null").join(wrong, "word").select("word", "reading").distinct()
+    if not rest.isEmpty():
+        def tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [(i, w) for i, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if c for w in set(_TOKEN.findall(form(c).lower()))]
+                columns = list(zip(*rows)) or [()] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string())], ["id", "word"])
+        out = out.unionByName(paragraphs.select(F.col("id").cast("long"), "content").mapInArrow(tokens, "id long, word string").join(rest, "word"))
+    return out.distinct(), wrong
+
+
+def split_words(paragraphs: DataFrame, counts: DataFrame) -> DataFrame:
+    """(id) of paragraphs with a word split over a line end. A compound that keeps its own hyphen there is none: it is
+    found hyphenated inside lines, and never in one word."""
+    found = paragraphs.filter(F.col("content").rlike(f"(?U){_JAVA_SPLIT}")).select(
+        F.col("id").cast("long").alias("id"), F.explode(F.regexp_extract_all("content", F.lit(f"(?U)({_JAVA_SPLIT})"), F.lit(1))).alias("at"))
+    parts = found.select("id", F.lower(F.regexp_replace("at", rf"(?U){_MARK}\s+", "")).alias("word"), F.lower(F.regexp_replace("at", rf"(?U){_MARK}\s+", "-")).alias("compound"))
+    compounds = counts.filter("word like '%-%'").groupBy("word").agg(F.sum("n").alias("compounds")).withColumnRenamed("word", "compound")
+    doubtful = parts.join(compounds, "compound")
+    whole = counts.filter("word not like '%-%'").select("word").distinct().withColumn("whole", F.lit(True))
+    kept = doubtful.join(whole, "word", "left").filter("whole is null").select("id", "word")
+    return parts.select("id", "word").distinct().join(kept, ["id", "word"], "left_anti").select("id").distinct()
+
+
+_JAVA_SPLIT = rf"\p{{L}}{{1,40}}{_MARK}[^\S\n]*\n\s*\p{{L}}{{1,40}}"
+
+
+def _parts(spark: SparkSession, sf_dir: str):
+    paragraphs = table(spark, sf_dir, "paragraphs")
+    form = learned(paragraphs, "content")
+    counts = cut(_counts(paragraphs, form), "word-counts")
+    seen = cut(with_recurrence(cut(lines(paragraphs, form), "lines")), "seen")
+    return paragraphs, form, counts, labelled(seen)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paragraphs, form, counts, labels = _parts(spark, sf_dir)
+    noise = lambda ids, name: ids.select(F.col("id").alias("paragraph_id"), F.lit(name).alias("noise"))
+    wrong = misread(paragraphs, counts, form)[0].select("id").distinct()
+    return noise(split_words(paragraphs, counts), "hyphen").unionByName(noise(wrong, "misread")).unionByName(noise(labels.filter(F.size("headers") > 0), "running"))
+
+
+def repaired(content: str, headers: list[int], breaks: list[int], wrong: dict[str, str]) -> str:
+    """A content without header lines, split words joined, misread words replaced by their readings, and lines run
+    together up to each break. Case follows the word replaced, as far as it starts with a capital or has no small
+    letters."""
+    out = ""
+    drop, stop = set(headers), set(breaks)
+    for k, line in enumerate(content.split("\n")):
+        if k in drop or not line.strip():
+            continue
+        out += line.strip() + ("\n" if k in stop else " ")
+    out = re.sub(rf"([^\W\d_]){_MARK}[ \n]+(?=[^\W\d_])", r"\1", out)
+    out = re.sub(rf"({_MARK})\n", r"\1 ", out).strip()
+    if wrong:
+        def put(m):
+            new = wrong.get(m[0].lower())
+            if new is None:
+                return m[0]
+            return new.upper() if m[0].isupper() else new.capitalize() if m[0][:1].isupper() else new
+        out = _TOKEN.sub(put, out)
+    return out
+
+
+def p7_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, content) of every paragraph, repaired; page furniture alone becomes an empty text."""
+    paragraphs, form, counts, labels = _parts(spark, sf_dir)
+    words = misread(paragraphs, counts, form)[0].groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "reading"))).alias("wrong"))
+    rows = paragraphs.select(F.col("id").cast("long"), "content").join(labels, "id", "left").join(words, "id", "left")
+
+    def mend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = [c if c is None or h is None and w is None else repaired(form(c), h or [], b or [], dict(w or []))
+                   for c, h, b, w in zip(*(batch.column(k).to_pylist() for k in range(1, 5)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string())], ["id", "content"])
+
+    return rows.select("id", "content", "headers", "breaks", "wrong").mapInArrow(mend, "id long, content string")
+
+
+QUERIES = {"p7_found": p7_found, "p7_repaired": p7_repaired}
