@@ -110,11 +110,14 @@ def count_members(df: DataFrame, column: str) -> dict[str, int]:
         total = np.zeros(0x110000, np.int64)
         strings: dict[str, int] = {}
         marked = re.compile(r".[\u0300-\u036f]+")
+        beyond = re.compile(r"[^\x00-\x7f]+")
         ligated = [m for m in longer if m.isascii() and m.isalpha()]
         for batch in batches:
             text = "\n".join(x for x in batch.column(0).to_pylist() if x)
-            codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-            got = np.bincount(codes)
+            # one byte each counts ASCII; the rest is rare and picked out
+            total[:128] += np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)[:128]
+            rest = "".join(beyond.findall(text))
+            got = np.bincount(np.frombuffer(rest.encode("utf-32-le", "surrogatepass"), np.uint32), minlength=0x370)
             total[: len(got)] += got
             for m in ligated:
                 strings[m] = strings.get(m, 0) + text.count(m)

@@ -13,7 +13,6 @@ import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +26,7 @@ THRESHOLD = 0.8
 MIN_LETTERS_DIGITS = 60
 MIN_WORDS = 15
 #: MinHash samples, and bits of the odd sketch they are folded into.
-SAMPLES, BITS = 128, 256
+SAMPLES, BITS, BLOCK = 128, 256, 1024
 #: Words of a set for each part its telling words are dealt to, and how often sets of up to so many words are dealt.
 PART_WORDS, DEALINGS = 10.0, ((30, 9), (60, 6), (1 << 30, 3))
 #: A part is a band value if its words together are rare enough for at most 2 ** SLACK sets to hold them all by chance.
@@ -64,19 +63,22 @@ def similarity(flips: np.ndarray) -> np.ndarray:
 def sketch(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Odd sketches, one row of bytes per set; ``hashes`` holds the sets one after another from ``starts`` on."""
     rng = np.random.default_rng(7)
-    low = (hashes & _U(0xFFFFFFFF)).astype(np.uint32)
+    low = _mix(hashes).astype(np.uint32)
     multiply, add = rng.integers(1, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
-    cells = np.empty((SAMPLES, len(starts)), np.int64)
-    base = np.arange(len(starts), dtype=np.int64) * BITS
-    scrambled = low ^ (low >> np.uint32(15))
-    for k in range(SAMPLES):
-        x = scrambled * multiply[k] + add[k]
-        x ^= x >> np.uint32(16)
-        x *= np.uint32(0x45D9F3B)
-        least = np.minimum.reduceat(x, starts).astype(np.uint64)
-        cells[k] = base + (_mix(least * _U(SAMPLES) + _U(k)) % _U(BITS)).astype(np.int64)
-    ones = np.bincount(cells.ravel(), minlength=len(starts) * BITS).astype(np.uint8) & 1
-    return np.packbits(ones.reshape(-1, BITS), axis=1)
+    out = np.empty((len(starts), BITS // 8), np.uint8)
+    ends = np.append(starts[1:], len(hashes))
+    # blocks of sets whose words stay in the processor's cache over all samples
+    for k in range(0, len(starts), BLOCK):
+        first, last = starts[k], ends[min(k + BLOCK, len(starts)) - 1]
+        x, begin = low[first:last], starts[k : k + BLOCK] - first
+        least = np.empty((len(begin), SAMPLES), np.uint64)
+        for j in range(SAMPLES):
+            least[:, j] = np.minimum.reduceat(x * multiply[j] + add[j], begin)
+        bit = _mix(least * _U(SAMPLES) + np.arange(SAMPLES, dtype=np.uint64)) % _U(BITS)
+        cells = bit.astype(np.int64) + np.arange(len(begin))[:, None] * BITS
+        ones = np.bincount(cells.ravel(), minlength=len(begin) * BITS).astype(np.uint8) & 1
+        out[k : k + BLOCK] = np.packbits(ones.reshape(-1, BITS), axis=1)
+    return out
 
 
 def _levels(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,9 +122,21 @@ def bands(hashes: np.ndarray, rarity: np.ndarray, least: float, starts: np.ndarr
     return np.concatenate(sets), np.concatenate(values)
 
 
+class _Hashes(dict):
+    """64-bit hashes of words, kept as long as they are few."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        got = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return got
+
+
+_hashes = _Hashes()
+
+
 def _hash_words(tokens: list[str]) -> np.ndarray:
-    codes, unique = pd.factorize(np.array(tokens, dtype=object))
-    return np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in unique), np.uint64, len(unique))[codes]
+    return np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, len(tokens))
 
 
 def _slots(hashes: np.ndarray) -> np.ndarray:
@@ -168,7 +182,7 @@ _SCAN = "id long, key binary, words_id long, n int, sketch array<long>, bands ar
 
 def scanned(paragraphs: DataFrame, form: Form, rarity: np.ndarray, least: float) -> DataFrame:
     """One row per eligible paragraph: its key among copies (problem 5), the id of its set of words, that set's size,
-    odd sketch and band values. Sketch and bands stand once per distinct set of a batch, else they are null."""
+    odd sketch and band values. Sketch and bands stand once per distinct set of a batch, else they are empty."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,12 +197,13 @@ def scanned(paragraphs: DataFrame, form: Form, rarity: np.ndarray, least: float)
                 if got is None:
                     text = form(c)
                     run = words(text)
-                    distinct = set(run)
+                    distinct = frozenset(run)
                     got = ()
-                    if len(distinct) >= MIN_WORDS and sum(map(len, run)) >= MIN_LETTERS_DIGITS:
-                        fields = record(c, t, form)[1] if t else ["".join(run)]
+                    whole = "".join(run)
+                    if len(distinct) >= MIN_WORDS and len(whole) >= MIN_LETTERS_DIGITS:
+                        fields = record(c, t, form)[1] if t else [whole]
                         codes = sorted(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in fields)
-                        got = xxhash.xxh3_128_digest(b"".join(codes), seed=int(t)), frozenset(distinct)
+                        got = xxhash.xxh3_128_digest(b"".join(codes), seed=int(t)), distinct
                     seen[c, t] = got
                 if not got:
                     continue
@@ -208,13 +223,16 @@ def scanned(paragraphs: DataFrame, form: Form, rarity: np.ndarray, least: float)
             odd = sketch(hashes, begin).view(np.int64)
             owner, values = bands(hashes, rarity[_slots(hashes)] / 4, least, begin)
             order = np.argsort(owner, kind="stable")
-            cuts = np.searchsorted(owner[order], np.arange(len(begin) + 1))
-            values = values[order].view(np.int64)
+            fresh = np.array([r[4] for r in rows])
+            # sets are numbered in the order of their fresh rows, so the lists of fresh rows follow one another
+            held = np.zeros((2, len(rows)), np.int64)
+            held[0, fresh], held[1, fresh] = BITS // 64, np.bincount(owner, minlength=len(begin))
+            at = np.concatenate([np.zeros((2, 1), np.int64), held.cumsum(1)], 1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
                 pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()),
                 pa.array(words_id[[r[2] for r in rows]]), pa.array([r[3] for r in rows], pa.int32()),
-                pa.array([odd[r[2]] if r[4] else None for r in rows], pa.list_(pa.int64())),
-                pa.array([values[cuts[r[2]] : cuts[r[2] + 1]] if r[4] else None for r in rows], pa.list_(pa.int64())),
+                pa.ListArray.from_arrays(pa.array(at[0]), pa.array(odd.ravel())),
+                pa.ListArray.from_arrays(pa.array(at[1]), pa.array(values[order].view(np.int64))),
             ], ["id", "key", "words_id", "n", "sketch", "bands"])
 
     kind = F.coalesce(F.lower("paragraph_type") == "table", F.lit(False))
@@ -239,7 +257,7 @@ def similar_sets(rows: DataFrame, paragraphs: DataFrame, form: Form, evidence: D
     once, as the sets are joined and not the rows. A band value is shared by few sets as its words are rare, so no
     bucket is hot; none is collected and none is capped. Two sets similar to a third are candidates too.
     """
-    fresh = rows.filter("sketch is not null")
+    fresh = rows.filter("size(sketch) > 0")
     sketches = fresh.groupBy("words_id").agg(F.first("sketch").alias("s"), F.first("n").alias("n"))
     # one exchange by band value serves the removal of repeated sets and both sides of the join
     values = fresh.select(F.explode("bands").alias("v"), "words_id").repartition("v").distinct()

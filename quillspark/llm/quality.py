@@ -25,14 +25,27 @@ le la les l de du un une et est à en pour que qui par sur dans ne se il elle au
 MOST_LABELS = 4000
 #: The least (right - wrong) / covered of a rule on the pruning rows, and refused rules before a class is done.
 KEEP, RETRIES = 0.5, 6
-_COMMON = "(?iU)(?<![\\w])(?:" + "|".join(COMMON_WORDS.split()) + ")(?![\\w])"
-_LIST = r"(?mU)^[ \t]*(?:[-–—*•·‣▪◦]|\(?(?:\d{1,3}|[a-zA-Z]|[ivx]{1,4})[.)])[ \t]+\S[^\n]*$"
+
+
+def _trie(words: list[str]) -> str:
+    """An alternation of words with common beginnings factored out, which a regular expression tries letter by letter."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[:1], []).append(w[1:])
+    parts = [h + _trie(sorted(set(rest))) for h, rest in sorted(heads.items()) if h]
+    body = parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})" if parts else ""
+    return body and (f"(?:{body})?+" if "" in heads else body)
+
+
+_COMMON = r"(?iu)\b" + _trie(sorted(set(COMMON_WORDS.split()))) + r"\b"
+_LIST = r"(?m)^[ \t]*+(?:[-–—*•·‣▪◦]|\(?(?:\d{1,3}|[a-zA-Z]|[ivx]{1,4})[.)])[ \t]++\S[^\n]*+$"
 # lines of cells between bars, or three cells and more between semicolons, tabs or wide gaps
-_TABLE = (r"(?mU)^(?=[^\n]*\w)[^\n|]{0,80}\|[^\n]*$|^(?:[^\n;]{0,40};){2}[^\n]*$|^(?:[^\n\t]{0,40}\t){2}[^\n]*$"
-          r"|^(?:[^\n]{1,40}?\S {3,}){2}[^\n]*$")
-_REPEATED = r"(?U)(\b\w+\b)(?:\W{1,2}\1\b){3,}"
-_LONG = r"(?U)[\w+/=]{30,}"
-_CONSONANTS = r"(?iU)\w*[bcdfghjklmnpqrstvwxz]{4}\w*"
+_TABLE = (r"(?m)^(?:[^\n|]{0,80}+\|[^\n]*+|[^\n;]{0,40}+;[^\n;]{0,40}+;[^\n]*+|[^\n\t]{0,40}+\t[^\n\t]{0,40}+\t[^\n]*+"
+          r"|(?:[^\n ]++(?: {1,2}[^\n ]++)*+ {3,}+){2}[^\n]*+)$")
+_REPEATED = r"\b(\w{2,}+)(?:\W{1,2}+\1\b){3,}+"
+_LONG = r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/=]{30,}+"
+_CONSONANTS = r"(?i)[bcdfghjklmnpqrstvwxz]{4,}+"
+_ODD = r"[^\p{L}\p{M}\p{N}\s.,;:!?()/'\"|%–•*-][^\p{L}\p{M}\p{N}\n]*+|[ÂÃâï�]++"
 
 
 def _share(text: Column, pattern: str) -> Column:
@@ -50,18 +63,18 @@ def statistics(documents: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     base = documents.select("doc_id", text.alias("text")).withColumn("n_chars", F.length("text"))
     t = F.col("text")
-    solid = F.greatest(F.length(F.regexp_replace(t, r"(?U)\s+", "")), F.lit(1))
-    letters = F.length(F.regexp_replace(t, r"[^\p{L}\p{M}\p{N}]+", ""))
+    solid = F.greatest(F.length(F.regexp_replace(t, r"\s++", "")), F.lit(1))
+    letters = F.length(F.regexp_replace(t, r"[^\p{L}\p{M}\p{N}]++", ""))
     out = base.select(
         "doc_id", "n_chars",
-        F.regexp_count(t, F.lit(r"[\p{L}\p{M}\p{N}]+")).alias("n_words"),
-        F.regexp_count(t, F.lit(r"(?m)^[^\n]*\S[^\n]*$")).alias("n_lines"),
+        F.regexp_count(t, F.lit(r"\S++")).alias("n_words"),
+        F.regexp_count(t, F.lit(r"(?m)^[^\S\n]*+\S")).alias("n_lines"),
         letters.alias("_letters"), solid.alias("_solid"),
-        F.regexp_count(t, F.lit(r"(?mU)[.!?:;,…][\"'”’»)]*[ \t]*$")).alias("_ended"),
+        F.regexp_count(t, F.lit(r"(?m)[.!?:;,…][\"'”’»)]*[ \t]*$")).alias("_ended"),
         F.regexp_count(t, F.lit(_COMMON)).alias("_common"),
         _share(t, _LIST).alias("list_share"), _share(t, _TABLE).alias("table_share"),
         _share(t, _REPEATED).alias("repeated_share"), _share(t, _LONG).alias("long_share"), _share(t, _CONSONANTS).alias("consonant_share"),
-        _share(t, r"[^\p{L}\p{M}\p{N}\s.,;:!?()/'\"|%–•*-][^\p{L}\p{M}\p{N}\n]*|[ÂÃâï�]+").alias("odd_share"), _share(t, r"\d+").alias("digit_share"))
+        _share(t, _ODD).alias("odd_share"), _share(t, r"\d+").alias("digit_share"))
     words, lines = F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))
     return out.select(
         "doc_id", "n_chars", "n_words", "n_lines", (F.col("_letters") / words).alias("mean_word_length"),

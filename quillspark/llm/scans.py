@@ -15,20 +15,22 @@ from pyspark.sql import functions as F
 
 from ..session import cut, table
 from .form import Form, learned
+from .quality import COMMON_WORDS
 
 HEADER, BODY, BREAK = 0, 1, 2
 #: Lines to fit the model on, by a seeded order.
-MOST_LINES = 50_000
+MOST_LINES = 20_000
 #: No page furniture is longer than this.
 FURNITURE = 80
 
 _MARK = "[-‐‑­¬]"
-SPLIT = rf"([^\W\d_]+){_MARK}[^\S\n]*\n\s*([^\W\d_]+)"
-_SPLIT = re.compile(SPLIT)
+_MARKED = re.compile(rf"{_MARK}$")
 # How page numbers are written.
 _PAGE = r"(?:(?:page|seite|p\.|s\.)\s*\d+(?:\s*(?:of|von|sur|/)\s*\d+)?|\d+\s*\|\s*(?:page|seite)|\[\s*\d+\s*\]|[-–—]\s*\d+\s*[-–—]|\d{1,4}(?:\s*/\s*\d{1,4})?)"
 _IS_PAGE = re.compile(rf"^\s*{_PAGE}\s*$", re.I)
 _PAGE_END = re.compile(rf"(?:\s*·\s*|\s*\|\s*|\s{{2,}}|\t){_PAGE}\s*$", re.I)
+# the same without bare numbers, which also end lines of text
+_NUMBERED_END = re.compile(rf"(?:\s*·\s*|\s{{2,}}|\t)(?!\d+\s*$){_PAGE}\s*$", re.I)
 _PAGE_START = re.compile(rf"^\s*{_PAGE}(?:\s*·\s*|\s*\|\s*|\s{{2,}}|\t)", re.I)
 _ENDS = re.compile(r"[.!?:;,)]['\"”’»]*$")
 
@@ -40,7 +42,8 @@ def line_key(line: str) -> str:
 
 def _features(line: str, alone: bool) -> int:
     """The layout of a line as one of 72 symbols; recurrence in the document makes it one of 144."""
-    ends = 2 if line.endswith(("-", "‐", "­", "¬")) else 1 if _ENDS.search(line) else 0
+    bare = _NUMBERED_END.sub("", line)
+    ends = 2 if _MARKED.search(bare) else 1 if _ENDS.search(bare) else 0
     length = 0 if len(line) < 12 else 1 if len(line) < FURNITURE else 2
     page = bool(_IS_PAGE.match(line))
     return (((page * 3 + ends) * 3 + length) * 2 + line[:1].islower()) * 2 + alone
@@ -68,7 +71,6 @@ def lines(paragraphs: DataFrame, form: Form) -> DataFrame:
     return paragraphs.select(F.col("id").cast("long"), F.col("document_id").cast("long"), "content").mapInArrow(scan, "id long, document_id long, line_no int, symbol int, key long")
 
 
-_MARKED = re.compile(rf"{_MARK}$")
 SYMBOLS = 144
 
 
@@ -110,6 +112,9 @@ def _cue(symbol: int, last: bool) -> int | None:
         return HEADER
     if ends == 2 or length == 2 and not last:
         return BODY
+    if ends == 0 and length < 2 and not recurs:
+        # a heading stands alone; within a paragraph this is a line of text
+        return BREAK if rest % 2 else BODY
     if ends == 1 and last:
         return BREAK
     return None
@@ -168,8 +173,10 @@ def _sequences(rows: Iterable[tuple[int, int, int]]) -> Iterator[tuple[int, list
 
 def labelled(seen: DataFrame, most: int = MOST_LINES) -> DataFrame:
     """(id, headers, breaks): of every paragraph in ``seen`` the numbers of its lines labelled header and break. The
-    model is fitted on the lines of a seeded sample of paragraphs with at most ``most`` lines, then decodes all."""
-    sample = seen.orderBy(F.xxhash64(F.lit(5), "id"), "id", "line_no").limit(most).toPandas()
+    model is fitted on the lines of a seeded sample of paragraphs with about ``most`` lines, then decodes all."""
+    parts = 1_000_000
+    share = max(1, min(parts, parts * most // max(1, seen.count())))
+    sample = seen.filter(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(parts)) < share).toPandas().sort_values(["id", "line_no"]).head(2 * most)
     model = fit([s for _, _, s in _sequences(sample.itertuples(index=False, name=None))])
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,6 +209,7 @@ def labelled(seen: DataFrame, most: int = MOST_LINES) -> DataFrame:
 # How recognition confuses characters, as read and as printed.
 IN_WORDS = {"0": "o", "1": "li", "5": "s", "9": "g", "8": "b", "@": "a", "$": "s"}
 LETTERS = [("c", "e"), ("l", "i"), ("f", "t"), ("b", "h"), ("ii", "u"), ("cl", "d"), ("rn", "m"), ("vv", "w")]
+_FUNCTION = frozenset(COMMON_WORDS.split())
 _TOKEN = re.compile(r"[@$]?[^\W_]+(?:[@$]+[^\W_]+)*[@$]?")
 _STRANGE = re.compile(r"[01598@$]")
 #: A word of letters is misread if the word it confuses is so many times as frequent, and occurs so often.
@@ -211,8 +219,9 @@ POSTED = 8
 
 
 def _counts(paragraphs: DataFrame, form: Form) -> DataFrame:
-    """(word, n, ids): words of a batch with the number of different contents that hold them, and the ids of the rows
-    where these are few. Words and compounds split by a hyphen inside a line are in lower case."""
+    """(word, n, ids): words of a batch with the number of different contents that hold them, and for words that may be
+    misread the ids of the rows: words in few contents, and words that stand for one more frequent in the same batch.
+    Words and compounds split by a hyphen inside a line are in lower case."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compound = re.compile(r"[^\W\d_]+[-‐][^\W\d_]+")
@@ -221,17 +230,28 @@ def _counts(paragraphs: DataFrame, form: Form) -> DataFrame:
             for i, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if c:
                     rows.setdefault(c, []).append(i)
-            held: dict[str, list[int]] = {}
-            contents = list(rows)
-            for k, c in enumerate(contents):
+            counted: Counter = Counter()
+            sets = []
+            for c in rows:
                 text = form(c).lower()
-                found = {w for w in _TOKEN.findall(text) if len(w) > 2 and not w.isdigit()}
+                found = set(_TOKEN.findall(text))
+                # text without any function word is no prose, and its words are not read but made up
+                sets.append(found if len(found) < 12 or not _FUNCTION.isdisjoint(found) else set())
+                counted.update(found)
                 if "-" in text:
-                    found.update(compound.findall(text))
-                for w in found:
-                    held.setdefault(w, []).append(k)
-            ids = [[i for k in v for i in rows[contents[k]]] if len(v) <= POSTED and "-" not in w else None for w, v in held.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([len(v) for v in held.values()], pa.int64()), pa.array(ids, pa.list_(pa.int64()))], ["word", "n", "ids"])
+                    counted.update(set(compound.findall(text)))
+            for w in [w for w in counted if len(w) < 3 or w.isdigit()]:
+                del counted[w]
+
+            def posted(w: str, n: int) -> bool:
+                return "-" not in w and (n <= POSTED or any(counted[r] >= (n if strange else TIMES // 2 * n) for r, strange in readings(w).items() if r in counted))
+
+            ids: dict[str, list[int]] = {w: [] for w, n in counted.items() if posted(w, n)}
+            some = ids.keys()
+            for found, held in zip(sets, rows.values()):
+                for w in found & some:
+                    ids[w].extend(held)
+            yield pa.RecordBatch.from_arrays([pa.array(list(counted), pa.string()), pa.array(list(counted.values()), pa.int64()), pa.array([ids.get(w) for w in counted], pa.list_(pa.int64()))], ["word", "n", "ids"])
 
     return paragraphs.select(F.col("id").cast("long"), "content").mapInArrow(scan, "word string, n long, ids array<long>")
 
@@ -291,9 +311,9 @@ def misread(paragraphs: DataFrame, counts: DataFrame, form: Form) -> tuple[DataF
 def split_words(paragraphs: DataFrame, counts: DataFrame) -> DataFrame:
     """(id) of paragraphs with a word split over a line end. A compound that keeps its own hyphen there is none: it is
     found hyphenated inside lines, and never in one word."""
-    found = paragraphs.filter(F.col("content").rlike(f"(?U){_JAVA_SPLIT}")).select(
-        F.col("id").cast("long").alias("id"), F.explode(F.regexp_extract_all("content", F.lit(f"(?U)({_JAVA_SPLIT})"), F.lit(1))).alias("at"))
-    parts = found.select("id", F.lower(F.regexp_replace("at", rf"(?U){_MARK}\s+", "")).alias("word"), F.lower(F.regexp_replace("at", rf"(?U){_MARK}\s+", "-")).alias("compound"))
+    found = paragraphs.filter(F.col("content").contains("\n") & F.col("content").rlike(rf"{_MARK}[^\S\n]*+\n")).select(
+        F.col("id").cast("long").alias("id"), F.explode(F.regexp_extract_all("content", F.lit(f"({_JAVA_SPLIT})"), F.lit(1))).alias("at"))
+    parts = found.select("id", F.lower(F.regexp_replace("at", rf"{_MARK}\s+", "")).alias("word"), F.lower(F.regexp_replace("at", rf"{_MARK}\s+", "-")).alias("compound"))
     compounds = counts.filter("word like '%-%'").groupBy("word").agg(F.sum("n").alias("compounds")).withColumnRenamed("word", "compound")
     doubtful = parts.join(compounds, "compound")
     whole = counts.filter("word not like '%-%'").select("word").distinct().withColumn("whole", F.lit(True))
@@ -301,7 +321,7 @@ def split_words(paragraphs: DataFrame, counts: DataFrame) -> DataFrame:
     return parts.select("id", "word").distinct().join(kept, ["id", "word"], "left_anti").select("id").distinct()
 
 
-_JAVA_SPLIT = rf"\p{{L}}{{1,40}}{_MARK}[^\S\n]*\n\s*\p{{L}}{{1,40}}"
+_JAVA_SPLIT = rf"\p{{L}}++{_MARK}[^\S\n]*+\n\s*+\p{{L}}++"
 
 
 def _parts(spark: SparkSession, sf_dir: str):
