@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import p2_timestamps
+from . import p2_timestamps, relational
 
-_MODULES = [p2_timestamps]
+_MODULES = [p2_timestamps, relational]
 
 
 def queries() -> dict:
