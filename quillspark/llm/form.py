@@ -8,6 +8,7 @@ automaton until nothing changes. Superscripts, fractions and accents stay charac
 from __future__ import annotations
 
 import functools
+import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -101,32 +102,65 @@ def _counted() -> tuple[np.ndarray, list[str]]:
     return mask, longer
 
 
+class MemberCounter:
+    """Counts look-alike strings in batches of texts. It holds at most one number per member of the classes, a number
+    fixed by Unicode, whatever the size of the data."""
+
+    _MARKED = re.compile(r".[\u0300-\u036f]+")
+    _BEYOND = re.compile(r"[^\x00-\x7f]+")
+
+    def __init__(self) -> None:
+        self.total = np.zeros(0x110000, np.int64)
+        mask, longer = _counted()
+        self.mask, self.known = mask, set(longer)
+        self.ligated = [m for m in longer if m.isascii() and m.isalpha()]
+        self.strings: dict[str, int] = {}
+
+    def add(self, texts: list) -> None:
+        text = "\n".join(x for x in texts if x)
+        # one byte each counts ASCII; the rest is rare and picked out
+        self.total[:128] += np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)[:128]
+        rest = "".join(self._BEYOND.findall(text))
+        got = np.bincount(np.frombuffer(rest.encode("utf-32-le", "surrogatepass"), np.uint32), minlength=0x370)
+        self.total[: len(got)] += got
+        for m in self.ligated:
+            self._count(m, text.count(m))
+        if got[0x300:0x370].any():
+            for m in self._MARKED.findall(text):
+                if m in self.known:
+                    self._count(m, 1)
+
+    def _count(self, member: str, n: int) -> None:
+        if n:
+            self.strings[member] = self.strings.get(member, 0) + n
+
+    def counts(self) -> dict[str, int]:
+        return {chr(c): int(self.total[c]) for c in np.flatnonzero((self.total > 0) & self.mask) if not 0xD800 <= c < 0xE000} | self.strings
+
+    def packed(self) -> bytes:
+        return json.dumps(self.counts()).encode()
+
+    def merge(self, packed: bytes) -> None:
+        for m, n in self.unpacked(packed).items():
+            if len(m) == 1:
+                self.total[ord(m)] += n
+            else:
+                self._count(m, n)
+
+    @staticmethod
+    def unpacked(packed: bytes | None) -> dict[str, int]:
+        return json.loads(packed) if packed else {}
+
+
 def count_members(df: DataFrame, column: str) -> dict[str, int]:
-    """How often each look-alike string occurs in all rows of a text column. The result has at most one entry per
-    member of the classes, a number fixed by Unicode, whatever the size of the data."""
+    """How often each look-alike string occurs in all rows of a text column."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask, longer = _counted()
-        total = np.zeros(0x110000, np.int64)
-        strings: dict[str, int] = {}
-        marked = re.compile(r".[\u0300-\u036f]+")
-        beyond = re.compile(r"[^\x00-\x7f]+")
-        ligated = [m for m in longer if m.isascii() and m.isalpha()]
+        counter = MemberCounter()
         for batch in batches:
-            text = "\n".join(x for x in batch.column(0).to_pylist() if x)
-            # one byte each counts ASCII; the rest is rare and picked out
-            total[:128] += np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)[:128]
-            rest = "".join(beyond.findall(text))
-            got = np.bincount(np.frombuffer(rest.encode("utf-32-le", "surrogatepass"), np.uint32), minlength=0x370)
-            total[: len(got)] += got
-            for m in ligated:
-                strings[m] = strings.get(m, 0) + text.count(m)
-            if got[0x300:0x370].any():
-                for m in marked.findall(text):
-                    strings[m] = strings.get(m, 0) + 1
-        known = set(longer)
-        rows = [(chr(c), int(total[c])) for c in np.flatnonzero((total > 0) & mask)] + [(m, n) for m, n in strings.items() if n and m in known]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["member", "n"])
+            counter.add(batch.column(0).to_pylist())
+        found = counter.counts()
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["member", "n"])
 
     counts = df.select(column).mapInArrow(count, "member string, n long").groupBy("member").agg(F.sum("n").alias("n"))
     return {r.member: r.n for r in counts.collect()}

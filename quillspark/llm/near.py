@@ -18,8 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, table
-from .form import Form, learned, words
+from ..session import cut, drop_cut, table
+from .form import Form, MemberCounter, representatives, words
 from .copies import record
 
 THRESHOLD = 0.8
@@ -139,54 +139,27 @@ def _hash_words(tokens: list[str]) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, len(tokens))
 
 
-def _slots(hashes: np.ndarray) -> np.ndarray:
-    return (_mix(hashes ^ _U(5)) % _U(SLOTS)).astype(np.int64)
-
-
-def word_rarity(paragraphs: DataFrame, form: Form) -> tuple[np.ndarray, float]:
-    """How rare words are, in bits by counter, and how many bits make a part telling. All rows are counted; equal
-    contents count once per batch, so that a text copied all over the corpus doesn't make its words common. What comes
-    to the driver is one table of SLOTS counters, whatever the corpus; words that share a counter seem less rare."""
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
-        n = 0
-        for batch in batches:
-            tokens: list[str] = []
-            for c in set(batch.column(0).to_pylist()):
-                if c is not None and len(c) >= MIN_LETTERS_DIGITS:
-                    distinct = set(words(form(c)))
-                    if len(distinct) >= MIN_WORDS:
-                        n += 1
-                        tokens.extend(distinct)
-            if tokens:
-                total += np.bincount(_slots(_hash_words(tokens)), minlength=SLOTS)
-        yield pa.RecordBatch.from_arrays([
-            pa.array([-1, *range(SLOTS // CHUNK)], pa.int32()),
-            pa.array([np.array([n], np.int64).tobytes(), *(total[k : k + CHUNK].tobytes() for k in range(0, SLOTS, CHUNK))], pa.binary())], ["chunk", "counts"])
+def _widened(short: np.ndarray) -> np.ndarray:
+    """64-bit values of stored 32-bit hashes, for bands, sketches and counters; what is similar is decided by words."""
+    return _mix(short.view(np.uint32).astype(np.uint64) + _U(0x9E3779B97F4A7C15))
 
-    def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.int64) for x in group.column("counts").to_pylist())
-        return pa.table({"chunk": group.column("chunk")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
-    schema = "chunk int, counts binary"
-    got = {r.chunk: np.frombuffer(r.counts, np.int64) for r in paragraphs.select("content").mapInArrow(count, schema).groupBy("chunk").applyInArrow(add, schema).collect()}
-    n = max(2, int(got.get(-1, [0])[0]))
-    seen = np.concatenate([got[k] for k in range(SLOTS // CHUNK)]) if got else np.zeros(SLOTS, np.int64)
-    bits = np.where(seen > n * COMMON, 0, np.log2(n / np.maximum(seen, 1)))
-    return np.clip(np.round(bits * 4), 0, 255).astype(np.uint8), max(1.0, math.log2(n) - SLACK)
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> _U(44)).astype(np.int64)
 
 
-_SCAN = "id long, key binary, words_id long, n int, sketch array<long>, bands array<long>"
+_SCAN = "id long, key binary, words_id long, n int, hashes array<int>, chunk int, counts binary"
 
 
-def scanned(paragraphs: DataFrame, form: Form, rarity: np.ndarray, least: float) -> DataFrame:
-    """One row per eligible paragraph: its key among copies (problem 5), the id of its set of words, that set's size,
-    odd sketch and band values. Sketch and bands stand once per distinct set of a batch, else they are empty."""
+def _scanned(paragraphs: DataFrame, form: Form) -> DataFrame:
+    """Of one pass over the contents: a row per eligible paragraph, rows with the frequency of words (chunk from 0 on),
+    the number of sets they were counted in (chunk -1) and the frequency of look-alike strings (chunk -2)."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, members, counted_sets = np.zeros(SLOTS, np.int64), MemberCounter(), 0
         for batch in batches:
             ids, content, is_table = (batch.column(k).to_pylist() for k in range(3))
+            members.add(content)
             seen: dict = {}
             sets: dict = {}
             rows, tokens, starts = [], [], []
@@ -214,31 +187,130 @@ def scanned(paragraphs: DataFrame, form: Form, rarity: np.ndarray, least: float)
                     number = sets[distinct] = len(starts)
                     starts.append(len(tokens))
                     tokens.extend(distinct)
-                rows.append((i, key, number, len(distinct), fresh))
+                rows.append((i, key, number, len(distinct) if fresh else 0, len(distinct)))
             if not rows:
                 continue
             hashes = _hash_words(tokens)
-            begin = np.array(starts)
-            words_id = _mix(np.add.reduceat(_mix(hashes), begin)).view(np.int64)
-            odd = sketch(hashes, begin).view(np.int64)
-            owner, values = bands(hashes, rarity[_slots(hashes)] / 4, least, begin)
-            order = np.argsort(owner, kind="stable")
-            fresh = np.array([r[4] for r in rows])
-            # sets are numbered in the order of their fresh rows, so the lists of fresh rows follow one another
-            held = np.zeros((2, len(rows)), np.int64)
-            held[0, fresh], held[1, fresh] = BITS // 64, np.bincount(owner, minlength=len(begin))
-            at = np.concatenate([np.zeros((2, 1), np.int64), held.cumsum(1)], 1).astype(np.int32)
+            words_id = _mix(np.add.reduceat(_mix(hashes), np.array(starts))).view(np.int64)
+            short = hashes.astype(np.uint32).view(np.int32)
+            total += np.bincount(_slots(_widened(short)), minlength=SLOTS)
+            counted_sets += len(starts)
+            # sets are numbered in the order of their first rows, so the lists of these follow one another
+            at = np.concatenate([[0], np.cumsum([r[3] for r in rows])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
-                pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()),
-                pa.array(words_id[[r[2] for r in rows]]), pa.array([r[3] for r in rows], pa.int32()),
-                pa.ListArray.from_arrays(pa.array(at[0]), pa.array(odd.ravel())),
-                pa.ListArray.from_arrays(pa.array(at[1]), pa.array(values[order].view(np.int64))),
-            ], ["id", "key", "words_id", "n", "sketch", "bands"])
+                pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array(words_id[[r[2] for r in rows]]),
+                pa.array([r[4] for r in rows], pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(short)),
+                pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], _NAMES)
+        tables = [members.packed(), np.array([counted_sets], np.int64).tobytes(), *(total[k : k + CHUNK].tobytes() for k in range(0, SLOTS, CHUNK))]
+        n = len(tables)
+        yield pa.RecordBatch.from_arrays([
+            pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int32())),
+            pa.array(range(-2, n - 2), pa.int32()), pa.array(tables, pa.binary())], _NAMES)
 
     kind = F.coalesce(F.lower("paragraph_type") == "table", F.lit(False))
     return paragraphs.select(F.col("id").cast("long"), "content", kind.alias("t")).mapInArrow(scan, _SCAN)
 
 
+_NAMES = [x.split()[0] for x in _SCAN.split(", ")]
+
+
+class Scan:
+    """The scanned paragraphs of a table: ``rows`` (id, key among copies as in problem 5, words_id of its set of words,
+    that set's size n, and the hashes of its words once per batch, else none), the ``form`` of the text, and how rare
+    words are: ``rarity`` in quarter bits by counter, and ``least``, the bits that make a part telling.
+
+    Frequencies cover all rows; equal contents count once per batch, so that a text copied all over the corpus doesn't
+    make its words common. What comes to the driver is one table of SLOTS counters, whatever the corpus; words that
+    share a counter seem less rare. The form is assumed to be the one that Unicode alone suggests; should the corpus
+    be written otherwise, the pass is repeated with the form that it shows.
+    """
+
+    def __init__(self, paragraphs: DataFrame) -> None:
+        self.form = Form(representatives({}))
+        while True:
+            scan = cut(_scanned(paragraphs, self.form), "near-rows")
+            counts = {r.chunk: r.counts for r in scan.filter("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(_added, "chunk int, counts binary").collect()}
+            seen = Form(representatives(MemberCounter.unpacked(counts.get(-2))))
+            if seen.to == self.form.to:
+                break
+            drop_cut(scan)
+            self.form = seen
+        n = max(2, int(np.frombuffer(counts[-1], np.int64)[0]) if counts else 0)
+        frequency = np.concatenate([np.frombuffer(counts[k], np.int64) for k in range(SLOTS // CHUNK)]) if counts else np.zeros(SLOTS, np.int64)
+        bits = np.where(frequency > n * COMMON, 0, np.log2(n / np.maximum(frequency, 1)))
+        self.rarity, self.least = np.clip(np.round(bits * 4), 0, 255).astype(np.uint8), max(1.0, math.log2(n) - SLACK)
+        self.rows = scan.filter("chunk is null").select("id", "key", "words_id", "n", "hashes")
+
+
+def _added(group: pa.Table) -> pa.Table:
+    """The sum of the tables of one chunk."""
+    parts = group.column("counts").to_pylist()
+    if group.column("chunk")[0].as_py() == -2:
+        total = MemberCounter()
+        for x in parts:
+            total.merge(x)
+        whole = total.packed()
+    else:
+        whole = sum(np.frombuffer(x, np.int64) for x in parts).tobytes()
+    return pa.table({"chunk": group.column("chunk")[:1], "counts": pa.array([whole], pa.binary())})
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a column of lists one after another, and where each list starts."""
+    offsets = column.offsets.to_numpy()
+    return _widened(column.flatten().to_numpy(zero_copy_only=False)), (offsets[:-1] - offsets[0]).astype(np.int64)
+
+
+def sketches(fresh: DataFrame) -> DataFrame:
+    """(words_id, n, s0, s1, ...): the odd sketch of each set, in 64-bit words."""
+    names = ["words_id", "n", *(f"s{k}" for k in range(BITS // 64))]
+
+    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                odd = sketch(*_lists(batch.column(2))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(odd[:, k])) for k in range(BITS // 64))], names)
+
+    held = fresh.select("words_id", "n", "hashes").mapInArrow(fold, "words_id long, n int, " + ", ".join(f"{x} long" for x in names[2:]))
+    return held.groupBy("words_id").agg(*[F.first(x).alias(x) for x in names[1:]])
+
+
+def candidates(fresh: DataFrame, rarity: np.ndarray, least: float) -> DataFrame:
+    """(words_a, words_b): pairs of sets that share a band value, in either order of appearance, a < b. Values are
+    sorted within partitions and paired as they stream by; only one bucket is held at a time. It is small against the
+    corpus, as no band value is shared by more than COMMON of all sets; none is capped."""
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                hashes, starts = _lists(batch.column(1))
+                owner, values = bands(hashes, rarity[_slots(hashes)] / 4, least, starts)
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(batch.column(0).to_numpy()[owner])], ["v", "words_id"])
+
+    def pair(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, w = np.empty(0, np.int64), np.empty(0, np.int64)
+
+        def pairs(v: np.ndarray, w: np.ndarray) -> Iterator[pa.RecordBatch]:
+            new = np.append(True, (v[1:] != v[:-1]) | (w[1:] != w[:-1]))
+            v, w = v[new], w[new]
+            at, step = np.arange(len(v)), 1
+            while len(at := at[at + step < len(v)]) and len(at := at[v[at + step] == v[at]]):
+                yield pa.RecordBatch.from_arrays([pa.array(w[at]), pa.array(w[at + step])], ["words_a", "words_b"])
+                step += 1
+
+        for batch in batches:
+            v, w = np.concatenate([v, batch.column(0).to_numpy()]), np.concatenate([w, batch.column(1).to_numpy()])
+            if len(v):
+                whole = int(np.searchsorted(v, v[-1]))
+                yield from pairs(v[:whole], w[:whole]) if whole else ()
+                v, w = v[whole:], w[whole:]
+        if len(v):
+            yield from pairs(v, w)
+
+    values = fresh.select("words_id", "hashes").mapInArrow(deal, "v long, words_id long")
+    return values.repartition("v").sortWithinPartitions("v", "words_id").mapInArrow(pair, "words_a long, words_b long")
+
+
 def hashed_words(contents: DataFrame, form: Form) -> DataFrame:
     """(words_id, hashes) of rows (words_id, content): the 64-bit hashes of the different words of each content."""
 
@@ -250,21 +322,20 @@ def hashed_words(contents: DataFrame, form: Form) -> DataFrame:
     return contents.select("words_id", "content").mapInArrow(scan, "words_id long, hashes array<long>")
 
 
-def similar_sets(rows: DataFrame, paragraphs: DataFrame, form: Form, evidence: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def similar_sets(scan: Scan, paragraphs: DataFrame, evidence: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(words_a, words_b): pairs of different sets of words that share ``threshold`` of their union.
 
-    ``rows`` comes from :func:`scanned`; ``evidence`` may hold further candidates (words_a, words_b). Copies take part
-    once, as the sets are joined and not the rows. A band value is shared by few sets as its words are rare, so no
-    bucket is hot; none is collected and none is capped. Two sets similar to a third are candidates too.
+    ``evidence`` may hold further candidates (words_a, words_b). Copies take part once, as the sets are compared and
+    not the rows. Sketches drop what is clearly less similar, the words decide. Two sets similar to a third are
+    candidates too.
     """
-    fresh = rows.filter("size(sketch) > 0")
-    sketches = fresh.groupBy("words_id").agg(F.first("sketch").alias("s"), F.first("n").alias("n"))
-    # one exchange by band value serves the removal of repeated sets and both sides of the join
-    values = fresh.select(F.explode("bands").alias("v"), "words_id").repartition("v").distinct()
-    pairs = values.select("v", F.col("words_id").alias("words_a")).join(values.select("v", F.col("words_id").alias("words_b")), "v").filter("words_a < words_b").select("words_a", "words_b")
+    form = scan.form
+    fresh = scan.rows.filter("size(hashes) > 0")
+    pairs = candidates(fresh, scan.rarity, scan.least)
     if evidence is not None:
         pairs = pairs.unionByName(evidence)
-    side = lambda x: sketches.select(F.col("words_id").alias(f"words_{x}"), *[F.col("s")[k].alias(f"s{x}{k}") for k in range(BITS // 64)], F.col("n").alias(f"n_{x}"))
+    held = sketches(fresh)
+    side = lambda x: held.select(F.col("words_id").alias(f"words_{x}"), *[F.col(f"s{k}").alias(f"s{x}{k}") for k in range(BITS // 64)], F.col("n").alias(f"n_{x}"))
     judged = pairs.distinct().join(side("a"), "words_a").join(side("b"), "words_b")
     flips = sum((F.bit_count(F.col(f"sa{k}").bitwiseXOR(F.col(f"sb{k}"))) for k in range(BITS // 64)), F.lit(0))
     close = cut(judged.filter((flips <= most_flips(threshold)) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)).select("words_a", "words_b"), "near-pairs")
@@ -287,15 +358,14 @@ def similar_sets(rows: DataFrame, paragraphs: DataFrame, form: Form, evidence: D
 
 
 def _edited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The scanned rows, and the similar pairs of sets of words."""
+    """The scanned rows, and the similar pairs of sets of words. Pairs of earlier results are candidates as well."""
     paragraphs = table(spark, sf_dir, "paragraphs")
-    form = learned(paragraphs, "content")
-    rows = cut(scanned(paragraphs, form, *word_rarity(paragraphs, form)), "near-rows")
-    ids = rows.select("id", "words_id")
+    scan = Scan(paragraphs)
+    ids = scan.rows.select("id", "words_id")
     earlier = table(spark, sf_dir, "similarity_results").select("paragraph1_id", "paragraph2_id").distinct()
     earlier = earlier.join(ids.select(F.col("id").alias("paragraph1_id"), F.col("words_id").alias("x")), "paragraph1_id").join(
         ids.select(F.col("id").alias("paragraph2_id"), F.col("words_id").alias("y")), "paragraph2_id").filter("x <> y")
-    return rows, similar_sets(rows, paragraphs, form, earlier.select(F.least("x", "y").alias("words_a"), F.greatest("x", "y").alias("words_b")))
+    return scan.rows, similar_sets(scan, paragraphs, earlier.select(F.least("x", "y").alias("words_a"), F.greatest("x", "y").alias("words_b")))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
