@@ -52,9 +52,10 @@ def word_set(text) -> Column:
     return F.array_distinct(tokens(text))
 
 
-def shingles(text) -> Column:
-    """Overlapping runs of three characters of the cleaned text, two if it has fewer than 30; repeated ones stay."""
-    c = cleaned(text)
+def shingles(cleaned_text) -> Column:
+    """Overlapping runs of three characters of a column of :func:`cleaned` text, two if it has fewer than 30; repeated
+    ones stay. It takes a column, as each run would clean the text anew."""
+    c = _c(cleaned_text)
     k = F.when(F.length(c) < 30, 2).otherwise(3)
     return F.when(F.length(c) < k, F.array().cast("array<string>")).otherwise(
         F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.substring(c, i, k)))
@@ -144,9 +145,9 @@ def classified(text) -> Column:
 def size_text(size) -> Column:
     """A number of bytes with two decimals and a unit up to TB."""
     v = _c(size).cast("double")
-    out = F.format_string("%.2f TB", v / 1024.0**4)
+    out = F.format_string("%.2f TB", F.bround(v / 1024.0**4, 2))
     for k, unit in reversed(list(enumerate(["B", "KB", "MB", "GB"]))):
-        out = F.when(v < 1024.0 ** (k + 1), F.format_string(f"%.2f {unit}", v / 1024.0**k)).otherwise(out)
+        out = F.when(v < 1024.0 ** (k + 1), F.format_string(f"%.2f {unit}", F.bround(v / 1024.0**k, 2))).otherwise(out)
     return out
 
 

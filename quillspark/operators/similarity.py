@@ -78,8 +78,8 @@ def similar_classes(paragraphs: DataFrame, threshold: float = 0.8) -> DataFrame:
 def signatures(contents: DataFrame) -> DataFrame:
     """(id, signature, bands): MinHash of word pairs for contents over 100 characters, else of character shingles."""
     pairs = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat(F.element_at("words", i), F.lit(" "), F.element_at("words", i + 1)))
-    held = contents.select("id", "content", T.tokens("content").alias("words")).select(
-        "id", F.when(F.length("content") <= 100, T.shingles("content")).when(F.size("words") > 1, pairs).otherwise(F.array().cast("array<string>")).alias("items"))
+    held = contents.select("id", "content", T.tokens("content").alias("words"), T.cleaned("content").alias("cleaned")).select(
+        "id", F.when(F.length("content") <= 100, T.shingles("cleaned")).when(F.size("words") > 1, pairs).otherwise(F.array().cast("array<string>")).alias("items"))
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(1)
