@@ -51,6 +51,7 @@ class UnionFind:
 
 def links() -> Iterator[tuple[str, str]]:
     """Pairs of strings that print the same: from the Unicode character data, and the fixed tables above."""
+    alike = dict(zip(*[iter(LOOK_ALIKES.split())] * 2))
     for code in range(0x80, 0x20000):
         c = chr(code)
         kind, decomposed = unicodedata.category(c), unicodedata.decomposition(c)
@@ -64,8 +65,10 @@ def links() -> Iterator[tuple[str, str]]:
             ligature = tag == "<compat" and "LIGATURE" in unicodedata.name(c, "")
             if not tag or tag in ("<wide", "<narrow", "<noBreak", "<font") or ligature:
                 yield c, string
-    for a, b in zip(*[iter(LOOK_ALIKES.split())] * 2):
-        yield a, b
+                if string[:1] in alike:
+                    # an accent on a look-alike prints like the accent on the letter itself
+                    yield string, alike[string[0]] + string[1:]
+    yield from alike.items()
     for c in HYPHENS.split():
         yield c, "-"
     # A soft hyphen shows only at the end of a line.

@@ -140,7 +140,7 @@ def _hash_words(tokens: list[str]) -> np.ndarray:
 
 
 def _widened(short: np.ndarray) -> np.ndarray:
-    """64-bit values of stored 32-bit hashes, for bands, sketches and counters; what is similar is decided by words."""
+    """64-bit values of stored 32-bit hashes, for bands, sketches and counters."""
     return _mix(short.view(np.uint32).astype(np.uint64) + _U(0x9E3779B97F4A7C15))
 
 
@@ -311,25 +311,13 @@ def candidates(fresh: DataFrame, rarity: np.ndarray, least: float) -> DataFrame:
     return values.repartition("v").sortWithinPartitions("v", "words_id").mapInArrow(pair, "words_a long, words_b long")
 
 
-def hashed_words(contents: DataFrame, form: Form) -> DataFrame:
-    """(words_id, hashes) of rows (words_id, content): the 64-bit hashes of the different words of each content."""
-
-    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [_hash_words(list(set(words(form(c))))).view(np.int64) for c in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["words_id", "hashes"])
-
-    return contents.select("words_id", "content").mapInArrow(scan, "words_id long, hashes array<long>")
-
-
-def similar_sets(scan: Scan, paragraphs: DataFrame, evidence: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def similar_sets(scan: Scan, evidence: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(words_a, words_b): pairs of different sets of words that share ``threshold`` of their union.
 
     ``evidence`` may hold further candidates (words_a, words_b). Copies take part once, as the sets are compared and
-    not the rows. Sketches drop what is clearly less similar, the words decide. Two sets similar to a third are
-    candidates too.
+    not the rows. Sketches drop what is clearly less similar; the words decide, compared by 32-bit hashes, of which two
+    in a pair of sets are equal by chance once in some million pairs. Two sets similar to a third are candidates too.
     """
-    form = scan.form
     fresh = scan.rows.filter("size(hashes) > 0")
     pairs = candidates(fresh, scan.rarity, scan.least)
     if evidence is not None:
@@ -341,8 +329,7 @@ def similar_sets(scan: Scan, paragraphs: DataFrame, evidence: DataFrame | None =
     close = cut(judged.filter((flips <= most_flips(threshold)) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)).select("words_a", "words_b"), "near-pairs")
 
     ends = close.select(F.explode(F.array("words_a", "words_b")).alias("words_id")).distinct()
-    holders = fresh.select("words_id", "id").join(ends, "words_id").groupBy("words_id").agg(F.min("id").alias("id"))
-    sets = cut(hashed_words(holders.join(paragraphs.select("id", "content"), "id"), form), "near-words")
+    sets = cut(fresh.select("words_id", "hashes").join(ends, "words_id").groupBy("words_id").agg(F.first("hashes").alias("hashes")), "near-words")
     a, b = (sets.select(F.col("words_id").alias(f"words_{x}"), F.col("hashes").alias(f"h_{x}")) for x in "ab")
 
     def exactly(pairs: DataFrame) -> DataFrame:
@@ -365,7 +352,7 @@ def _edited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     earlier = table(spark, sf_dir, "similarity_results").select("paragraph1_id", "paragraph2_id").distinct()
     earlier = earlier.join(ids.select(F.col("id").alias("paragraph1_id"), F.col("words_id").alias("x")), "paragraph1_id").join(
         ids.select(F.col("id").alias("paragraph2_id"), F.col("words_id").alias("y")), "paragraph2_id").filter("x <> y")
-    return scan.rows, similar_sets(scan, paragraphs, earlier.select(F.least("x", "y").alias("words_a"), F.greatest("x", "y").alias("words_b")))
+    return scan.rows, similar_sets(scan, earlier.select(F.least("x", "y").alias("words_a"), F.greatest("x", "y").alias("words_b")))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
