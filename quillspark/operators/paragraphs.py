@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut
 
 C = F.col
 #: What one page may hold.
@@ -23,14 +24,26 @@ DEFAULT_TAGS = ["Common", "Disclaimer", "Footer", "Header", "Important"]
 
 def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Rows with their place in an order over the whole table, from 1. Rows are range-partitioned and numbered within
-    partitions; only the partitions' sizes are added up, so no task sees all rows."""
-    sorted_rows = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).sortWithinPartitions(*order)
-    local = sorted_rows.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    partitions; only the partitions' sizes are added up, so no task sees all rows, nor all rows of one key. The
+    numbered partitions are written once, as a second sampling of the ranges could place rows otherwise."""
+    placed = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    local = cut(placed.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order))), "numbered")
     sizes = local.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
+    # one row per partition
     before = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return local.join(F.broadcast(before), "__part").withColumn(name, (C("__n") + C("__before")).cast("long")).drop("__part", "__n", "__size", "__before")
 
 
+def before_each(rows: DataFrame, keys: list[str], order: list[Column], columns: list[str]) -> DataFrame:
+    """Rows with ``columns`` of the row before in the same group, as ``previous_...`` (null for the first). Groups are
+    not gathered: all rows are numbered in one order, and each meets the one before by its number."""
+    n = cut(numbered(rows, [*[C(k).asc_nulls_first() for k in keys], *order], "__at"), "ordered")
+    last = n.select((C("__at") + 1).alias("__at"), *[C(k).alias(f"__{k}") for k in keys], *[C(c).alias(f"__previous_{c}") for c in columns])
+    joined = n.join(last, "__at", "left")
+    same = reduce(lambda x, y: x & y, [C(k).eqNullSafe(C(f"__{k}")) for k in keys])
+    return joined.select(*[c for c in n.columns if c != "__at"], C("__at").alias("place"), *[F.when(same, C(f"__previous_{c}")).alias(f"previous_{c}") for c in columns])
+
+
 def page(rows: DataFrame, order: list[Column], page: int = 1, per_page: int = 25) -> DataFrame:
     """One page of rows in an order; the page size is kept within PAGE_SIZES."""
     size = min(max(per_page, PAGE_SIZES[0]), PAGE_SIZES[1])
@@ -189,25 +202,35 @@ def summary(documents: DataFrame, paragraphs: DataFrame, tags: DataFrame, result
         F.round(F.avg("content_similarity_score"), 6).alias("mean_content"), F.round(F.avg("text_similarity_score"), 6).alias("mean_text")))
 
 
+def _in_document() -> list[Column]:
+    return [C("para_position").asc_nulls_first(), C("id")]
+
+
 def positions(paragraphs: DataFrame) -> DataFrame:
     """Paragraphs with their number within the document, from 0, without gaps."""
-    return paragraphs.withColumn("sequence", (F.row_number().over(Window.partitionBy("document_id").orderBy("para_position", "id")) - 1).cast("long"))
+    placed = cut(numbered(paragraphs, [C("document_id").asc_nulls_first(), *_in_document()], "__at"), "placed")
+    first = placed.groupBy("document_id").agg(F.min("__at").alias("__first"))
+    joined = placed.join(first.withColumnRenamed("document_id", "__d"), C("document_id").eqNullSafe(C("__d")))
+    return joined.withColumn("sequence", C("__at") - C("__first")).drop("__at", "__first", "__d")
 
 
 def headed(paragraphs: DataFrame) -> DataFrame:
     """Paragraphs with the header right before them in their document and column; headers themselves have none."""
-    w = Window.partitionBy("document_id", "column_no").orderBy("para_position", "id")
-    is_header = C("paragraph_type").isin("header", "heading")
-    return paragraphs.withColumn("header", F.when(F.lag(is_header).over(w) & ~is_header, F.lag("content").over(w)))
+    rows = before_each(paragraphs, ["document_id", "column_no"], _in_document(), ["paragraph_type", "content"])
+    is_header = lambda c: F.coalesce(C(c).isin("header", "heading"), F.lit(False))
+    return rows.withColumn("header", F.when(is_header("previous_paragraph_type") & ~is_header("paragraph_type"), C("previous_content"))).drop("place", "previous_paragraph_type", "previous_content")
 
 
 def merged_runs(paragraphs: DataFrame, kinds: tuple[str, ...] = ("list", "table")) -> DataFrame:
     """(document_id, id, content, merged): runs of neighbours of one of ``kinds`` as one paragraph, the others alone."""
-    w = Window.partitionBy("document_id").orderBy("para_position", "id")
-    same = F.coalesce((F.lag("paragraph_type").over(w) == C("paragraph_type")) & C("paragraph_type").isin(*kinds), F.lit(False))
-    runs = paragraphs.withColumn("new", F.when(same, 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
-    rows = runs.groupBy("document_id", "run").agg(F.sort_array(F.collect_list(F.struct("para_position", "id", "content"))).alias("rows"))
-    return rows.select("document_id", C("rows")[0]["id"].alias("id"), F.array_join(F.transform("rows", lambda x: x["content"]), "\n").alias("content"), F.size("rows").cast("long").alias("merged"))
+    rows = before_each(paragraphs, ["document_id"], _in_document(), ["paragraph_type"])
+    same = F.coalesce((C("previous_paragraph_type") == C("paragraph_type")) & C("paragraph_type").isin(*kinds), F.lit(False))
+    # place minus rank among the rows that go on a run is the same all along a run
+    going = numbered(rows.filter(same).select("place"), [C("place")], "k").select("place", (C("place") - C("k")).alias("island"))
+    island = going.groupBy("island").agg((F.min("place") - 1).alias("start"))
+    runs = rows.join(going.join(island, "island").select("place", "start"), "place", "left").withColumn("start", F.coalesce("start", "place"))
+    lists = runs.groupBy("document_id", "start").agg(F.sort_array(F.collect_list(F.struct("place", "id", "content"))).alias("rows"))
+    return lists.select("document_id", C("rows")[0]["id"].alias("id"), F.array_join(F.transform("rows", lambda x: x["content"]), "\n").alias("content"), F.size("rows").cast("long").alias("merged"))
 
 
 def replaced_results(results: DataFrame) -> DataFrame:

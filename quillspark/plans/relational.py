@@ -262,7 +262,7 @@ def _(spark, t):
 
 @query("O4_composite_order", "select id, row_number() over (partition by document_id order by para_position, id) as place from paragraphs")
 def _(spark, t):
-    return t("paragraphs").select("id", F.row_number().over(Window.partitionBy("document_id").orderBy("para_position", "id")).cast("long").alias("place"))
+    return P.positions(t("paragraphs")).select("id", (C("sequence") + 1).alias("place"))
 
 
 @query("W1_positions", "select id, row_number() over (partition by document_id order by para_position, id) - 1 as sequence from paragraphs")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import folds
 from ..operators import graph as G
 from ..operators import inserts as I
 from ..operators import paragraphs as P
@@ -251,3 +252,18 @@ def _(spark, t):
     pages = t("eval_items").select(C("suite").alias("insert_id"), C("item_id").alias("page_id"), C("text").alias("content"))
     found = I.page_matches(pages, _pages(t("documents")), 0.7).join(pages.select("insert_id", C("page_id").alias("insert_page")), "insert_page")
     return found.groupBy("insert_id").agg(F.countDistinct("document_id").alias("documents"), F.round(F.avg("score"), 6).alias("mean_score"))
+
+
+@query("W4_colon_attach")
+def _(spark, t):
+    return folds.attach_elements(t("paragraphs"))
+
+
+@query("T15_split_long")
+def _(spark, t):
+    return folds.split_texts(t("paragraphs"))
+
+
+@query("T16_S18_packed_pages")
+def _(spark, t):
+    return folds.packed_pages(t("paragraphs"))
