@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import p2_timestamps, relational, textual
+from . import further, p2_timestamps, relational, textual
 
-_MODULES = [p2_timestamps, relational, textual]
+_MODULES = [p2_timestamps, relational, textual, further]
 
 
 def queries() -> dict:
