@@ -30,8 +30,11 @@ SAMPLES, BITS, BLOCK = 128, 256, 1024
 #: Words of a set for each part its telling words are dealt to, and how often sets of up to so many words are dealt.
 PART_WORDS, DEALINGS = 10.0, ((30, 9), (60, 6), (1 << 30, 3))
 #: A part is a band value if its words together are rare enough for at most 2 ** SLACK sets to hold them all by chance.
-#: Words in over COMMON of all sets tell nothing and are dealt to no part, so no band value is shared by more sets.
-SLACK, COMMON = 4.0, 0.015
+#: Words in over COMMON of all sets, and in over MANY of them, are not rare: they tell nothing and are dealt to no part.
+#: A set is weak if the rare words that it shares have less than FEW times the bits of a telling part.
+SLACK, COMMON, MANY, FEW = 4.0, 0.015, 5000, 2.0
+#: Weak sets are dealt to parts of so many words, of which so many make a part a band value.
+WEAK_WORDS, WEAK_LEAST = 8.0, 6.0
 #: Counters for the frequency of words; their number is fixed, so the table has the same size whatever the corpus.
 SLOTS, CHUNK = 1 << 20, 1 << 14
 
@@ -89,24 +92,33 @@ def _levels(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bands(hashes: np.ndarray, rarity: np.ndarray, least: float, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(set number, band value) of the telling parts of every set, on its own level and where needed on the next. A part
-    tells if the ``rarity`` of its words, in bits, sums to ``least`` or more."""
+    """(set number, band value) of the telling parts of every set, on its own level and where needed on the next. Rare
+    words are dealt to parts; a part tells if the ``rarity`` of its words, in bits, sums to ``least`` or more. Sets
+    with few rare words, such as versions of a text that fills much of the corpus, are also dealt with all their words."""
     n = np.diff(np.append(starts, len(hashes)))
-    level, above = _levels(n)
+    owner = np.repeat(np.arange(len(n)), n)
     rare = rarity > 0
-    hashes, rarity, owner = hashes[rare], rarity[rare], np.repeat(np.arange(len(n)), n)[rare]
-    sets, values = [], []
+    # a word that one set alone holds brings it together with no other
+    shared = np.where(rarity < least + SLACK - 0.5, rarity, 0)
+    weak = (np.add.reduceat(shared, starts) < FEW * least)[owner]
+    o1, v1 = _dealt(hashes[rare], owner[rare], rarity[rare], least, n, PART_WORDS, 0)
+    o2, v2 = _dealt(hashes[weak], owner[weak], np.ones(int(weak.sum())), WEAK_LEAST, n, WEAK_WORDS, 1000)
+    return np.concatenate([o1, o2]), np.concatenate([v1, v2])
+
+
+def _dealt(hashes: np.ndarray, owner: np.ndarray, weight: np.ndarray, least: float, n: np.ndarray, part_words: float, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """(set number, band value) of the parts whose words weigh ``least`` or more."""
+    level, above = _levels(n)
+    sets, values = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
     for lv in range(int(level.max(initial=0)) + 2):
         on = (level == lv) | (above & (level == lv - 1))
-        if not on.any():
-            continue
         take = on[owner]
         if not take.any():
             continue
-        h, o, w = hashes[take], owner[take], rarity[take]
-        parts = max(2, round(MIN_WORDS * 2.0**lv * math.sqrt(2) / PART_WORDS))
+        h, o, w = hashes[take], owner[take], weight[take]
+        parts = max(2, round(MIN_WORDS * 2.0**lv * math.sqrt(2) / part_words))
         for dealing in range(next(d for most, d in DEALINGS if MIN_WORDS * 2.0**lv < most)):
-            salt = _U(lv * 64 + dealing + 1)
+            salt = _U(kind + lv * 64 + dealing + 1)
             part = (_mix(h ^ _mix(np.array([salt]))) % _U(parts)).astype(np.int64)
             cell = o * parts + part
             order = np.argsort(cell, kind="stable")
@@ -117,8 +129,6 @@ def bands(hashes: np.ndarray, rarity: np.ndarray, least: float, starts: np.ndarr
             cell, total = cell[first][telling], total[telling]
             sets.append(cell // parts)
             values.append(_mix(total + (cell % parts).astype(np.uint64) * _U(0xD6E8FEB86659FD93) + salt))
-    if not sets:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
     return np.concatenate(sets), np.concatenate(values)
 
 
@@ -237,7 +247,7 @@ class Scan:
             self.form = seen
         n = max(2, int(np.frombuffer(counts[-1], np.int64)[0]) if counts else 0)
         frequency = np.concatenate([np.frombuffer(counts[k], np.int64) for k in range(SLOTS // CHUNK)]) if counts else np.zeros(SLOTS, np.int64)
-        bits = np.where(frequency > n * COMMON, 0, np.log2(n / np.maximum(frequency, 1)))
+        bits = np.where(frequency > max(n * COMMON, MANY), 0, np.maximum(0.25, np.log2(n / np.maximum(frequency, 1))))
         self.rarity, self.least = np.clip(np.round(bits * 4), 0, 255).astype(np.uint8), max(1.0, math.log2(n) - SLACK)
         self.rows = scan.filter("chunk is null").select("id", "key", "words_id", "n", "hashes")
 
@@ -277,8 +287,8 @@ def sketches(fresh: DataFrame) -> DataFrame:
 
 def candidates(fresh: DataFrame, rarity: np.ndarray, least: float) -> DataFrame:
     """(words_a, words_b): pairs of sets that share a band value, in either order of appearance, a < b. Values are
-    sorted within partitions and paired as they stream by; only one bucket is held at a time. It is small against the
-    corpus, as no band value is shared by more than COMMON of all sets; none is capped."""
+    sorted within partitions and paired as they stream by; only the ids of one bucket are held at a time, and its pairs
+    are written in slices. Buckets are small against the corpus, as their words are rare; none is capped."""
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
