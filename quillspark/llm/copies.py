@@ -74,8 +74,10 @@ def keyed(paragraphs: DataFrame, form: Form, least: int = MIN_LETTERS_DIGITS) ->
 
 
 def groups(keys: DataFrame) -> DataFrame:
-    """(key, group_id, copies): the groups of two or more equal keys; counted partly before the shuffle."""
-    return keys.groupBy("key").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    """(key, group_id, copies): the groups of equal keys with two or more ids; counted partly before the shuffle. A
+    row that is merely repeated is no group of its own."""
+    found = keys.groupBy("key").agg(F.min("id").alias("group_id"), F.max("id").alias("last"), F.count(F.lit(1)).alias("copies"))
+    return found.filter("group_id < last").drop("last")
 
 
 def members(keys: DataFrame) -> DataFrame:
@@ -89,6 +91,7 @@ def paragraph_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for every member of a group but the smallest id, which names the group."""
     return members(paragraph_keys(spark, sf_dir)).filter("id <> group_id").select("group_id", F.col("id").alias("paragraph_id"))
 
 

@@ -71,6 +71,7 @@ def test_words():
 def test_copies(spark):
     rows = table(spark, [
         (5, TALL, 1, "normal", None), (9, TALL.upper() + "!", 2, "list", "H"), (7, " ".join(TALL), 3, "normal", " "), (8, TALL.replace("a", "а"), 1, "normal", None),
+        (30, TALL + "once more", 1, "normal", None), (30, TALL + "once more", 1, "normal", None),
         (1, "x " * 20, 1, "normal", None), (2, None, 1, "normal", None), (3, "", None, None, None), (4, "short", 1, "normal", None),
         (20, "a" * 30 + "|" + "b" * 30, 1, "table", None), (21, "b" * 30 + "\n\n" + "a" * 30 + " | ", 2, "table", None), (22, "a" * 30 + "|" + "b" * 30, 3, "normal", None)])
     keys = copies.keyed(rows, FORM)
