@@ -106,7 +106,9 @@ def with_instant(df: DataFrame, value: str, zone: str, slash_order: str, out: st
     ``df`` keep their names; working columns start with ``__ts_`` and are dropped.
     """
     raw = F.col(value)
-    work = df.withColumn("__ts_p", F.when(raw.rlike(PATTERN), F.split(F.regexp_replace(raw, PATTERN, _template()), "\u0001")))
+    # the one run of the expression; a value that it doesn't match stays in one piece
+    work = _once(df.withColumn("__ts_p", F.when(~raw.contains("\u0001"), F.split(F.regexp_replace(raw, PATTERN, _template()), "\u0001"))))
+    work = work.withColumn("__ts_p", F.when(F.size("__ts_p") == len(PARTS), F.col("__ts_p")))
     part = {p: F.col("__ts_p")[k] for k, p in enumerate(PARTS)}
 
     def number(p: str) -> Column:
