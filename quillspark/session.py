@@ -63,6 +63,12 @@ def drop_cut(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, upon which Spark deletes the shuffle files that nothing refers to any more.
+    Long pipelines call it between large steps, so that these don't hold disk at the same time."""
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data directory."""
     ship(spark)
