@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, drop_cut, table
+from ..session import cut, drop_cut, release, table
 from .form import Form, MemberCounter, representatives, words
 from .copies import record
 
@@ -334,9 +334,12 @@ def similar_sets(scan: Scan, evidence: DataFrame | None = None, threshold: float
         pairs = pairs.unionByName(evidence)
     held = sketches(fresh)
     side = lambda x: held.select(F.col("words_id").alias(f"words_{x}"), *[F.col(f"s{k}").alias(f"s{x}{k}") for k in range(BITS // 64)], F.col("n").alias(f"n_{x}"))
-    judged = pairs.distinct().join(side("a"), "words_a").join(side("b"), "words_b")
+    pairs = cut(pairs.distinct(), "near-candidates")
+    release(pairs.sparkSession)
+    judged = pairs.join(side("a"), "words_a").join(side("b"), "words_b")
     flips = sum((F.bit_count(F.col(f"sa{k}").bitwiseXOR(F.col(f"sb{k}"))) for k in range(BITS // 64)), F.lit(0))
     close = cut(judged.filter((flips <= most_flips(threshold)) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)).select("words_a", "words_b"), "near-pairs")
+    release(close.sparkSession)
 
     ends = close.select(F.explode(F.array("words_a", "words_b")).alias("words_id")).distinct()
     sets = cut(fresh.select("words_id", "hashes").join(ends, "words_id").groupBy("words_id").agg(F.first("hashes").alias("hashes")), "near-words")
@@ -349,6 +352,7 @@ def similar_sets(scan: Scan, evidence: DataFrame | None = None, threshold: float
         return pairs.join(a, "words_a").join(b, "words_b").filter(enough).select("words_a", "words_b")
 
     sure = cut(exactly(close), "similar-sets")
+    release(close.sparkSession)
     ways = sure.select(F.col("words_a").alias("hub"), F.col("words_b").alias("w")).unionByName(sure.select(F.col("words_b").alias("hub"), F.col("words_a").alias("w")))
     hops = ways.select("hub", F.col("w").alias("words_a")).join(ways.select("hub", F.col("w").alias("words_b")), "hub").filter("words_a < words_b").select("words_a", "words_b").distinct()
     return sure.unionByName(exactly(hops.join(close, ["words_a", "words_b"], "left_anti")))
