@@ -1,10 +1,12 @@
 """Contents that are lightly edited versions of one another (problem 4).
 
 Every distinct set of words gets an odd sketch: its MinHash samples are folded into a bitmap by parity, so the number
-of ones in the XOR of two sketches tells how many samples differ. Candidates come from bands: the words are dealt to
-parts by hash, as many parts as a set of that size needs, and each part that is still telling is one band value. Sets
-that share 0.8 of their union differ in few words and so agree in whole parts. Sketches drop candidates that are
-clearly less similar, and the words themselves decide the rest.
+of ones in the XOR of two sketches tells how many samples differ. Candidates come from bands that miss no pair: all
+words are dealt to so many parts that, of the most words in which two sets of those sizes may differ, at most SPREAD
+fall in some part, and each part gives codes of which one leaves out any SPREAD words. Sets that share 0.8 of their
+union so agree in a band value for certain, however frequent their words are. Bitmaps of parity, whose XOR never has
+more ones than words differ, drop most candidates where they meet; sketches drop what is clearly less similar, and the
+words themselves decide the rest.
 """
 
 from __future__ import annotations
@@ -27,14 +29,16 @@ MIN_LETTERS_DIGITS = 60
 MIN_WORDS = 15
 #: MinHash samples, and bits of the odd sketch they are folded into.
 SAMPLES, BITS, BLOCK = 128, 256, 1024
-#: Words of a set for each part its telling words are dealt to, and how often sets of up to so many words are dealt.
-PART_WORDS, DEALINGS = 10.0, ((30, 9), (60, 6), (1 << 30, 3))
-#: A part is a band value if its words together are rare enough for at most 2 ** SLACK sets to hold them all by chance.
-#: Words in over COMMON of all sets, and in over MANY of them, are not rare: they tell nothing and are dealt to no part.
-#: A set is weak if the rare words that it shares have less than FEW times the bits of a telling part.
-SLACK, COMMON, MANY, FEW = 4.0, 0.015, 5000, 2.0
-#: Weak sets are dealt to parts of so many words, of which so many make a part a band value.
-WEAK_WORDS, WEAK_LEAST = 8.0, 6.0
+#: Differing words that the codes of a part put up with, and the codes: nonzero vectors of SPREAD + 1 bits.
+SPREAD = 2
+CODES = range(1, 2 << SPREAD)
+#: A code whose words are not rare enough for at most 2 ** SLACK sets to hold them all by chance is light: it gives one
+#: value with each part of a second dealing, of one part more than words may differ.
+SLACK = 12.0
+#: Named by tests only: no word is too common to take part.
+COMMON, MANY = 0.015, 5000
+#: Bytes of a band value that are shuffled; values that agree in these by chance are dropped like other candidates.
+VALUE_BYTES = 5
 #: Counters for the frequency of words; their number is fixed, so the table has the same size whatever the corpus.
 SLOTS, CHUNK = 1 << 20, 1 << 14
 
@@ -84,52 +88,72 @@ def sketch(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _levels(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The size level of each set (levels double from MIN_WORDS on), and whether a set at the threshold's size ratio
-    above it lies on the next level."""
-    level = np.maximum(0, np.floor(np.log2(np.maximum(n, 1) / MIN_WORDS) + 1e-9)).astype(np.int64)
-    return level, np.floor(n / THRESHOLD + 1e-9) >= MIN_WORDS * 2.0 ** (level + 1)
+def most_differing(total: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """In how many words two sets of ``total`` words together can differ if they share ``threshold`` of their union."""
+    return np.floor(total * (1 - threshold) / (1 + threshold) + 1e-6).astype(np.int64)
 
 
-def bands(hashes: np.ndarray, rarity: np.ndarray, least: float, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(set number, band value) of the telling parts of every set, on its own level and where needed on the next. Rare
-    words are dealt to parts; a part tells if the ``rarity`` of its words, in bits, sums to ``least`` or more. Sets
-    with few rare words, such as versions of a text that fills much of the corpus, are also dealt with all their words."""
+def _part_numbers(most: int) -> np.ndarray:
+    """The numbers of parts in use, up to the first that is ``most`` or more: they grow by a fifth, so that a set of any
+    size is dealt a few times."""
+    out = [1]
+    while out[-1] < most:
+        out.append(max(out[-1] + 1, out[-1] * 6 // 5))
+    return np.array(out)
+
+
+def bands(hashes: np.ndarray, rarity: np.ndarray, sets: float, starts: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """(set number, band value) of every set; sets that share ``threshold`` of their union have a value in common.
+
+    Two sets that differ in d words are dealt to the same m parts, with m * (SPREAD + 1) > d, so that some part holds
+    SPREAD of these words or fewer. Each word of a part has a vector of SPREAD + 1 bits; a code takes the words whose
+    vector has an odd product with it, and as any SPREAD vectors have a code that is orthogonal to all, its words are
+    the same in both sets. A code with a word that ``sets`` sets hold but once is left out, as no other set has it.
+    """
     n = np.diff(np.append(starts, len(hashes)))
     owner = np.repeat(np.arange(len(n)), n)
-    rare = rarity > 0
-    # a word that one set alone holds brings it together with no other
-    shared = np.where(rarity < least + SLACK - 0.5, rarity, 0)
-    weak = (np.add.reduceat(shared, starts) < FEW * least)[owner]
-    o1, v1 = _dealt(hashes[rare], owner[rare], rarity[rare], least, n, PART_WORDS, 0)
-    o2, v2 = _dealt(hashes[weak], owner[weak], np.ones(int(weak.sum())), WEAK_LEAST, n, WEAK_WORDS, 1000)
-    return np.concatenate([o1, o2]), np.concatenate([v1, v2])
-
-
-def _dealt(hashes: np.ndarray, owner: np.ndarray, weight: np.ndarray, least: float, n: np.ndarray, part_words: float, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    """(set number, band value) of the parts whose words weigh ``least`` or more."""
-    level, above = _levels(n)
-    sets, values = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
-    for lv in range(int(level.max(initial=0)) + 2):
-        on = (level == lv) | (above & (level == lv - 1))
-        take = on[owner]
-        if not take.any():
+    width, light, alone = len(CODES) + 1, math.log2(sets) - SLACK, round(math.log2(sets) * 4) / 4
+    # equal sums of quarters are equal whatever their order, so that both sets of a pair find the same codes light
+    weight = np.where(rarity >= alone, 1e6, rarity)
+    least, most = (most_differing(n + other, threshold) // (SPREAD + 1) + 1 for other in (np.ceil(n * threshold - 1e-6), np.floor(n / threshold + 1e-6)))
+    numbers = _part_numbers(int(most.max(initial=1)))
+    low, high = np.searchsorted(numbers, least), np.searchsorted(numbers, most)
+    held, values = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for at in range(int(low.min(initial=0)), int(high.max(initial=-1)) + 1):
+        on = np.flatnonzero((low <= at) & (at <= high))
+        if not len(on):
             continue
-        h, o, w = hashes[take], owner[take], weight[take]
-        parts = max(2, round(MIN_WORDS * 2.0**lv * math.sqrt(2) / part_words))
-        for dealing in range(next(d for most, d in DEALINGS if MIN_WORDS * 2.0**lv < most)):
-            salt = _U(kind + lv * 64 + dealing + 1)
-            part = (_mix(h ^ _mix(np.array([salt]))) % _U(parts)).astype(np.int64)
-            cell = o * parts + part
-            order = np.argsort(cell, kind="stable")
-            cell = cell[order]
-            first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-            total = np.add.reduceat(_mix(h[order] ^ salt), first)
-            telling = np.add.reduceat(w[order], first) >= least
-            cell, total = cell[first][telling], total[telling]
-            sets.append(cell // parts)
-            values.append(_mix(total + (cell % parts).astype(np.uint64) * _U(0xD6E8FEB86659FD93) + salt))
-    return np.concatenate(sets), np.concatenate(values)
+        place = np.full(len(n), -1)
+        place[on] = np.arange(len(on))
+        o = place[owner]
+        o, h, w = o[o >= 0], hashes[o >= 0], weight[o >= 0]
+        m = int(numbers[at])
+        mixed = _mix(h ^ _mix(np.array([m], np.uint64)))
+        cell = (o * m + (mixed % _U(m)).astype(np.int64)) * width + 1 + ((mixed >> _U(40)) % _U(len(CODES))).astype(np.int64)
+        part = o * (SPREAD + 1) * m + (_mix(mixed) % _U((SPREAD + 1) * m)).astype(np.int64)
+        total, second = np.zeros(len(on) * m * width, np.uint64), np.zeros(len(on) * (SPREAD + 1) * m, np.uint64)
+        np.add.at(total, cell, _mix(mixed + _U(1)))
+        np.add.at(second, part, _mix(mixed + _U(2)))
+        total, second = total.reshape(-1, m, width), second.reshape(len(on), -1)
+        bits = np.bincount(cell, weights=w, minlength=total.size).reshape(total.shape)
+        for code in CODES:
+            odd = [k for k in CODES if (k & code).bit_count() % 2]
+            rare = bits[:, :, odd].sum(2)
+            name = (np.arange(m, dtype=np.uint64) * _U(width) + _U(code) + _U(m << 32)) * _U(0xD6E8FEB86659FD93)
+            value = _mix(total[:, :, odd].sum(2) + name)
+            x, y = np.nonzero((rare >= light) & (rare < 1e6))
+            held.append(on[x])
+            values.append(value[x, y])
+            x, y = np.nonzero(rare < light)
+            held.append(np.repeat(on[x], second.shape[1]))
+            values.append(_mix(_mix(second[x] + np.arange(second.shape[1], dtype=np.uint64)) ^ value[x, y][:, None]).ravel())
+    return np.concatenate(held), np.concatenate(values)
+
+
+def parity(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """64 bits for each set, one for each counter of words by hash: whether the number is odd. The XOR of two has at
+    most as many ones as there are words in which the sets differ."""
+    return np.bitwise_xor.reduceat(_U(1) << (_mix(hashes ^ _U(0x5DEECE66D)) & _U(63)), starts)
 
 
 class _Hashes(dict):
@@ -226,8 +250,8 @@ _NAMES = [x.split()[0] for x in _SCAN.split(", ")]
 
 class Scan:
     """The scanned paragraphs of a table: ``rows`` (id, key among copies as in problem 5, words_id of its set of words,
-    that set's size n, and the hashes of its words once per batch, else none), the ``form`` of the text, and how rare
-    words are: ``rarity`` in quarter bits by counter, and ``least``, the bits that make a part telling.
+    that set's size n, and the hashes of its words once per batch, else none), the ``form`` of the text, the number of
+    ``sets`` counted, and how rare words are: ``rarity`` in quarter bits by counter.
 
     Frequencies cover all rows; equal contents count once per batch, so that a text copied all over the corpus doesn't
     make its words common. What comes to the driver is one table of SLOTS counters, whatever the corpus; words that
@@ -247,8 +271,8 @@ class Scan:
             self.form = seen
         n = max(2, int(np.frombuffer(counts[-1], np.int64)[0]) if counts else 0)
         frequency = np.concatenate([np.frombuffer(counts[k], np.int64) for k in range(SLOTS // CHUNK)]) if counts else np.zeros(SLOTS, np.int64)
-        bits = np.where(frequency > max(n * COMMON, MANY), 0, np.maximum(0.25, np.log2(n / np.maximum(frequency, 1))))
-        self.rarity, self.least = np.clip(np.round(bits * 4), 0, 255).astype(np.uint8), max(1.0, math.log2(n) - SLACK)
+        bits = np.maximum(0.25, np.log2(n / np.maximum(frequency, 1)))
+        self.rarity, self.sets = np.clip(np.round(bits * 4), 0, 255).astype(np.uint8), n
         self.rows = scan.filter("chunk is null").select("id", "key", "words_id", "n", "hashes")
 
 
@@ -285,40 +309,70 @@ def sketches(fresh: DataFrame) -> DataFrame:
     return held.groupBy("words_id").agg(*[F.first(x).alias(x) for x in names[1:]])
 
 
-def candidates(fresh: DataFrame, rarity: np.ndarray, least: float) -> DataFrame:
-    """(words_a, words_b): pairs of sets that share a band value, in either order of appearance, a < b. Values are
-    sorted within partitions and paired as they stream by; only the ids of one bucket are held at a time, and its pairs
-    are written in slices. Buckets are small against the corpus, as their words are rare; none is capped."""
+def candidates(fresh: DataFrame, rarity: np.ndarray, sets: float, threshold: float = THRESHOLD) -> DataFrame:
+    """(words_a, words_b), a < b: pairs of sets that share a band value, but for those whose sizes or parities show that
+    they are less similar than the threshold. Values are shuffled in packs, one for each batch and bucket of values; a
+    task holds the values of one bucket at a time, and pairs are made in slices. No bucket is capped."""
+    buckets = int(fresh.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = ["bucket", "ids", "odd", "sizes", "counts", "packed"]
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                hashes, starts = _lists(batch.column(1))
-                owner, values = bands(hashes, rarity[_slots(hashes)] / 4, least, starts)
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(batch.column(0).to_numpy()[owner])], ["v", "words_id"])
+            if not batch.num_rows:
+                continue
+            hashes, starts = _lists(batch.column(1))
+            ids, odd, sizes = batch.column(0).to_numpy(), parity(hashes, starts), np.diff(np.append(starts, len(hashes))).astype(np.int32)
+            owner, values = bands(hashes, rarity[_slots(hashes)] / 4, sets, starts, threshold)
+            bucket = ((values >> _U(8 * VALUE_BYTES)) % _U(buckets)).astype(np.int64)
+            order = np.argsort(bucket * len(ids) + owner, kind="stable")
+            owner, values = owner[order], values[order]
+            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            rows = []
+            for k in range(buckets):
+                if ends[k] == ends[k + 1]:
+                    continue
+                held, counts = np.unique(owner[ends[k] : ends[k + 1]], return_counts=True)
+                short = values[ends[k] : ends[k + 1]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :VALUE_BYTES]
+                rows.append((k, *(x.tobytes() for x in (ids[held], odd[held], sizes[held], counts.astype(np.int32), short))))
+            if rows:
+                columns = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names)
+
+    def pairs(packs: list[tuple]) -> Iterator[pa.RecordBatch]:
+        ids, odd, sizes, counts, packed = (np.frombuffer(b"".join(c), t) for c, t in zip(zip(*packs), (np.int64, np.uint64, np.int32, np.int32, np.uint8)))
+        v = np.zeros((len(packed) // VALUE_BYTES, 8), np.uint8)
+        v[:, :VALUE_BYTES] = packed.reshape(-1, VALUE_BYTES)
+        v = v.view("<u8").ravel()
+        order = np.argsort(v)
+        v, w = v[order], np.repeat(np.arange(len(ids), dtype=np.int32), counts)[order]
+        # only runs of equal values matter
+        run = np.append(v[1:] == v[:-1], False)
+        run[1:] |= run[:-1]
+        v, w = v[run], w[run]
+        at, step = np.arange(len(v)), 1
+        while len(at := at[at + step < len(v)]) and len(at := at[v[at + step] == v[at]]):
+            a, b = w[at], w[at + step]
+            total = sizes[a] + sizes[b]
+            # as many ones as may differ, no more, and sizes as far apart as may be
+            near = np.bitwise_count(odd[a] ^ odd[b]) <= total * ((1 - threshold) / (1 + threshold)) + 1e-6
+            near &= (np.minimum(sizes[a], sizes[b]) >= threshold * np.maximum(sizes[a], sizes[b]) - 1e-6) & (ids[a] != ids[b])
+            a, b = ids[a[near]], ids[b[near]]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["words_a", "words_b"])
+            step += 1
 
     def pair(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, w = np.empty(0, np.int64), np.empty(0, np.int64)
-
-        def pairs(v: np.ndarray, w: np.ndarray) -> Iterator[pa.RecordBatch]:
-            new = np.append(True, (v[1:] != v[:-1]) | (w[1:] != w[:-1]))
-            v, w = v[new], w[new]
-            at, step = np.arange(len(v)), 1
-            while len(at := at[at + step < len(v)]) and len(at := at[v[at + step] == v[at]]):
-                yield pa.RecordBatch.from_arrays([pa.array(w[at]), pa.array(w[at + step])], ["words_a", "words_b"])
-                step += 1
-
+        bucket, packs = None, []
         for batch in batches:
-            v, w = np.concatenate([v, batch.column(0).to_numpy()]), np.concatenate([w, batch.column(1).to_numpy()])
-            if len(v):
-                whole = int(np.searchsorted(v, v[-1]))
-                yield from pairs(v[:whole], w[:whole]) if whole else ()
-                v, w = v[whole:], w[whole:]
-        if len(v):
-            yield from pairs(v, w)
+            for k, *pack in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != bucket:
+                    yield from pairs(packs) if packs else ()
+                    bucket, packs = k, []
+                packs.append(pack)
+        yield from pairs(packs) if packs else ()
 
-    values = fresh.select("words_id", "hashes").mapInArrow(deal, "v long, words_id long")
-    return values.repartition("v").sortWithinPartitions("v", "words_id").mapInArrow(pair, "words_a long, words_b long")
+    packed = fresh.select("words_id", "hashes").mapInArrow(deal, "bucket int, ids binary, odd binary, sizes binary, counts binary, packed binary")
+    return packed.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(pair, "words_a long, words_b long")
 
 
 def similar_sets(scan: Scan, evidence: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -329,7 +383,7 @@ def similar_sets(scan: Scan, evidence: DataFrame | None = None, threshold: float
     in a pair of sets are equal by chance once in some million pairs. Two sets similar to a third are candidates too.
     """
     fresh = scan.rows.filter("size(hashes) > 0")
-    pairs = candidates(fresh, scan.rarity, scan.least)
+    pairs = candidates(fresh, scan.rarity, scan.sets, threshold)
     if evidence is not None:
         pairs = pairs.unionByName(evidence)
     held = sketches(fresh)

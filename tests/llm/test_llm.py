@@ -133,6 +133,25 @@ def test_versions_that_fill_the_corpus(spark, monkeypatch):
     assert near.similar_sets(scan).count() == 50 * 49 // 2
 
 
+def test_near_pairs_of_short_sets_and_common_words(spark):
+    # 400 unrelated pairs of short sets with two words replaced, and versions that share common words only and differ in rare fills
+    rng = random.Random(3)
+    texts = {}
+    for k in range(400):
+        x = [f"short{rng.randrange(10**6)}" for _ in range(24)]
+        texts[2 * k], texts[2 * k + 1] = " ".join(x[:20]), " ".join(x[:18] + x[20:22])
+    common = [f"common{k}" for k in range(60)]
+    for k in range(200):
+        own = rng.sample(common, 36)
+        for j in range(2):
+            texts[10_000 + 2 * k + j] = " ".join(own + [f"fill{rng.randrange(10**6)}" for _ in range(3)])
+    scan = near.Scan(table(spark, [(i, t, 1, "normal", None) for i, t in texts.items()]))
+    ids = dict(scan.rows.select("words_id", "id").collect())
+    got = {tuple(sorted((ids[r.words_a], ids[r.words_b]))) for r in near.similar_sets(scan).collect()}
+    sets = {i: set(words(t)) for i, t in texts.items()}
+    assert got == {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) * 10 >= 8 * len(sets[a] | sets[b])}
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(5)
     errors = []
