@@ -133,6 +133,30 @@ def test_versions_that_fill_the_corpus(spark, monkeypatch):
     assert near.similar_sets(scan).count() == 50 * 49 // 2
 
 
+def hashed_sets(sets):
+    """(hashes, starts) of sets of numbers, one after another."""
+    flat = np.array([x for s in sets for x in sorted(s)], np.uint64)
+    return near._mix(flat + np.uint64(1)), np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]]).astype(np.int64)
+
+
+@pytest.mark.parametrize("bits", [0.0, 6.0, 12.0])
+@pytest.mark.parametrize("total,shared", [((18, 18), 16), ((20, 20), 18), ((22, 23), 20), ((15, 15), 14), ((16, 20), 16), ((36, 45), 36), ((60, 60), 54), ((400, 460), 383), ((2000, 2000), 1778)])
+def test_bands_miss_no_similar_pair(total, shared, bits):
+    # at the threshold, whatever words differ and however frequent they are
+    rng = random.Random(sum(total) + shared)
+    sets = []
+    for k in range(300 if sum(total) < 200 else 12):
+        x = rng.sample(range(10**9), total[0] + total[1] - shared)
+        sets += [set(x[: total[0]]), set(x[:shared] + x[total[0]:])]
+    assert all(len(a & b) * 10 >= 8 * len(a | b) for a, b in zip(sets[::2], sets[1::2]))
+    hashes, starts = hashed_sets(sets)
+    owner, values = near.bands(hashes, np.full(len(hashes), bits), 2.0**20, starts)
+    held = {}
+    for o, v in zip(owner.tolist(), values.tolist()):
+        held.setdefault(o, set()).add(v)
+    assert all(held[k] & held[k + 1] for k in range(0, len(sets), 2))
+
+
 def test_near_pairs_of_short_sets_and_common_words(spark):
     # 400 unrelated pairs of short sets with two words replaced, and versions that share common words only and differ in rare fills
     rng = random.Random(3)
