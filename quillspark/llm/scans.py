@@ -216,12 +216,16 @@ _STRANGE = re.compile(r"[01598@$]")
 TIMES, LEAST = 8, 8
 #: Words in at most so many contents of a batch are kept with the rows that hold them.
 POSTED = 8
+#: Text of so many different words and more, none of them a function word, is made up unless the corpus knows this share
+#: of them, as words in LEAST contents or more; what looks misread there is not.
+MADE_UP_WORDS, MADE_UP = 12, 0.5
 
 
 def _counts(paragraphs: DataFrame, form: Form) -> DataFrame:
-    """(word, n, ids): words of a batch with the number of different contents that hold them, and for words that may be
+    """(word, n, ids, tokens): words of a batch with the number of different contents that hold them, and for words that may be
     misread the ids of the rows: words in few contents, and words that stand for one more frequent in the same batch.
-    Words and compounds split by a hyphen inside a line are in lower case."""
+    Words and compounds split by a hyphen inside a line are in lower case. Rows without a word hold the ids and words of
+    a content that may be made up."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compound = re.compile(r"[^\W\d_]+[-‐][^\W\d_]+")
@@ -231,12 +235,13 @@ def _counts(paragraphs: DataFrame, form: Form) -> DataFrame:
                 if c:
                     rows.setdefault(c, []).append(i)
             counted: Counter = Counter()
-            sets = []
-            for c in rows:
+            sets, doubtful = [], []
+            for c, held in rows.items():
                 text = form(c).lower()
                 found = set(_TOKEN.findall(text))
-                # text without any function word is no prose, and its words are not read but made up
-                sets.append(found if len(found) < 12 or not _FUNCTION.isdisjoint(found) else set())
+                sets.append(found)
+                if len(found) >= MADE_UP_WORDS and _FUNCTION.isdisjoint(found):
+                    doubtful.append((held, [w for w in found if len(w) > 2 and not w.isdigit()]))
                 counted.update(found)
                 if "-" in text:
                     counted.update(set(compound.findall(text)))
@@ -251,9 +256,12 @@ def _counts(paragraphs: DataFrame, form: Form) -> DataFrame:
             for found, held in zip(sets, rows.values()):
                 for w in found & some:
                     ids[w].extend(held)
-            yield pa.RecordBatch.from_arrays([pa.array(list(counted), pa.string()), pa.array(list(counted.values()), pa.int64()), pa.array([ids.get(w) for w in counted], pa.list_(pa.int64()))], ["word", "n", "ids"])
+            none = [None] * len(doubtful)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([*counted, *none], pa.string()), pa.array([*counted.values(), *none], pa.int64()), pa.array([*(ids.get(w) for w in counted), *(x for x, _ in doubtful)], pa.list_(pa.int64())),
+                pa.array([*[None] * len(counted), *(x for _, x in doubtful)], pa.list_(pa.string()))], ["word", "n", "ids", "tokens"])
 
-    return paragraphs.select(F.col("id").cast("long"), "content").mapInArrow(scan, "word string, n long, ids array<long>")
+    return paragraphs.select(F.col("id").cast("long"), "content").mapInArrow(scan, "word string, n long, ids array<long>, tokens array<string>")
 
 
 def readings(word: str) -> dict[str, bool]:
@@ -278,7 +286,7 @@ def readings(word: str) -> dict[str, bool]:
 
 def misread_words(counts: DataFrame) -> DataFrame:
     """(word, reading) of the words that stand for a more frequent word with characters confused."""
-    frequency = cut(counts.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    frequency = cut(counts.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "words")
 
     def vary(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,7 +313,11 @@ def misread(paragraphs: DataFrame, counts: DataFrame, form: Form) -> tuple[DataF
                 columns = list(zip(*rows)) or [()] * 2
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string())], ["id", "word"])
         out = out.unionByName(paragraphs.select(F.col("id").cast("long"), "content").mapInArrow(tokens, "id long, word string").join(rest, "word"))
-    return out.distinct(), wrong
+    out = cut(out.distinct(), "misread-rows")
+    held = counts.filter("word is null").select(F.explode("ids").alias("id"), "tokens").join(out.select("id").distinct(), "id", "left_semi").select("id", F.explode("tokens").alias("word"))
+    known = counts.join(held.select("word").distinct(), "word", "left_semi").groupBy("word").agg((F.sum("n") >= LEAST).cast("int").alias("known"))
+    made_up = held.join(known, "word").groupBy("id").agg(F.avg("known").alias("share")).filter(F.col("share") < MADE_UP)
+    return out.join(made_up, "id", "left_anti"), wrong
 
 
 def split_words(paragraphs: DataFrame, counts: DataFrame) -> DataFrame:

@@ -176,6 +176,19 @@ def test_near_pairs_of_short_sets_and_common_words(spark):
     assert got == {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) * 10 >= 8 * len(sets[a] | sets[b])}
 
 
+def test_misread_words_of_lists_without_function_words(spark):
+    # the corpus knows the words of a parts list; those of an invented text it doesn't, whichever way its rows are found
+    parts = "washer gasket bearing flange bracket spindle bushing coupler manifold impeller gearbox housing".split()
+    rng = random.Random(4)
+    rows = [(k, f"the {' and the '.join(parts)} of pump {k}", 1, "normal", None) for k in range(20)]
+    rows += [(100, "; ".join(["gask3t", "be4ring", "wa5her", *parts[1:]]), 1, "list", None), (101, " ".join(["wa5her", *("".join(rng.choices("bcdfghklmnprtvz", k=7)) for _ in range(20))]), 1, "normal", None)]
+    df = table(spark, rows)
+    counts = scans._counts(df, FORM)
+    hidden = counts.withColumn("ids", F.expr("case when word is null then ids end"))
+    for some in (counts, hidden):
+        assert {(r.id, r.word, r.reading) for r in scans.misread(df, some, FORM)[0].collect()} == {(100, "wa5her", "washer")}
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(5)
     errors = []
