@@ -216,6 +216,8 @@ _STRANGE = re.compile(r"[01598@$]")
 TIMES, LEAST = 8, 8
 #: Words in at most so many contents of a batch are kept with the rows that hold them.
 POSTED = 8
+#: Readings of words with up to so many '1', each an 'l' or 'i', are listed; those of others are matched by folded form.
+MOST_ONES = 4
 #: Text of so many different words and more, none of them a function word, is made up unless the corpus knows this share
 #: of them, as words in LEAST contents or more; what looks misread there is not.
 MADE_UP_WORDS, MADE_UP = 12, 0.5
@@ -271,9 +273,11 @@ def readings(word: str) -> dict[str, bool]:
     if _STRANGE.search(word):
         if letters < 2 or any(c.isdigit() and c not in IN_WORDS for c in word):
             return out
+        if word.count("1") > MOST_ONES:
+            return out
         plain = [""]
         for c in word:
-            plain = [p + x for p in plain for x in IN_WORDS.get(c, c)][:16]
+            plain = [p + x for p in plain for x in IN_WORDS.get(c, c)]
         out |= {p: True for p in plain}
         for p in plain:
             for wrong, right in LETTERS:
@@ -284,6 +288,18 @@ def readings(word: str) -> dict[str, bool]:
     return out
 
 
+def open_readings(word: str) -> set[tuple[str, str]]:
+    """Of a word with more than MOST_ONES '1', whose ``readings`` are too many to list: (folded, pattern) of what it may
+    have been, in which each 'i' is folded to 'l' and the pattern tells the words of that form that fit."""
+    if word.count("1") <= MOST_ONES or sum(c.isalpha() for c in word) < 2 or any(c.isdigit() and c not in IN_WORDS for c in word):
+        return set()
+    plain = [IN_WORDS.get(c, c) for c in word]
+    ways = [plain]
+    for wrong, right in LETTERS:
+        ways += [plain[:k] + list(right) + plain[k + len(wrong):] for k in range(len(plain) - len(wrong) + 1) if all(c in plain[k + j] for j, c in enumerate(wrong))]
+    return {("".join("l" if "i" in x else x for x in w), "^" + "".join(f"[{x}]" if len(x) > 1 else x for x in w) + "$") for w in ways}
+
+
 def misread_words(counts: DataFrame) -> DataFrame:
     """(word, reading) of the words that stand for a more frequent word with characters confused."""
     frequency = cut(counts.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "words")
@@ -294,8 +310,17 @@ def misread_words(counts: DataFrame) -> DataFrame:
             columns = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.bool_()))], ["word", "n", "reading", "strange"])
 
+    def folded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(w, n, *x) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in open_readings(w)]
+            columns = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.string()))], ["word", "n", "fold", "pattern"])
+
     varied = frequency.mapInArrow(vary, "word string, n long, reading string, strange boolean")
     known = frequency.select(F.col("word").alias("reading"), F.col("n").alias("known"))
+    many = frequency.filter(F.length("word") - F.length(F.replace("word", F.lit("1"), F.lit(""))) > MOST_ONES).mapInArrow(folded, "word string, n long, fold string, pattern string")
+    of_fold = frequency.filter(~F.col("word").rlike("[0-9]")).select(F.translate("word", "i", "l").alias("fold"), F.col("word").alias("reading"))
+    varied = varied.unionByName(many.join(of_fold, "fold").filter("reading rlike pattern").select("word", "n", "reading", F.lit(True).alias("strange")).distinct())
     fits = F.when(F.col("strange"), F.col("known") >= F.col("n")).otherwise((F.col("known") >= LEAST) & (F.col("known") >= TIMES * F.col("n")))
     return varied.join(known, "reading").filter(fits).groupBy("word").agg(F.max_by("reading", F.struct("known", "reading")).alias("reading"))
 

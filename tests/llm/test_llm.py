@@ -189,6 +189,18 @@ def test_misread_words_of_lists_without_function_words(spark):
         assert {(r.id, r.word, r.reading) for r in scans.misread(df, some, FORM)[0].collect()} == {(100, "wa5her", "washer")}
 
 
+def test_misread_words_with_many_ones(spark, monkeypatch):
+    rows = [(k, "invisibility illimitability initialising", 1, "normal", None) for k in range(9)] + [(100, "1nv1s1b1l1ty", 1, "normal", None), (101, "1111m1tab1l1ty", 1, "normal", None), (102, "1n1t1al1s1nq", 1, "normal", None), (103, "1n1t1a11s1ny", 1, "normal", None), (104, "invisi1i1i1y1 1nv151b111fy", 1, "normal", None)]
+    got = {(r.word, r.reading) for r in scans.misread_words(scans._counts(table(spark, rows), FORM)).collect()}
+    assert got == {("1nv1s1b1l1ty", "invisibility"), ("1111m1tab1l1ty", "illimitability"), ("1nv151b111fy", "invisibility")}
+    # the folded forms give what listing all readings gives
+    for word in ("1l1i1c1", "1i11rn1", "c11111f"):
+        monkeypatch.setattr(scans, "MOST_ONES", 9)
+        listed = set(scans.readings(word))
+        monkeypatch.setattr(scans, "MOST_ONES", 0)
+        assert listed == {w for w in listed if any(f == w.replace("i", "l") and re.fullmatch(p, w) for f, p in scans.open_readings(word))}
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(5)
     errors = []
