@@ -4,6 +4,7 @@ layout features; words split over line ends; misrecognised words; and the paragr
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from .form import Form, learned
+from .form import Form, learned, representatives
 from .quality import COMMON_WORDS
 
 HEADER, BODY, BREAK = 0, 1, 2
@@ -345,12 +346,37 @@ def misread(paragraphs: DataFrame, counts: DataFrame, form: Form) -> tuple[DataF
     return out.join(made_up, "id", "left_anti"), wrong
 
 
-def split_words(paragraphs: DataFrame, counts: DataFrame) -> DataFrame:
+_SPLIT = re.compile(rf"{_MARK}[^\S\n]*+\n\s*+")
+
+
+def _splits(text: str) -> Iterator[tuple[str, str]]:
+    """Both parts, in lower case, of each word split over a line end of a text: letters with their accents."""
+    letter = lambda c: c.isalpha() or unicodedata.category(c)[0] == "M"
+    for m in _SPLIT.finditer(text):
+        i, j = m.span()
+        while i and letter(text[i - 1]):
+            i -= 1
+        while j < len(text) and letter(text[j]):
+            j += 1
+        left, right = text[i : m.start()], text[m.end() : j]
+        if any(map(str.isalpha, left)) and any(map(str.isalpha, right)):
+            yield left.lower(), right.lower()
+
+
+def split_words(paragraphs: DataFrame, counts: DataFrame, form: Form | None = None) -> DataFrame:
     """(id) of paragraphs with a word split over a line end. A compound that keeps its own hyphen there is none: it is
-    found hyphenated inside lines, and never in one word."""
-    found = paragraphs.filter(F.col("content").contains("\n") & F.col("content").rlike(rf"{_MARK}[^\S\n]*+\n")).select(
-        F.col("id").cast("long").alias("id"), F.explode(F.regexp_extract_all("content", F.lit(f"({_JAVA_SPLIT})"), F.lit(1))).alias("at"))
-    parts = found.select("id", F.lower(F.regexp_replace("at", rf"{_MARK}\s+", "")).alias("word"), F.lower(F.regexp_replace("at", rf"{_MARK}\s+", "-")).alias("compound"))
+    found hyphenated inside lines, and never in one word. Without a form, that which Unicode alone suggests is taken."""
+    form = form or Form(representatives({}))
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = {(i, left + right, f"{left}-{right}") for i, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for left, right in _splits(form(c))}
+            columns = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()))], ["id", "word", "compound"])
+
+    # in ASCII the form changes nothing that matters here; other text is searched in its consistent form
+    some = F.col("content").contains("\n") & (F.col("content").rlike(r"-[^\S\n]*+\n") | F.col("content").rlike(r"[^\x00-\x7f]"))
+    parts = paragraphs.filter(some).select(F.col("id").cast("long"), "content").mapInArrow(scan, "id long, word string, compound string")
     compounds = counts.filter("word like '%-%'").groupBy("word").agg(F.sum("n").alias("compounds")).withColumnRenamed("word", "compound")
     doubtful = parts.join(compounds, "compound")
     whole = counts.filter("word not like '%-%'").select("word").distinct().withColumn("whole", F.lit(True))
@@ -358,9 +384,6 @@ def split_words(paragraphs: DataFrame, counts: DataFrame) -> DataFrame:
     return parts.select("id", "word").distinct().join(kept, ["id", "word"], "left_anti").select("id").distinct()
 
 
-_JAVA_SPLIT = rf"\p{{L}}++{_MARK}[^\S\n]*+\n\s*+\p{{L}}++"
-
-
 def _parts(spark: SparkSession, sf_dir: str):
     paragraphs = table(spark, sf_dir, "paragraphs")
     form = learned(paragraphs, "content")
@@ -373,7 +396,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     paragraphs, form, counts, labels = _parts(spark, sf_dir)
     noise = lambda ids, name: ids.select(F.col("id").alias("paragraph_id"), F.lit(name).alias("noise"))
     wrong = misread(paragraphs, counts, form)[0].select("id").distinct()
-    return noise(split_words(paragraphs, counts), "hyphen").unionByName(noise(wrong, "misread")).unionByName(noise(labels.filter(F.size("headers") > 0), "running"))
+    return noise(split_words(paragraphs, counts, form), "hyphen").unionByName(noise(wrong, "misread")).unionByName(noise(labels.filter(F.size("headers") > 0), "running"))
 
 
 def repaired(content: str, headers: list[int], breaks: list[int], wrong: dict[str, str]) -> str:

@@ -201,6 +201,14 @@ def test_misread_words_with_many_ones(spark, monkeypatch):
         assert listed == {w for w in listed if any(f == w.replace("i", "l") and re.fullmatch(p, w) for f, p in scans.open_readings(word))}
 
 
+def test_split_words_in_consistent_form(spark):
+    ends = ["-\n", "-\u00a0\n", "-\u200b\n", "\ufe63\n", "\uff0d\n", "\u2010 \n", "\u00ad\n", "-\u2003\n\u2003"]
+    rows = [(k, f"the agree{e}ment holds", 1, "normal", None) for k, e in enumerate(ends)]
+    rows += [(20, "the cafe\u0301-\nteria", 1, "normal", None), (21, "the x\u0323-\nray\u0301s", 1, "normal", None), (30, "from 5-\n7 and é", 1, "normal", None), (31, "end -\nnext é", 1, "normal", None), (32, "agree ment", 1, "normal", None), (33, None, 1, None, None)]
+    df = table(spark, rows)
+    assert {r.id for r in scans.split_words(df, scans._counts(df, FORM)).collect()} == {*range(len(ends)), 20, 21}
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(5)
     errors = []
