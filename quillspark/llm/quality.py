@@ -39,10 +39,12 @@ def _trie(words: list[str]) -> str:
 
 _COMMON = r"(?iu)\b" + _trie(sorted(set(COMMON_WORDS.split()))) + r"\b"
 _LIST = r"(?m)^[ \t]*+(?:[-–—*•·‣▪◦]|\(?(?:\d{1,3}|[a-zA-Z]|[ivx]{1,4})[.)])[ \t]++\S[^\n]*+$"
-# lines of cells between bars, or three cells and more between semicolons, tabs or wide gaps
-_TABLE = (r"(?m)^(?:[^\n|]{0,80}+\|[^\n]*+|[^\n;]{0,40}+;[^\n;]{0,40}+;[^\n]*+|[^\n\t]{0,40}+\t[^\n\t]{0,40}+\t[^\n]*+"
+# lines of cells between bars, or three cells and more between semicolons, tabs or wide gaps; bars and tabs tell cells of
+# any width, semicolons also end clauses and tell short cells only
+_TABLE = (r"(?m)^(?:[^\n|]*+\|[^\n]*+|[^\n;]{0,40}+;[^\n;]{0,40}+;[^\n]*+|[^\n\t]*+\t[^\n\t]*+\t[^\n]*+"
           r"|(?:[^\n ]++(?: {1,2}[^\n ]++)*+ {3,}+){2}[^\n]*+)$")
 _REPEATED = r"\b(\w{2,}+)(?:\W{1,2}+\1\b){3,}+"
+_LONG = r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/=]{30,}+"
 _CONSONANTS = r"(?i)[bcdfghjklmnpqrstvwxz]{4,}+"
 _ODD = r"[^\p{L}\p{M}\p{N}\s.,;:!?()/'\"|%–•*-][^\p{L}\p{M}\p{N}\n]*+|[ÂÃâï�]++"
 
@@ -53,7 +55,7 @@ def _share(text: Column, pattern: str) -> Column:
 
 
 FEATURES = ["mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "mean_line_length", "list_share", "table_share", "junk_share",
-            "repeated_share", "consonant_share", "odd_share", "digit_share"]
+            "repeated_share", "long_share", "consonant_share", "odd_share", "digit_share"]
 
 
 def statistics(documents: DataFrame) -> DataFrame:
@@ -72,7 +74,7 @@ def statistics(documents: DataFrame) -> DataFrame:
         F.regexp_count(t, F.lit(r"(?m)[.!?:;,…][\"'”’»)]*[ \t]*$")).alias("_ended"),
         F.regexp_count(t, F.lit(_COMMON)).alias("_common"),
         _share(t, _LIST).alias("list_share"), _share(t, _TABLE).alias("table_share"),
-        _share(t, _REPEATED).alias("repeated_share"), _share(t, _CONSONANTS).alias("consonant_share"),
+        _share(t, _REPEATED).alias("repeated_share"), _share(t, _LONG).alias("long_share"), _share(t, _CONSONANTS).alias("consonant_share"),
         _share(t, _ODD).alias("odd_share"), _share(t, r"\d+").alias("digit_share"))
     words, lines = F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))
     return out.select(
@@ -80,8 +82,8 @@ def statistics(documents: DataFrame) -> DataFrame:
         ((F.col("_solid") - F.col("_letters")) / F.greatest("_solid", F.lit(1))).alias("symbol_ratio"), (F.col("_ended") / lines).alias("punctuated_lines"),
         (F.col("_common") / words).alias("common_words"), (F.col("n_chars") / lines).alias("mean_line_length"),
         "list_share", "table_share",
-        F.least(F.col("repeated_share") + F.col("consonant_share") + F.col("odd_share"), F.lit(1.0)).alias("junk_share"),
-        *["repeated_share", "consonant_share", "odd_share", "digit_share"])
+        F.least(F.col("repeated_share") + F.col("long_share") + F.col("consonant_share") + F.col("odd_share"), F.lit(1.0)).alias("junk_share"),
+        *["repeated_share", "long_share", "consonant_share", "odd_share", "digit_share"])
 
 
 Rule = tuple[str, list[tuple[str, str, float]]]

@@ -357,6 +357,14 @@ def test_rules_separate():
     assert quality.as_sql([("prose", [])]) == "'prose'" and quality.as_sql(rules).startswith("CASE WHEN")
 
 
+def test_wide_cells_and_long_runs(spark):
+    wide = " ".join(["the pump of the second line was taken out of use"] * 3)
+    texts = [f"{wide} | {wide}\n{wide} | {wide}", f"{wide}\t{wide}\t{wide}", f"{wide}; {wide}; {wide}", "aGVsbG8gd2Ugd2FpdCBhIG1vbWVudCBvZiBhZ2U=\nYWJhIGVjaG8gaWRvIGFnbyBlYXUgb2FlIGl1"]
+    got = {r.doc_id: r for r in quality.statistics(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0].table_share > 0.9 and got[1].table_share > 0.9 and got[2].table_share == 0
+    assert got[3].long_share > 0.9 and got[3].junk_share > 0.9 and got[0].long_share == 0
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([(1, "- one item\n- two items\n- more"), (2, "a | b | c\nd | e | f"), (3, None), (4, ""), (5, "The cat sat on the mat. It was not for sale."), (6, "word word word word word word")], "doc_id long, text string").withColumn("n_chars", F.lit("clash"))
     got = {r.doc_id: r for r in quality.statistics(df).collect()}
