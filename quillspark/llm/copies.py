@@ -1,5 +1,9 @@
 """Paragraphs that are copies but for formatting (problem 5), which copies print the same (problem 3), and the best
-representative of each group of copies (problem 1)."""
+representative of each group of copies (problem 1).
+
+Values are dictionary-encoded: every content is canonicalised into field values, each value held more than once gets an
+integer, records are rewritten as sorted tuples of these integers, and equal tuples are grouped.
+"""
 
 from __future__ import annotations
 
@@ -8,17 +12,18 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.p2_timestamps import document_instants
-from ..session import cut, table
-from .form import Form, learned, letters_digits
+from ..session import cut, mapped, table
+from .form import MEMBERS, Form, MemberCounter, formed, learned, letters_digits
 
 #: Fewer letters and digits than this make no group.
 MIN_LETTERS_DIGITS = 60
 _CELL = re.compile(r"[|\n\r\x0b\x0c\x85\u2028\u2029]+")
-_KEYS = "id long, document_id long, key binary, form binary, raw binary"
+_FIELDS = "row long, id long, document_id long, is_table boolean, form binary, raw binary, fields array<binary>, " + MEMBERS
 
 
 def record(content: str, is_table: bool, form: Form) -> tuple[str, list[str]]:
@@ -31,46 +36,72 @@ def record(content: str, is_table: bool, form: Form) -> tuple[str, list[str]]:
     return text, [whole] if whole else []
 
 
-def keyed(paragraphs: DataFrame, form: Form, least: int = MIN_LETTERS_DIGITS) -> DataFrame:
-    """(id, document_id, key, form, raw) of every paragraph with at least ``least`` letters and digits.
+def _digest(text: str) -> bytes:
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+
+
+def fields(paragraphs: DataFrame, form: Form, least: int = MIN_LETTERS_DIGITS) -> DataFrame:
+    """Of one pass over the contents: a row per paragraph with at least ``least`` letters and digits in its form, and
+    the rows that :func:`~.form.formed` counts.
 
-    Each distinct value of a batch is canonicalised once (dictionary encoding) and stands as the 64-bit integer of its
-    canonical form; ``key`` is the 128-bit digest of the sorted integers and the kind of record, so equal keys are
-    equal records. The integers are content hashes instead of dense numbers: these need no global counter, survive
-    retries, and are equal in every partition. ``form`` and ``raw`` are digests of the consistent form and of the
-    content as stored. Null and short contents have no row; null types are no tables.
+    ``row`` numbers the rows, ``fields`` holds the 128-bit digests of the canonical field values, ``form`` and ``raw``
+    those of the consistent form and of the content as stored. Each distinct content of a batch is canonicalised once.
+    Null and short contents have no row; null types are no tables.
     """
 
-    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = (TaskContext.get().partitionId() << 33) - 1
+        members = MemberCounter()
+        names = [x.split()[0] for x in _FIELDS.split(", ")]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.string(), pa.int64()]
         for batch in batches:
-            ids, documents, content, is_table = (batch.column(k) for k in range(4))
-            coded = content.dictionary_encode()
+            ids, documents, content, is_table = (batch.column(k).to_pylist() for k in range(4))
+            members.add(content)
             done: dict = {}
-            values = coded.dictionary.to_pylist()
-            rows: list[tuple] = []
-            for k, (v, t) in enumerate(zip(coded.indices.to_pylist(), is_table.to_pylist())):
-                if v is None:
+            rows = []
+            for i, d, c, t in zip(ids, documents, content, is_table):
+                if c is None:
                     continue
-                got = done.get((v, t))
+                got = done.get((c, t))
                 if got is None:
                     got = ()
-                    if len(values[v]) >= least:
-                        text, fields = record(values[v], t, form)
-                        if sum(map(len, fields)) >= least:
-                            codes = [xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in fields]
-                            codes.sort()
-                            key = xxhash.xxh3_128_digest(b"".join(codes), seed=int(t))
-                            got = key, xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")), xxhash.xxh3_128_digest(values[v].encode("utf-8", "surrogatepass"))
-                    done[v, t] = got
+                    text, values = record(c, t, form)
+                    if sum(map(len, values)) >= least:
+                        got = _digest(text), _digest(c), [_digest(x) for x in values]
+                    done[c, t] = got
                 if got:
-                    rows.append((k, *got))
-            taken = pa.array([r[0] for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(taken), documents.take(taken), *(pa.array([r[j] for r in rows], pa.binary()) for j in (1, 2, 3))],
-                ["id", "document_id", "key", "form", "raw"])
+                    number += 1
+                    rows.append((number, i, d, t, *got, None, None))
+            columns = list(zip(*rows)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+        counts = members.counts()
+        n = len(counts)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(n, k) for k in kinds[:-2]), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names)
 
     kind = F.coalesce(F.lower("paragraph_type") == "table", F.lit(False))
-    return paragraphs.select(F.col("id").cast("long"), F.col("document_id").cast("long"), F.col("content"), kind.alias("t")).mapInArrow(encode, _KEYS)
+    return mapped(paragraphs.select(F.col("id").cast("long"), F.col("document_id").cast("long"), F.col("content"), kind.alias("t")), scan, _FIELDS)
+
+
+def dictionary(rows: DataFrame) -> DataFrame:
+    """(value, code): an integer for each field value that several fields hold. A record with a value that stands once
+    equals no other, so such values need none. The integers are given once and written, so retries don't change them."""
+    values = rows.select(F.explode("fields").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return cut(values.select("value", F.monotonically_increasing_id().alias("code")), "dictionary")
+
+
+def keyed(rows: DataFrame, codes: DataFrame | None = None) -> DataFrame:
+    """(row, id, document_id, key, form, raw) of the ``rows`` of :func:`fields` all of whose values have a code. ``key``
+    is the record itself: whether it is a table, and the sorted integers of its field values."""
+    codes = dictionary(rows) if codes is None else codes
+    flag = F.col("is_table").cast("long")
+    one = rows.filter("size(fields) = 1").select("row", "id", "document_id", "form", "raw", flag.alias("flag"), F.col("fields")[0].alias("value"))
+    simple = one.join(codes, "value").select("row", "id", "document_id", F.array("flag", "code").alias("key"), "form", "raw")
+    # the cells of one content come together again, as many as it has; a row with fewer has a value of its own
+    many = rows.filter("size(fields) > 1")
+    cells = many.select("row", F.size("fields").alias("size"), F.explode("fields").alias("value")).join(codes, "value")
+    whole = cells.groupBy("row", "size").agg(F.sort_array(F.collect_list("code")).alias("codes")).filter("size(codes) = size").select("row", "codes")
+    tabular = many.join(whole, "row").select("row", "id", "document_id", F.concat(F.array(flag), "codes").alias("key"), "form", "raw")
+    return simple.unionByName(tabular)
 
 
 def groups(keys: DataFrame) -> DataFrame:
@@ -85,9 +116,14 @@ def members(keys: DataFrame) -> DataFrame:
     return keys.join(groups(keys), "key")
 
 
-def paragraph_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+def paragraph_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of :func:`fields` of the paragraphs, in the form most frequent in them."""
     paragraphs = table(spark, sf_dir, "paragraphs")
-    return cut(keyed(paragraphs, learned(paragraphs, "content")), "copy-keys")
+    return formed(lambda form: fields(paragraphs, form), "copy-fields")[0].filter("row is not null")
+
+
+def paragraph_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(keyed(paragraph_fields(spark, sf_dir)), "copy-keys")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,9 +133,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per distinct record of 60 or more letters and digits, with its number of copies and of documents."""
-    keys = paragraph_keys(spark, sf_dir)
+    rows = paragraph_fields(spark, sf_dir)
+    keys = cut(keyed(rows), "copy-keys")
     per_document = keys.groupBy("key", "document_id").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    return per_document.groupBy("key").agg(F.min("id").alias("record_id"), F.sum("n").alias("copies"), F.count(F.lit(1)).alias("documents")).drop("key")
+    shared = per_document.groupBy("key").agg(F.min("id").alias("record_id"), F.sum("n").alias("copies"), F.count(F.lit(1)).alias("documents")).drop("key")
+    # a row without a key has a value of its own, and is the only one of its record
+    alone = rows.join(keys, "row", "left_anti").select(F.col("id").alias("record_id"), F.lit(1).cast("long").alias("copies"), F.lit(1).cast("long").alias("documents"))
+    return shared.unionByName(alone)
 
 
 def printed_alike(keys: DataFrame) -> DataFrame:
@@ -134,7 +174,7 @@ def consistent(df: DataFrame, column: str, form: Form) -> DataFrame:
             columns = [pa.array(new, pa.string()) if k == at else c for k, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([x != y for x, y in zip(old, new)], pa.bool_())], [*batch.schema.names, "changed"])
 
-    return df.mapInArrow(rewrite, StructType([*df.schema.fields, StructField("changed", BooleanType())]))
+    return mapped(df, rewrite, StructType([*df.schema.fields, StructField("changed", BooleanType())]))
 
 
 def best(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
@@ -145,7 +185,7 @@ def best(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
 
 def _ranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[Column]]:
     """Members of groups with header and upload instant, and the order in which their values are preferred."""
-    found = members(paragraph_keys(spark, sf_dir)).select("id", "group_id", "document_id")
+    found = members(paragraph_keys(spark, sf_dir)).select("id", "group_id", "document_id", (F.col("raw") == F.col("form")).alias("trusted"))
     headers = table(spark, sf_dir, "paragraphs").select("id", "header_content")
     blank = F.coalesce(~F.col("header_content").rlike(r"(?U)\S"), F.lit(True))
     rows = found.join(headers.select("id", F.when(~blank, F.col("header_content")).alias("header")), "id").join(
@@ -162,16 +202,22 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One surviving record per group of copies, every field the best on offer: content and document of the member of
-    the latest document, its instant, the first non-blank header in the same order, and the number of copies."""
+    """One surviving record per group of copies, every field the best on offer, with the number of copies.
+
+    The document and its instant are those of the latest member, as in :func:`p1_found`; the header is the first
+    non-blank one in the same order. The content is ranked by completeness (a member with header and instant before one
+    that lacks any), trust (content stored in its consistent form before one that had to be rewritten), recency and id:
+    ``content_id`` is the member it is from."""
     rows, order = _ranked(spark, sf_dir)
     rows = cut(rows, "ranked-records")
     survivors = best(rows, "group_id", order).select("group_id", "id", "document_id", "instant_us")
     headers = best(rows.filter("header is not null"), "group_id", order).select("group_id", F.col("header").alias("header_content"))
+    complete = F.col("header").isNotNull().cast("int") + F.col("instant_us").isNotNull().cast("int")
+    contents = best(rows, "group_id", [complete.desc(), F.col("trusted").desc(), *order]).select("group_id", F.col("id").alias("content_id"))
     counts = rows.groupBy("group_id").agg(F.count(F.lit(1)).alias("copies"))
-    contents = table(spark, sf_dir, "paragraphs").select("id", "content")
-    return survivors.join(counts, "group_id").join(headers, "group_id", "left").join(contents, "id").select(
-        "group_id", F.col("id").alias("survivor_id"), "document_id", "instant_us", "header_content", "content", "copies")
+    texts = table(spark, sf_dir, "paragraphs").select(F.col("id").alias("content_id"), "content")
+    return survivors.join(counts, "group_id").join(headers, "group_id", "left").join(contents, "group_id").join(texts, "content_id").select(
+        "group_id", F.col("id").alias("survivor_id"), "document_id", "instant_us", "header_content", "content_id", "content", "copies")
 
 
 QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p3_found": p3_found, "p3_consistent": p3_consistent, "p5_found": p5_found, "p5_records": p5_records}

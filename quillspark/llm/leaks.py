@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import mapped, table
 from .form import Form, learned, words
 
 #: So many consecutive words of an item make a leak.
@@ -103,7 +103,7 @@ def leaks(documents: DataFrame, items: DataFrame, form: Form, run: int = RUN) ->
     texts = documents.select(F.col("doc_id").cast("long"), "text")
     out = None
     for by_window in blocks(items, form, run):
-        found = texts.mapInArrow(search(Scanner(form, by_window, run)), _SCHEMA)
+        found = mapped(texts, search(Scanner(form, by_window, run)), _SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..session import cut, table
+from ..session import cut, drop_cut, mapped, table
 
 #: The rank file of a public tokenizer; it is read by the driver and travels with the tasks.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -22,6 +22,8 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Buckets of the seeded order of a pattern's texts, each ordered on its own.
 BUCKETS = 4096
 SEED = 17
+#: So many documents of one source and text are paired with those of other sources at a time.
+SPREAD = 100_000
 
 
 def token_counts(documents: DataFrame, ranks_file: str = RANKS) -> DataFrame:
@@ -40,7 +42,7 @@ def token_counts(documents: DataFrame, ranks_file: str = RANKS) -> DataFrame:
                 batch.column(0), batch.column(1), pa.array([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in texts], pa.binary()),
                 pa.array([len(encoding.encode_ordinary(x)) for x in texts], pa.int64())], ["doc_id", "source", "digest", "tokens"])
 
-    return documents.select(F.col("doc_id").cast("long"), "source", "text").mapInArrow(count, "doc_id long, source string, digest binary, tokens long")
+    return mapped(documents.select(F.col("doc_id").cast("long"), "source", "text"), count, "doc_id long, source string, digest binary, tokens long")
 
 
 def min_cost_flow(n: int, edges: list[tuple[int, int, int, int]], start: int, end: int) -> list[int]:
@@ -122,20 +124,40 @@ def _targets(mix: DataFrame) -> dict[str, tuple[float, int]]:
     return {r.source: (r.w, r.r) for r in rows}
 
 
-def mixed(documents: DataFrame, mix: DataFrame, ranks_file: str = RANKS, seed: int = SEED) -> DataFrame:
+def units(counted: DataFrame, once: bool = False) -> DataFrame:
+    """(unit, source, doc_id, tokens): every document in one unit, which the sources that hold its text share.
+
+    The k-th documents of one text in each source are one unit, so a text that a source holds three times and another
+    once makes one unit of both sources and two of the first. With ``once`` further documents of a text in a source
+    stay out. Documents of a text that fills a source are numbered in parts of about SPREAD, so none gathers in a task."""
+    many = counted.groupBy("digest", "source").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).filter("n > 1")
+    held = counted.join(many, ["digest", "source"], "left")
+    if once:
+        return held.filter("least is null or doc_id = least").select(F.col("digest").alias("unit"), "source", "doc_id", "tokens")
+    single = held.filter("n is null").select(F.col("digest").alias("unit"), "source", "doc_id", "tokens")
+    parts = F.floor(F.col("n") / SPREAD) + 1
+    repeated = held.filter("n is not null").withColumn("part", F.when(F.col("doc_id") == F.col("least"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc_id"), parts)))
+    place = F.row_number().over(Window.partitionBy("digest", "source", "part").orderBy("doc_id"))
+    unit = F.when(F.col("part") < 0, F.col("digest")).otherwise(F.unhex(F.md5(F.concat(F.col("digest"), F.concat_ws(" ", "part", "k").cast("binary")))))
+    return single.unionByName(repeated.withColumn("k", place).select(unit.alias("unit"), "source", "doc_id", "tokens"))
+
+
+def mixed(documents: DataFrame, mix: DataFrame, ranks_file: str = RANKS, seed: int = SEED, once: bool = False) -> DataFrame:
     """(doc_id, source, tokens, copies): the training set, as the number of times each document is taken for a source.
 
-    A text that several documents hold is one text: it belongs to all their listed sources (its membership pattern),
-    and stands as the smallest id of each. Sources not listed in ``mix`` take no part; empty texts neither. A listed
-    source without tokens can't have a share, so the others share the whole. The set is the largest whose shares meet
-    the targets, up to the size of one text per pattern and source. Equal seeds give equal sets.
+    A text that documents of several sources hold belongs to all of them (its membership pattern), see :func:`units`;
+    ``once`` leaves further documents of the same text and source out. Sources not listed in ``mix`` take no part; empty
+    texts neither; a repeated row counts once. A listed source without tokens can't have a share, so the others share
+    the whole. The set is the largest whose shares meet the targets, up to the size of one text per pattern and source.
+    Equal seeds give equal sets.
     """
     spark = documents.sparkSession
     targets = _targets(mix)
     listed = documents.join(F.broadcast(spark.createDataFrame([(s,) for s in targets], "source string")), "source", "left_semi")
-    counted = cut(token_counts(listed, ranks_file).filter("tokens > 0"), "tokens")
-    held = counted.groupBy("digest", "source").agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"))
-    texts = held.groupBy("digest").agg(F.array_join(F.array_sort(F.collect_set("source")), "\x1f").alias("pattern"), F.max("tokens").alias("tokens"))
+    counted = cut(token_counts(listed, ranks_file).filter("tokens > 0").dropDuplicates(["doc_id", "source"]), "tokens")
+    held = cut(units(counted, once), "units")
+    drop_cut(counted)
+    texts = held.groupBy("unit").agg(F.array_join(F.array_sort(F.collect_set("source")), "\x1f").alias("pattern"), F.max("tokens").alias("tokens")).withColumnRenamed("unit", "digest")
     order = F.xxhash64(F.lit(seed), "digest")
     texts = cut(texts.select("digest", "pattern", "tokens", F.pmod(order, F.lit(BUCKETS)).cast("int").alias("bucket"), order.alias("at")), "texts")
     per_bucket = texts.groupBy("pattern", "bucket").agg(F.sum("tokens").alias("held"))
@@ -155,7 +177,7 @@ def mixed(documents: DataFrame, mix: DataFrame, ranks_file: str = RANKS, seed: i
     placed = texts.withColumn("u", F.sum("tokens").over(inside) - F.col("tokens")).join(before, ["pattern", "bucket"]).withColumn("u", F.col("u") + F.col("before"))
     uses = lambda edge: F.ceil((F.col(edge) - F.col("u")) / F.col("whole")).cast("long")
     chosen = placed.join(line, "pattern").select("digest", "source", (F.greatest(uses("end"), F.lit(0)) - F.greatest(uses("begin"), F.lit(0))).cast("int").alias("copies")).filter("copies > 0")
-    return held.join(chosen, ["digest", "source"]).select("doc_id", "source", "tokens", "copies")
+    return held.join(chosen.withColumnRenamed("digest", "unit"), ["unit", "source"]).select("doc_id", "source", "tokens", "copies")
 
 
 def p9_training_set(spark: SparkSession, sf_dir: str) -> DataFrame:

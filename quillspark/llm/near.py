@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, drop_cut, release, table
+from ..session import cut, drop_cut, mapped, release, table
 from .form import Form, MemberCounter, representatives, words
 from .copies import record
 
@@ -35,8 +35,9 @@ CODES = range(1, 2 << SPREAD)
 #: A code whose words are not rare enough for at most 2 ** SLACK sets to hold them all by chance is light: it gives one
 #: value with each part of a second dealing, of one part more than words may differ.
 SLACK = 12.0
-#: Named by tests only: no word is too common to take part.
-COMMON, MANY = 0.015, 5000
+#: Sets that meet in one band value beyond which the value is hot: its sets are cut into blocks of so many, and pairs
+#: of blocks are spread over all tasks.
+HOT = 8192
 #: Bytes of a band value that are shuffled; values that agree in these by chance are dropped like other candidates.
 VALUE_BYTES = 5
 #: Counters for the frequency of words; their number is fixed, so the table has the same size whatever the corpus.
@@ -198,7 +199,7 @@ def _scanned(paragraphs: DataFrame, form: Form) -> DataFrame:
             sets: dict = {}
             rows, tokens, starts = [], [], []
             for i, c, t in zip(ids, content, is_table):
-                if c is None or len(c) < MIN_LETTERS_DIGITS:
+                if c is None:
                     continue
                 got = seen.get((c, t))
                 if got is None:
@@ -242,7 +243,7 @@ def _scanned(paragraphs: DataFrame, form: Form) -> DataFrame:
             pa.array(range(-2, n - 2), pa.int32()), pa.array(tables, pa.binary())], _NAMES)
 
     kind = F.coalesce(F.lower("paragraph_type") == "table", F.lit(False))
-    return paragraphs.select(F.col("id").cast("long"), "content", kind.alias("t")).mapInArrow(scan, _SCAN)
+    return mapped(paragraphs.select(F.col("id").cast("long"), "content", kind.alias("t")), scan, _SCAN)
 
 
 _NAMES = [x.split()[0] for x in _SCAN.split(", ")]
@@ -305,14 +306,15 @@ def sketches(fresh: DataFrame) -> DataFrame:
                 odd = sketch(*_lists(batch.column(2))).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(odd[:, k])) for k in range(BITS // 64))], names)
 
-    held = fresh.select("words_id", "n", "hashes").mapInArrow(fold, "words_id long, n int, " + ", ".join(f"{x} long" for x in names[2:]))
+    held = mapped(fresh.select("words_id", "n", "hashes"), fold, "words_id long, n int, " + ", ".join(f"{x} long" for x in names[2:]))
     return held.groupBy("words_id").agg(*[F.first(x).alias(x) for x in names[1:]])
 
 
-def candidates(fresh: DataFrame, rarity: np.ndarray, sets: float, threshold: float = THRESHOLD) -> DataFrame:
+def candidates(fresh: DataFrame, rarity: np.ndarray, sets: float, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
     """(words_a, words_b), a < b: pairs of sets that share a band value, but for those whose sizes or parities show that
     they are less similar than the threshold. Values are shuffled in packs, one for each batch and bucket of values; a
-    task holds the values of one bucket at a time, and pairs are made in slices. No bucket is capped."""
+    task holds the values of one bucket at a time, and pairs are made in slices. The sets of a value held by more than
+    ``hot`` are cut into blocks, whose pairs are spread over all tasks. No bucket is capped."""
     buckets = int(fresh.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = ["bucket", "ids", "odd", "sizes", "counts", "packed"]
 
@@ -338,41 +340,91 @@ def candidates(fresh: DataFrame, rarity: np.ndarray, sets: float, threshold: flo
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names)
 
-    def pairs(packs: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def near(odd_a, odd_b, size_a, size_b) -> np.ndarray:
+        """As many ones as words may differ, no more, and sizes as far apart as may be."""
+        total = size_a + size_b
+        out = np.bitwise_count(odd_a ^ odd_b) <= total * ((1 - threshold) / (1 + threshold)) + 1e-6
+        return out & (np.minimum(size_a, size_b) >= threshold * np.maximum(size_a, size_b) - 1e-6)
+
+    def unpacked(packs: list[tuple]) -> tuple[np.ndarray, ...]:
         ids, odd, sizes, counts, packed = (np.frombuffer(b"".join(c), t) for c, t in zip(zip(*packs), (np.int64, np.uint64, np.int32, np.int32, np.uint8)))
         v = np.zeros((len(packed) // VALUE_BYTES, 8), np.uint8)
         v[:, :VALUE_BYTES] = packed.reshape(-1, VALUE_BYTES)
-        v = v.view("<u8").ravel()
+        return ids, odd, sizes, counts, v.view("<u8").ravel()
+
+    def too_long(v: np.ndarray) -> np.ndarray:
+        """Which of sorted values stand in runs of more than ``hot``."""
+        far = np.flatnonzero(v[hot:] == v[:-hot]) if len(v) > hot else np.empty(0, np.int64)
+        out = np.zeros(len(v) + 1, np.int64)
+        np.add.at(out, far, 1)
+        np.add.at(out, far + hot + 1, -1)
+        return np.cumsum(out[:-1]) > 0
+
+    def pairs(packs: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """The pairs of one bucket but for those of hot values."""
+        ids, odd, sizes, counts, v = unpacked(packs)
         order = np.argsort(v)
         v, w = v[order], np.repeat(np.arange(len(ids), dtype=np.int32), counts)[order]
         # only runs of equal values matter
         run = np.append(v[1:] == v[:-1], False)
         run[1:] |= run[:-1]
+        run &= ~too_long(v)
         v, w = v[run], w[run]
         at, step = np.arange(len(v)), 1
         while len(at := at[at + step < len(v)]) and len(at := at[v[at + step] == v[at]]):
             a, b = w[at], w[at + step]
-            total = sizes[a] + sizes[b]
-            # as many ones as may differ, no more, and sizes as far apart as may be
-            near = np.bitwise_count(odd[a] ^ odd[b]) <= total * ((1 - threshold) / (1 + threshold)) + 1e-6
-            near &= (np.minimum(sizes[a], sizes[b]) >= threshold * np.maximum(sizes[a], sizes[b]) - 1e-6) & (ids[a] != ids[b])
-            a, b = ids[a[near]], ids[b[near]]
+            some = near(odd[a], odd[b], sizes[a], sizes[b]) & (ids[a] != ids[b])
+            a, b = ids[a[some]], ids[b[some]]
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["words_a", "words_b"])
             step += 1
 
-    def pair(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, packs = None, []
+    def blocks(packs: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """The sets of the hot values of one bucket, as pairs of blocks."""
+        ids, odd, sizes, counts, v = unpacked(packs)
+        if len(v) <= hot or not too_long(np.sort(v)).any():
+            return
+        order = np.argsort(v)
+        long = too_long(v[order])
+        v, w = v[order][long], np.repeat(np.arange(len(ids), dtype=np.int32), counts)[order][long]
+        edges = [0, *(np.flatnonzero(v[1:] != v[:-1]) + 1).tolist(), len(v)]
+        for begin, end in zip(edges, edges[1:]):
+            cuts = [b"".join(x[w[k : min(k + hot, end)]].tobytes() for x in (ids, odd, sizes)) for k in range(begin, end, hot)]
+            for k, left in enumerate(cuts):
+                yield pa.RecordBatch.from_arrays([pa.array([left] * (len(cuts) - k), pa.binary()), pa.array(cuts[k:], pa.binary())], ["left", "right"])
+
+    def crossed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pairs of two blocks, or of one with itself."""
+        def parts(x: bytes):
+            n = len(x) // 20
+            return np.frombuffer(x, np.int64, n), np.frombuffer(x, np.uint64, n, 8 * n), np.frombuffer(x, np.int32, n, 16 * n)
         for batch in batches:
-            for k, *pack in zip(*(c.to_pylist() for c in batch.columns)):
-                if k != bucket:
-                    yield from pairs(packs) if packs else ()
-                    bucket, packs = k, []
-                packs.append(pack)
-        yield from pairs(packs) if packs else ()
-
-    packed = fresh.select("words_id", "hashes").mapInArrow(deal, "bucket int, ids binary, odd binary, sizes binary, counts binary, packed binary")
-    return packed.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(pair, "words_a long, words_b long")
+            for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                (i, p, m), (j, q, n) = parts(left), parts(right)
+                for k in range(len(i)):
+                    some = near(p[k], q, m[k], n) & ((j > i[k]) if left == right else (j != i[k]))
+                    if some.any():
+                        b = j[some]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i[k], b)), pa.array(np.maximum(i[k], b))], ["words_a", "words_b"])
+
+    def each_bucket(judge):
+        def stream(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bucket, packs = None, []
+            for batch in batches:
+                for k, *pack in zip(*(c.to_pylist() for c in batch.columns)):
+                    if k != bucket:
+                        yield from judge(packs) if packs else ()
+                        bucket, packs = k, []
+                    packs.append(pack)
+            yield from judge(packs) if packs else ()
+        return stream
+
+    packed = mapped(fresh.select("words_id", "hashes"), deal, "bucket int, ids binary, odd binary, sizes binary, counts binary, packed binary")
+    met = packed.repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
+    found = "words_a long, words_b long"
+    # both read the same exchange; pairs of blocks are none unless a value is hot
+    spread = mapped(met, each_bucket(blocks), "left binary, right binary").repartition(buckets)
+    return mapped(met, each_bucket(pairs), found).unionByName(mapped(spread, crossed, found))
 
 
 def similar_sets(scan: Scan, evidence: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -393,23 +445,19 @@ def similar_sets(scan: Scan, evidence: DataFrame | None = None, threshold: float
     judged = pairs.join(side("a"), "words_a").join(side("b"), "words_b")
     flips = sum((F.bit_count(F.col(f"sa{k}").bitwiseXOR(F.col(f"sb{k}"))) for k in range(BITS // 64)), F.lit(0))
     close = cut(judged.filter((flips <= most_flips(threshold)) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)).select("words_a", "words_b"), "near-pairs")
+    drop_cut(pairs)
     release(close.sparkSession)
 
     ends = close.select(F.explode(F.array("words_a", "words_b")).alias("words_id")).distinct()
     sets = cut(fresh.select("words_id", "hashes").join(ends, "words_id").groupBy("words_id").agg(F.first("hashes").alias("hashes")), "near-words")
     a, b = (sets.select(F.col("words_id").alias(f"words_{x}"), F.col("hashes").alias(f"h_{x}")) for x in "ab")
-
-    def exactly(pairs: DataFrame) -> DataFrame:
-        shared = F.size(F.array_intersect("h_a", "h_b"))
-        # whole numbers decide, so that a share of exactly the threshold counts
-        enough = shared * 1000 >= (F.size("h_a") + F.size("h_b") - shared) * round(threshold * 1000)
-        return pairs.join(a, "words_a").join(b, "words_b").filter(enough).select("words_a", "words_b")
-
-    sure = cut(exactly(close), "similar-sets")
-    release(close.sparkSession)
-    ways = sure.select(F.col("words_a").alias("hub"), F.col("words_b").alias("w")).unionByName(sure.select(F.col("words_b").alias("hub"), F.col("words_a").alias("w")))
-    hops = ways.select("hub", F.col("w").alias("words_a")).join(ways.select("hub", F.col("w").alias("words_b")), "hub").filter("words_a < words_b").select("words_a", "words_b").distinct()
-    return sure.unionByName(exactly(hops.join(close, ["words_a", "words_b"], "left_anti")))
+    shared = F.size(F.array_intersect("h_a", "h_b"))
+    # whole numbers decide, so that a share of exactly the threshold counts
+    enough = shared * 1000 >= (F.size("h_a") + F.size("h_b") - shared) * round(threshold * 1000)
+    sure = cut(close.join(a, "words_a").join(b, "words_b").filter(enough).select("words_a", "words_b"), "similar-sets")
+    for done in (close, sets):
+        drop_cut(done)
+    return sure
 
 
 def _edited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

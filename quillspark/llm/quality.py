@@ -1,19 +1,25 @@
 """Per-document text quality statistics and the verdict prose, list, table or junk (problem 10).
 
-The statistics are built-in expressions over whole texts, a regular expression pass each. The verdict is an ordered
-rule list, induced from labelled documents by incremental reduced-error pruning and applied as one SQL CASE.
+The statistics come from one pass over each whole text, split into words and lines once. The verdict is an ordered rule
+list, induced from labelled documents by incremental reduced-error pruning and applied as one SQL CASE.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import re
+from collections.abc import Iterable, Iterator
+from operator import eq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, table
+from ..session import cut, mapped, table
+from .form import Form, PerToken, representatives, words
 
 # Frequent function words of English, German and French.
 COMMON_WORDS = """
@@ -27,63 +33,89 @@ MOST_LABELS = 4000
 KEEP, RETRIES = 0.5, 6
 
 
-def _trie(words: list[str]) -> str:
-    """An alternation of words with common beginnings factored out, which a regular expression tries letter by letter."""
-    heads: dict[str, list[str]] = {}
-    for w in words:
-        heads.setdefault(w[:1], []).append(w[1:])
-    parts = [h + _trie(sorted(set(rest))) for h, rest in sorted(heads.items()) if h]
-    body = parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})" if parts else ""
-    return body and (f"(?:{body})?+" if "" in heads else body)
+_COMMON = frozenset(COMMON_WORDS.split())
+_LIST = re.compile(r"[ \t]*(?:[-–—*•·‣▪◦]|\(?(?:\d{1,3}|[a-zA-Z]|[ivx]{1,4})[.)])[ \t]+\S")
+# cells between semicolons are short, as semicolons also end clauses; those between bars, tabs or wide gaps have any width
+_SHORT_CELLS = re.compile(r"[^;]{0,40};[^;]{0,40};")
+_GAP = re.compile(" {3,}")
+_REPEATED = re.compile(r"\b(\w{2,})(?:\W{1,2}\1\b){3,}")
+_LONG = re.compile(r"[A-Za-z0-9+/=]{30,}")
+_CONSONANTS = re.compile(r"[bcdfghjklmnpqrstvwxz]{4,}")
+_ODD = re.compile(r"(?:[^\w\s.,;:!?()/'\"|%–•*\u0300-\u036f-]|_)(?:[^\w\n\u0300-\u036f]|_)*|[ÂÃâï\ufffd]+")
 
 
-_COMMON = r"(?iu)\b" + _trie(sorted(set(COMMON_WORDS.split()))) + r"\b"
-_LIST = r"(?m)^[ \t]*+(?:[-–—*•·‣▪◦]|\(?(?:\d{1,3}|[a-zA-Z]|[ivx]{1,4})[.)])[ \t]++\S[^\n]*+$"
-# lines of cells between bars, or three cells and more between semicolons, tabs or wide gaps; bars and tabs tell cells of
-# any width, semicolons also end clauses and tell short cells only
-_TABLE = (r"(?m)^(?:[^\n|]*+\|[^\n]*+|[^\n;]{0,40}+;[^\n;]{0,40}+;[^\n]*+|[^\n\t]*+\t[^\n\t]*+\t[^\n]*+"
-          r"|(?:[^\n ]++(?: {1,2}[^\n ]++)*+ {3,}+){2}[^\n]*+)$")
-_REPEATED = r"\b(\w{2,}+)(?:\W{1,2}+\1\b){3,}+"
-_LONG = r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/=]{30,}+"
-_CONSONANTS = r"(?i)[bcdfghjklmnpqrstvwxz]{4,}+"
-_ODD = r"[^\p{L}\p{M}\p{N}\s.,;:!?()/'\"|%–•*-][^\p{L}\p{M}\p{N}\n]*+|[ÂÃâï�]++"
-
-
-def _share(text: Column, pattern: str) -> Column:
-    """The share of a text's characters that belong to matches of a pattern."""
-    return (F.col("n_chars") - F.length(F.regexp_replace(text, pattern, ""))) / F.greatest(F.col("n_chars"), F.lit(1))
+def is_row(line: str) -> bool:
+    """Whether a line is a row of a table: cells between bars, or three cells and more between semicolons, tabs or wide
+    gaps."""
+    return ("|" in line or line.count("\t") > 1 or ";" in line and _SHORT_CELLS.match(line) is not None
+            or "   " in line and line[:1] != " " and len(_GAP.findall(line)) > 1)
 
 
 FEATURES = ["mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "mean_line_length", "list_share", "table_share", "junk_share",
             "repeated_share", "long_share", "consonant_share", "odd_share", "digit_share"]
+_STATISTICS = ["n_chars", "n_words", "n_lines", *FEATURES]
+
+
+def _pack(word: str) -> int:
+    """Of a word, in 40 bits each: its length, its letters in runs of consonants, its digits, and whether it is common."""
+    consonants = sum(map(len, _CONSONANTS.findall(word)))
+    return ((len(word) << 40 | consonants) << 40 | sum(map(str.isdigit, word))) << 40 | (word in _COMMON)
+
+
+_packed, _FIELD = PerToken(_pack), (1 << 40) - 1
+
+
+@functools.cache
+def _is_odd(char: str) -> bool:
+    return _ODD.match(char) is not None
+
+
+def measured(text: str, form: Form) -> tuple:
+    """The statistics of one text, as named in _STATISTICS. Words are those of its consistent form, in Unicode."""
+    n = max(len(text), 1)
+    solid = text.split()
+    run = words(form(text))
+    n_words = max(len(run), 1)
+    packed = sum(map(_packed.__getitem__, run))
+    letters, consonants, digits, common = packed >> 120, (packed >> 80 & _FIELD) / n, packed >> 40 & _FIELD, packed & _FIELD
+    n_lines = ended = listed = rows = 0
+    for line in text.split("\n"):
+        bare = line.rstrip()
+        if not bare:
+            continue
+        n_lines += 1
+        ended += (bare[-1] if bare[-1] not in _QUOTES else bare.rstrip(_QUOTES)[-1:]) in _ENDS
+        if _LIST.match(line):
+            listed += len(line)
+        if is_row(line):
+            rows += len(line)
+    total = lambda found: sum(map(len, found)) / n
+    # a word four times on end shows as three equal neighbours in a row
+    twice = list(map(eq, run, run[1:]))
+    repeated = total(m[0] for m in _REPEATED.finditer(text)) if sum(twice) > 2 and any(map(all, zip(twice, twice[1:], twice[2:]))) else 0.0
+    long = total(_LONG.findall(text)) if solid and max(map(len, solid)) >= 30 else 0.0
+    odd = total(_ODD.findall(text)) if any(map(_is_odd, set(text))) else 0.0
+    size, lines = sum(map(len, solid)), max(n_lines, 1)
+    return (len(text), len(run), n_lines, letters / n_words, max(size - letters, 0) / max(size, 1), ended / lines, common / n_words,
+            len(text) / lines, listed / n, rows / n, min(repeated + long + consonants + odd, 1.0), repeated, long, consonants, odd, digits / n)
+
+
+# What ends a line of prose.
+_ENDS, _QUOTES = frozenset(".!?:;,…"), "\"'”’»)"
 
 
 def statistics(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, n_words, n_lines and FEATURES) of each document's whole text; a null text counts as empty, and
-    an empty text has zeros."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = documents.select("doc_id", text.alias("text")).withColumn("n_chars", F.length("text"))
-    t = F.col("text")
-    solid = F.length(F.regexp_replace(t, r"\s++", ""))
-    letters = F.length(F.regexp_replace(t, r"[^\p{L}\p{M}\p{N}]++", ""))
-    out = base.select(
-        "doc_id", "n_chars",
-        F.regexp_count(t, F.lit(r"\S++")).alias("n_words"),
-        F.regexp_count(t, F.lit(r"(?m)^[^\S\n]*+\S")).alias("n_lines"),
-        letters.alias("_letters"), solid.alias("_solid"),
-        F.regexp_count(t, F.lit(r"(?m)[.!?:;,…][\"'”’»)]*[ \t]*$")).alias("_ended"),
-        F.regexp_count(t, F.lit(_COMMON)).alias("_common"),
-        _share(t, _LIST).alias("list_share"), _share(t, _TABLE).alias("table_share"),
-        _share(t, _REPEATED).alias("repeated_share"), _share(t, _LONG).alias("long_share"), _share(t, _CONSONANTS).alias("consonant_share"),
-        _share(t, _ODD).alias("odd_share"), _share(t, r"\d+").alias("digit_share"))
-    words, lines = F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))
-    return out.select(
-        "doc_id", "n_chars", "n_words", "n_lines", (F.col("_letters") / words).alias("mean_word_length"),
-        ((F.col("_solid") - F.col("_letters")) / F.greatest("_solid", F.lit(1))).alias("symbol_ratio"), (F.col("_ended") / lines).alias("punctuated_lines"),
-        (F.col("_common") / words).alias("common_words"), (F.col("n_chars") / lines).alias("mean_line_length"),
-        "list_share", "table_share",
-        F.least(F.col("repeated_share") + F.col("long_share") + F.col("consonant_share") + F.col("odd_share"), F.lit(1.0)).alias("junk_share"),
-        *["repeated_share", "long_share", "consonant_share", "odd_share", "digit_share"])
+    """(doc_id, n_chars, n_words, n_lines and FEATURES) of each document's whole text, by one pass over it; a null text
+    counts as empty, and an empty text has zeros."""
+    form = Form(representatives({}))
+
+    def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(zip(*(measured(x or "", form) for x in batch.column(1).to_pylist()))) or [()] * len(_STATISTICS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64() if k < 3 else pa.float64()) for k, c in enumerate(columns))], ["doc_id", *_STATISTICS])
+
+    schema = "doc_id long, " + ", ".join(f"{x} {'long' if k < 3 else 'double'}" for k, x in enumerate(_STATISTICS))
+    return mapped(documents.select(F.col("doc_id").cast("long"), "text"), measure, schema)
 
 
 Rule = tuple[str, list[tuple[str, str, float]]]

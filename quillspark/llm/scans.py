@@ -7,6 +7,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -14,73 +15,114 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, table
-from .form import Form, learned, representatives
+from ..session import cut, mapped, table
+from .form import MEMBERS, Form, MemberCounter, PerToken, formed
 from .quality import COMMON_WORDS
 
 HEADER, BODY, BREAK = 0, 1, 2
-#: Lines to fit the model on, by a seeded order.
+#: Lines to fit the model on, about so many by a seeded order and never more than twice as many.
 MOST_LINES = 20_000
-#: No page furniture is longer than this.
-FURNITURE = 80
 
 _MARK = "[-‐‑­¬]"
-_MARKED = re.compile(rf"{_MARK}$")
 # How page numbers are written.
 _PAGE = r"(?:(?:page|seite|p\.|s\.)\s*\d+(?:\s*(?:of|von|sur|/)\s*\d+)?|\d+\s*\|\s*(?:page|seite)|\[\s*\d+\s*\]|[-–—]\s*\d+\s*[-–—]|\d{1,4}(?:\s*/\s*\d{1,4})?)"
-_IS_PAGE = re.compile(rf"^\s*{_PAGE}\s*$", re.I)
+_IS_PAGE = re.compile(rf"\s*{_PAGE}\s*$", re.I)
 _PAGE_END = re.compile(rf"(?:\s*·\s*|\s*\|\s*|\s{{2,}}|\t){_PAGE}\s*$", re.I)
 # the same without bare numbers, which also end lines of text
 _NUMBERED_END = re.compile(rf"(?:\s*·\s*|\s{{2,}}|\t)(?!\d+\s*$){_PAGE}\s*$", re.I)
-_PAGE_START = re.compile(rf"^\s*{_PAGE}(?:\s*·\s*|\s*\|\s*|\s{{2,}}|\t)", re.I)
-_ENDS = re.compile(r"[.!?:;,)]['\"”’»]*$")
+_PAGE_START = re.compile(rf"\s*{_PAGE}(?:\s*·\s*|\s*\|\s*|\s{{2,}}|\t)", re.I)
+
+
+def _may_end_in_page(line: str) -> bool:
+    """Whether the last character allows one of the notations of page numbers, all of which end in these."""
+    last = line[-1:]
+    return last.isdigit() or last in "]-–—" or last in "eE" and line[-5:].lower().endswith(("page", "seite"))
 
 
 def line_key(line: str) -> str:
     """A line without its page number, in lower case and single blanks: what recurs of a running title."""
-    return " ".join(_PAGE_START.sub("", _PAGE_END.sub("", line.strip())).lower().split())
+    line = line.strip()
+    if _may_end_in_page(line):
+        line = _PAGE_END.sub("", line)
+    start = _PAGE_START.match(line)
+    return " ".join((line[start.end():] if start else line).lower().split())
+
+
+def _ending(line: str) -> int:
+    """2 after a hyphen mark, 1 after punctuation that ends a sentence or a part of one, else 0."""
+    last = line[-1:]
+    return 2 if last in "-‐‑­¬" and last else 1 if line.rstrip("'\"”’»")[-1:] in tuple(".!?:;,") else 0
+
+
+def _bare(line: str) -> str:
+    return _NUMBERED_END.sub("", line) if _may_end_in_page(line) else line
 
 
 def _features(line: str, alone: bool) -> int:
     """The layout of a line as one of 72 symbols; recurrence in the document makes it one of 144."""
-    bare = _NUMBERED_END.sub("", line)
-    ends = 2 if _MARKED.search(bare) else 1 if _ENDS.search(bare) else 0
-    length = 0 if len(line) < 12 else 1 if len(line) < FURNITURE else 2
+    ends = _ending(_bare(line))
+    length = 0 if len(line) < 12 else 1 if len(line) < 80 else 2
     page = bool(_IS_PAGE.match(line))
     return (((page * 3 + ends) * 3 + length) * 2 + line[:1].islower()) * 2 + alone
 
 
-def lines(paragraphs: DataFrame, form: Form) -> DataFrame:
-    """(id, document_id, line_no, symbol, key): the lines of every paragraph that has several, or is short enough to be
-    page furniture. ``key`` is a hash of what may recur, null where that can't be a running title."""
-
-    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for i, d, content in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if not content or "\n" not in content and len(content) > FURNITURE:
-                    continue
-                held = [(k, x.strip()) for k, x in enumerate(form(content).split("\n")) if x.strip()]
-                for k, x in held:
-                    symbol = _features(x, len(held) == 1)
-                    key = line_key(x) if len(x) <= FURNITURE and not _IS_PAGE.match(x) else ""
-                    recurring = key and len(key) >= 6 and not _ENDS.search(key) and not _MARKED.search(key)
-                    rows.append((i, d, k, symbol, xxhash.xxh3_64_intdigest(key.encode()) - (1 << 63) if recurring else None))
-            columns = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))], ["id", "document_id", "line_no", "symbol", "key"])
-
-    return paragraphs.select(F.col("id").cast("long"), F.col("document_id").cast("long"), "content").mapInArrow(scan, "id long, document_id long, line_no int, symbol int, key long")
+def _letter(c: str) -> bool:
+    return c.isalpha() or unicodedata.category(c)[0] == "M"
+
+
+def _tail(line: str) -> str | None:
+    """The part of a word, in lower case, before the hyphen mark that a line ends with."""
+    line = _bare(line)
+    if _ending(line) != 2:
+        return None
+    end = len(line) - 1
+    while end and line[end - 1].isspace():
+        end -= 1
+    i = end
+    while i and _letter(line[i - 1]):
+        i -= 1
+    return line[i:end].lower() if i < end == len(line) - 1 and any(map(str.isalpha, line[i:end])) else None
+
+
+def _head(line: str) -> str | None:
+    """The letters, in lower case, that a line begins with."""
+    j = 0
+    while j < len(line) and _letter(line[j]):
+        j += 1
+    return line[:j].lower() if any(map(str.isalpha, line[:j])) else None
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _lines_of(text: str) -> list[tuple]:
+    """(line number, symbol, key, context, tail, head) of the lines of a text. ``key`` is a hash of what may recur, none
+    for page numbers, table rows and lines without letters; ``context`` one of the lines around it, none if it stands
+    alone. Heads are given where a line ends with a hyphen mark."""
+    held = [(k, x.strip()) for k, x in enumerate(text.split("\n"))]
+    held = [(k, x) for k, x in held if x]
+    keys = [line_key(x) for _, x in held]
+    tails = [_tail(x) for _, x in held]
+    split = any(tails)
+    out = []
+    for n, (k, x) in enumerate(held):
+        may_recur = any(map(str.isalpha, keys[n])) and "|" not in keys[n] and "\t" not in x and not _IS_PAGE.match(x)
+        context = _hash("\n".join((keys[n - 1] if n else "", *keys[n + 1 : n + 2]))) if len(held) > 1 else None
+        out.append((k, _features(x, len(held) == 1), _hash(keys[n]) if may_recur else None, context, tails[n], _head(x) if split else None))
+    return out
 
 
 SYMBOLS = 144
 
 
 def with_recurrence(held: DataFrame) -> DataFrame:
-    """``lines`` with ``seen``: the symbol, moved up by 72 if the same key stands in another paragraph of the document.
-    Equal keys are counted before the shuffle, so a document with a third of all rows is no hot group."""
-    per_key = held.filter("key is not null").groupBy("document_id", "key", "id").agg(F.count(F.lit(1)).alias("n"))
-    often = per_key.groupBy("document_id", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("document_id", "key", F.lit(72).alias("up"))
-    return held.join(often, ["document_id", "key"], "left").select("id", "line_no", (F.col("symbol") + F.coalesce("up", F.lit(0))).alias("seen"))
+    """``lines`` with ``seen``: the symbol, moved up by 72 if the same key stands elsewhere in the document. Lines of one
+    context count once, as copies of a paragraph repeat theirs; so does a repeated row. Equal keys are counted before
+    the shuffle, so a document with a third of all rows is no hot group."""
+    places = held.filter("key is not null").select("document_id", "key", F.coalesce("context", "id").alias("place")).distinct()
+    often = places.groupBy("document_id", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("document_id", "key", F.lit(72).alias("up"))
+    return held.join(often, ["document_id", "key"], "left").select("id", "line_no", (F.col("symbol") + F.coalesce("up", F.lit(0))).alias("seen"), "tail", "head")
 
 
 class Model:
@@ -109,7 +151,7 @@ def _cue(symbol: int, last: bool) -> int | None:
     """The state that a line's layout shows beyond doubt, else None; these cues label the lines to learn from."""
     recurs, rest = divmod(symbol, 72)
     page, ends, length = rest // 36, rest // 12 % 3, rest // 4 % 3
-    if page or recurs and length < 2 and ends == 0:
+    if page or recurs and ends == 0:
         return HEADER
     if ends == 2 or length == 2 and not last:
         return BODY
@@ -158,53 +200,53 @@ def fit(sequences: list[list[int]], rounds: int = 5) -> Model:
     return model
 
 
-def _sequences(rows: Iterable[tuple[int, int, int]]) -> Iterator[tuple[int, list[int], list[int]]]:
-    """(id, line numbers, symbols) of rows (id, line_no, seen) that come in order."""
-    at, numbers, symbols = None, [], []
-    for i, k, s in rows:
-        if i != at:
-            if numbers:
-                yield at, numbers, symbols
-            at, numbers, symbols = i, [], []
-        numbers.append(k)
-        symbols.append(s)
-    if numbers:
-        yield at, numbers, symbols
+def _sequences(rows: Iterable[tuple]) -> Iterator[tuple]:
+    """(id, line numbers, symbols, tails, heads) of rows (id, line_no, seen, tail, head) that come in order."""
+    for i, held in groupby(rows, key=lambda r: r[0]):
+        yield i, *zip(*(r[1:] for r in held))
 
 
 def labelled(seen: DataFrame, most: int = MOST_LINES) -> DataFrame:
-    """(id, headers, breaks): of every paragraph in ``seen`` the numbers of its lines labelled header and break. The
-    model is fitted on the lines of a seeded sample of paragraphs with about ``most`` lines, then decodes all."""
+    """(id, headers, breaks, splits): of every paragraph in ``seen`` the numbers of its lines labelled header and break,
+    and the words that a hyphen mark splits between lines that follow one another once headers are left out, as their
+    two parts with a hyphen. The model is fitted on the lines of a seeded sample of paragraphs with about ``most``
+    lines, at most twice as many, and decodes all."""
     parts = 1_000_000
     share = max(1, min(parts, parts * most // max(1, seen.count())))
-    sample = seen.filter(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(parts)) < share).toPandas().sort_values(["id", "line_no"]).head(2 * most)
-    model = fit([s for _, _, s in _sequences(sample.itertuples(index=False, name=None))])
+    order = F.xxhash64(F.lit(5), "id")
+    sample = seen.filter(F.pmod(order, F.lit(parts)) < share).orderBy(order, "id", "line_no").limit(2 * most).select("id", "line_no", "seen", "tail", "head").toPandas()
+    model = fit([list(q[2]) for q in _sequences(sample.sort_values(["id", "line_no"]).itertuples(index=False, name=None))])
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
-                yield from zip(*(batch.column(k).to_pylist() for k in range(3)))
+                yield from zip(*(batch.column(k).to_pylist() for k in range(5)))
         done: dict = {}
         out = []
 
         def packed(out):
-            columns = list(zip(*out)) or [()] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())))], ["id", "headers", "breaks"])
+            columns = list(zip(*out)) or [()] * 4
+            kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["id", "headers", "breaks", "splits"])
 
-        for i, numbers, symbols in _sequences(rows()):
-            q = tuple(symbols)
-            states = done.get(q)
+        for i, numbers, symbols, tails, heads in _sequences(rows()):
+            states = done.get(symbols)
             if states is None:
                 states = model.decode(symbols)
-                if len(q) < 8 and len(done) < 100_000:
-                    done[q] = states
-            out.append((i, [k for k, s in zip(numbers, states) if s == HEADER], [k for k, s in zip(numbers, states) if s == BREAK]))
+                if len(symbols) < 8 and len(done) < 100_000:
+                    done[symbols] = states
+            splits = []
+            if any(tails):
+                kept = [k for k, s in enumerate(states) if s != HEADER]
+                splits = [f"{tails[k]}-{heads[n]}" for k, n in zip(kept, kept[1:]) if tails[k] and heads[n]]
+            out.append((i, [k for k, s in zip(numbers, states) if s == HEADER], [k for k, s in zip(numbers, states) if s == BREAK], splits))
             if len(out) == 10_000:
                 yield packed(out)
                 out = []
         yield packed(out)
 
-    return seen.repartition("id").sortWithinPartitions("id", "line_no").mapInArrow(decode, "id long, headers array<int>, breaks array<int>")
+    ordered = seen.select("id", "line_no", "seen", "tail", "head").repartition("id").sortWithinPartitions("id", "line_no")
+    return mapped(ordered, decode, "id long, headers array<int>, breaks array<int>, splits array<string>")
 
 
 # How recognition confuses characters, as read and as printed.
@@ -213,6 +255,7 @@ LETTERS = [("c", "e"), ("l", "i"), ("f", "t"), ("b", "h"), ("ii", "u"), ("cl", "
 _FUNCTION = frozenset(COMMON_WORDS.split())
 _TOKEN = re.compile(r"[@$]?[^\W_]+(?:[@$]+[^\W_]+)*[@$]?")
 _STRANGE = re.compile(r"[01598@$]")
+_read, _compounds = PerToken(_TOKEN.findall), PerToken(re.compile(r"[^\W\d_]+[-‐][^\W\d_]+").findall)
 #: A word of letters is misread if the word it confuses is so many times as frequent, and occurs so often.
 TIMES, LEAST = 8, 8
 #: Words in at most so many contents of a batch are kept with the rows that hold them.
@@ -224,30 +267,50 @@ MOST_ONES = 4
 MADE_UP_WORDS, MADE_UP = 12, 0.5
 
 
-def _counts(paragraphs: DataFrame, form: Form) -> DataFrame:
-    """(word, n, ids, tokens): words of a batch with the number of different contents that hold them, and for words that may be
-    misread the ids of the rows: words in few contents, and words that stand for one more frequent in the same batch.
-    Words and compounds split by a hyphen inside a line are in lower case. Rows without a word hold the ids and words of
-    a content that may be made up."""
+_SCAN = "id long, document_id long, line_no int, symbol int, key long, context long, tail string, head string, word string, n long, ids array<long>, tokens array<string>, " + MEMBERS
+
+
+def scanned(paragraphs: DataFrame, form: Form) -> DataFrame:
+    """Of one pass over the contents, in their consistent form:
+
+    * (id, document_id, line_no, symbol, key, context, tail, head): the lines of every paragraph, see :func:`_lines_of`;
+    * (word, n, ids): words of a batch with the number of different contents that hold them, and for words that may be
+      misread the ids of the rows: words in few contents, and words that stand for one more frequent in the same batch.
+      Words and compounds split by a hyphen inside a line are in lower case;
+    * (ids, tokens): the rows and words of a content that may be made up;
+    * the rows that :func:`~.form.formed` counts.
+    """
+    names = [x.split()[0] for x in _SCAN.split(", ")]
+    kinds = dict(zip(names, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.string(), pa.int64()]))
+
+    def packed(rows: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[x], t) if x in columns else pa.nulls(rows, t) for x, t in kinds.items()], names)
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compound = re.compile(r"[^\W\d_]+[-‐][^\W\d_]+")
+        members = MemberCounter()
         for batch in batches:
-            rows: dict[str, list[int]] = {}
-            for i, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rows: dict[str, list[tuple]] = {}
+            contents = batch.column(2).to_pylist()
+            members.add(contents)
+            for i, d, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), contents):
                 if c:
-                    rows.setdefault(c, []).append(i)
+                    rows.setdefault(c, []).append((i, d))
             counted: Counter = Counter()
-            sets, doubtful = [], []
+            sets, doubtful, layout = [], [], []
             for c, held in rows.items():
-                text = form(c).lower()
-                found = set(_TOKEN.findall(text))
+                text = form(c)
+                found = _lines_of(text)
+                layout += [(i, d, *x) for i, d in held for x in found]
+                tokens = set(text.lower().split())
+                found = set(chain.from_iterable(map(_read.__getitem__, tokens)))
                 sets.append(found)
                 if len(found) >= MADE_UP_WORDS and _FUNCTION.isdisjoint(found):
-                    doubtful.append((held, [w for w in found if len(w) > 2 and not w.isdigit()]))
+                    doubtful.append(([i for i, _ in held], [w for w in found if len(w) > 2 and not w.isdigit()]))
                 counted.update(found)
                 if "-" in text:
-                    counted.update(set(compound.findall(text)))
+                    counted.update(set(chain.from_iterable(map(_compounds.__getitem__, tokens))))
+            if layout:
+                yield packed(len(layout), **dict(zip(names, zip(*layout))))
             for w in [w for w in counted if len(w) < 3 or w.isdigit()]:
                 del counted[w]
 
@@ -258,13 +321,24 @@ def _counts(paragraphs: DataFrame, form: Form) -> DataFrame:
             some = ids.keys()
             for found, held in zip(sets, rows.values()):
                 for w in found & some:
-                    ids[w].extend(held)
+                    ids[w].extend(i for i, _ in held)
             none = [None] * len(doubtful)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([*counted, *none], pa.string()), pa.array([*counted.values(), *none], pa.int64()), pa.array([*(ids.get(w) for w in counted), *(x for x, _ in doubtful)], pa.list_(pa.int64())),
-                pa.array([*[None] * len(counted), *(x for _, x in doubtful)], pa.list_(pa.string()))], ["word", "n", "ids", "tokens"])
+            yield packed(len(counted) + len(none), word=[*counted, *none], n=[*counted.values(), *none], ids=[*(ids.get(w) for w in counted), *(x for x, _ in doubtful)],
+                         tokens=[*[None] * len(counted), *(x for _, x in doubtful)])
+        counts = members.counts()
+        yield packed(len(counts), member=list(counts), member_n=list(counts.values()))
+
+    return mapped(paragraphs.select(F.col("id").cast("long"), F.col("document_id").cast("long"), "content"), scan, _SCAN)
+
 
-    return paragraphs.select(F.col("id").cast("long"), "content").mapInArrow(scan, "word string, n long, ids array<long>, tokens array<string>")
+def lines(rows: DataFrame) -> DataFrame:
+    """The lines among the rows of :func:`scanned`."""
+    return rows.filter("line_no is not null").select("id", "document_id", "line_no", "symbol", "key", "context", "tail", "head")
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """The words, and the contents that may be made up, among the rows of :func:`scanned`."""
+    return rows.filter("word is not null or tokens is not null").select("word", "n", "ids", "tokens")
 
 
 def readings(word: str) -> dict[str, bool]:
@@ -317,9 +391,9 @@ def misread_words(counts: DataFrame) -> DataFrame:
             columns = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.string()))], ["word", "n", "fold", "pattern"])
 
-    varied = frequency.mapInArrow(vary, "word string, n long, reading string, strange boolean")
+    varied = mapped(frequency, vary, "word string, n long, reading string, strange boolean")
     known = frequency.select(F.col("word").alias("reading"), F.col("n").alias("known"))
-    many = frequency.filter(F.length("word") - F.length(F.replace("word", F.lit("1"), F.lit(""))) > MOST_ONES).mapInArrow(folded, "word string, n long, fold string, pattern string")
+    many = mapped(frequency.filter(F.length("word") - F.length(F.replace("word", F.lit("1"), F.lit(""))) > MOST_ONES), folded, "word string, n long, fold string, pattern string")
     of_fold = frequency.filter(~F.col("word").rlike("[0-9]")).select(F.translate("word", "i", "l").alias("fold"), F.col("word").alias("reading"))
     varied = varied.unionByName(many.join(of_fold, "fold").filter("reading rlike pattern").select("word", "n", "reading", F.lit(True).alias("strange")).distinct())
     fits = F.when(F.col("strange"), F.col("known") >= F.col("n")).otherwise((F.col("known") >= LEAST) & (F.col("known") >= TIMES * F.col("n")))
@@ -335,10 +409,10 @@ def misread(paragraphs: DataFrame, counts: DataFrame, form: Form) -> tuple[DataF
     if not rest.isEmpty():
         def tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [(i, w) for i, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if c for w in set(_TOKEN.findall(form(c).lower()))]
+                rows = [(i, w) for i, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if c for w in set(chain.from_iterable(map(_read.__getitem__, form(c).lower().split())))]
                 columns = list(zip(*rows)) or [()] * 2
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string())], ["id", "word"])
-        out = out.unionByName(paragraphs.select(F.col("id").cast("long"), "content").mapInArrow(tokens, "id long, word string").join(rest, "word"))
+        out = out.unionByName(mapped(paragraphs.select(F.col("id").cast("long"), "content"), tokens, "id long, word string").join(rest, "word"))
     out = cut(out.distinct(), "misread-rows")
     held = counts.filter("word is null").select(F.explode("ids").alias("id"), "tokens").join(out.select("id").distinct(), "id", "left_semi").select("id", F.explode("tokens").alias("word"))
     known = counts.join(held.select("word").distinct(), "word", "left_semi").groupBy("word").agg((F.sum("n") >= LEAST).cast("int").alias("known"))
@@ -346,57 +420,30 @@ def misread(paragraphs: DataFrame, counts: DataFrame, form: Form) -> tuple[DataF
     return out.join(made_up, "id", "left_anti"), wrong
 
 
-_SPLIT = re.compile(rf"{_MARK}[^\S\n]*+\n\s*+")
-
-
-def _splits(text: str) -> Iterator[tuple[str, str]]:
-    """Both parts, in lower case, of each word split over a line end of a text: letters with their accents."""
-    letter = lambda c: c.isalpha() or unicodedata.category(c)[0] == "M"
-    for m in _SPLIT.finditer(text):
-        i, j = m.span()
-        while i and letter(text[i - 1]):
-            i -= 1
-        while j < len(text) and letter(text[j]):
-            j += 1
-        left, right = text[i : m.start()], text[m.end() : j]
-        if any(map(str.isalpha, left)) and any(map(str.isalpha, right)):
-            yield left.lower(), right.lower()
-
-
-def split_words(paragraphs: DataFrame, counts: DataFrame, form: Form | None = None) -> DataFrame:
-    """(id) of paragraphs with a word split over a line end. A compound that keeps its own hyphen there is none: it is
-    found hyphenated inside lines, and never in one word. Without a form, that which Unicode alone suggests is taken."""
-    form = form or Form(representatives({}))
-
-    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = {(i, left + right, f"{left}-{right}") for i, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for left, right in _splits(form(c))}
-            columns = list(zip(*rows)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()))], ["id", "word", "compound"])
-
-    # in ASCII the form changes nothing that matters here; other text is searched in its consistent form
-    some = F.col("content").contains("\n") & (F.col("content").rlike(r"-[^\S\n]*+\n") | F.col("content").rlike(r"[^\x00-\x7f]"))
-    parts = paragraphs.filter(some).select(F.col("id").cast("long"), "content").mapInArrow(scan, "id long, word string, compound string")
-    compounds = counts.filter("word like '%-%'").groupBy("word").agg(F.sum("n").alias("compounds")).withColumnRenamed("word", "compound")
-    doubtful = parts.join(compounds, "compound")
-    whole = counts.filter("word not like '%-%'").select("word").distinct().withColumn("whole", F.lit(True))
-    kept = doubtful.join(whole, "word", "left").filter("whole is null").select("id", "word")
+def split_words(labels: DataFrame, counts: DataFrame) -> DataFrame:
+    """(id) of paragraphs with a word split over a line end, by the lines as labelled: a word goes on in the next line
+    that is no header. A compound that keeps its own hyphen there is none: it is found hyphenated inside lines, and
+    never in one word."""
+    parts = labels.filter("size(splits) > 0").select("id", F.explode("splits").alias("compound")).withColumn("word", F.replace("compound", F.lit("-"), F.lit("")))
+    compounds = counts.filter("word like '%-%'").select(F.col("word").alias("compound")).distinct()
+    doubtful = parts.join(compounds, "compound", "left_semi")
+    whole = counts.filter("word not like '%-%'").select("word").distinct()
+    kept = doubtful.join(whole, "word", "left_anti").select("id", "word")
     return parts.select("id", "word").distinct().join(kept, ["id", "word"], "left_anti").select("id").distinct()
 
 
 def _parts(spark: SparkSession, sf_dir: str):
     paragraphs = table(spark, sf_dir, "paragraphs")
-    form = learned(paragraphs, "content")
-    counts = cut(_counts(paragraphs, form), "word-counts")
-    seen = cut(with_recurrence(cut(lines(paragraphs, form), "lines")), "seen")
-    return paragraphs, form, counts, labelled(seen)
+    rows, form = formed(lambda form: scanned(paragraphs, form), "scan")
+    seen = cut(with_recurrence(lines(rows)), "seen")
+    return paragraphs, form, word_counts(rows), cut(labelled(seen), "labels")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     paragraphs, form, counts, labels = _parts(spark, sf_dir)
     noise = lambda ids, name: ids.select(F.col("id").alias("paragraph_id"), F.lit(name).alias("noise"))
     wrong = misread(paragraphs, counts, form)[0].select("id").distinct()
-    return noise(split_words(paragraphs, counts, form), "hyphen").unionByName(noise(wrong, "misread")).unionByName(noise(labels.filter(F.size("headers") > 0), "running"))
+    return noise(split_words(labels, counts), "hyphen").unionByName(noise(wrong, "misread")).unionByName(noise(labels.filter(F.size("headers") > 0), "running"))
 
 
 def repaired(content: str, headers: list[int], breaks: list[int], wrong: dict[str, str]) -> str:
@@ -433,7 +480,7 @@ def p7_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
                    for c, h, b, w in zip(*(batch.column(k).to_pylist() for k in range(1, 5)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string())], ["id", "content"])
 
-    return rows.select("id", "content", "headers", "breaks", "wrong").mapInArrow(mend, "id long, content string")
+    return mapped(rows.select("id", "content", "headers", "breaks", "wrong"), mend, "id long, content string")
 
 
 QUERIES = {"p7_found": p7_found, "p7_repaired": p7_repaired}
