@@ -182,6 +182,16 @@ def escaped_html(text) -> Column:
     return out
 
 
+def heading_level(style) -> Column:
+    """The level of a heading by the name of its style, 1 where it names none."""
+    return F.coalesce(F.nullif(F.regexp_extract(_c(style), r"Heading\s*(\d+)", 1), F.lit("")).cast("int"), F.lit(1))
+
+
+def remaining_seconds(total, done, elapsed) -> Column:
+    """The time that is left by the mean time of what is done; null before anything is."""
+    return F.when(_c(done) > 0, (_c(total) - _c(done)) * _c(elapsed) / _c(done))
+
+
 def duration_text(seconds) -> Column:
     s = F.round(_c(seconds)).cast("long")
     return (F.when(s < 60, F.format_string("%ds", s)).when(s < 3600, F.format_string("%dm %ds", F.floor(s / 60), s % 60))

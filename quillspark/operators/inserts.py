@@ -19,7 +19,8 @@ def lower_words(text: str):
 
 def page_matches(insert_pages: DataFrame, document_pages: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(insert_page, document_id, document_page, score): the best page of each document for each page of an insert, the
-    first one on a tie. Pages have page_id and content, document pages document_id too; blank pages match nothing."""
+    first one on a tie. Pages have page_id, of any type that orders, and content, document pages document_id too; blank
+    pages match nothing."""
     a = insert_pages.select(C("page_id").alias("id"), lower_words("content").alias("items"))
     b = document_pages.select(C("page_id").alias("id"), lower_words("content").alias("items"))
     scored = prefix_join(a, b, threshold).select(C("id_a").alias("insert_page"), C("id_b").alias("document_page"), "score")

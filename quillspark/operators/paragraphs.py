@@ -18,8 +18,13 @@ from ..session import cut
 C = F.col
 #: What one page may hold.
 PAGE_SIZES = (10, 100)
-# Tags that a new database starts with.
-DEFAULT_TAGS = ["Common", "Disclaimer", "Footer", "Header", "Important"]
+# Tags that a new database starts with, and their colours.
+DEFAULT_TAGS = [("Header", "#007bff"), ("Footer", "#6c757d"), ("Disclaimer", "#dc3545"), ("Important", "#ffc107"), ("Common", "#28a745")]
+
+
+def digest(text: str) -> Column:
+    """128 bits that stand for a text in groups, joins and their exchanges; null for null."""
+    return F.unhex(F.substring(F.sha2(C(text), 256), 1, 32))
 
 
 def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
@@ -44,12 +49,37 @@ def before_each(rows: DataFrame, keys: list[str], order: list[Column], columns:
     return joined.select(*[c for c in n.columns if c != "__at"], C("__at").alias("place"), *[F.when(same, C(f"__previous_{c}")).alias(f"previous_{c}") for c in columns])
 
 
+def segments(rows: DataFrame, starts: Column) -> DataFrame:
+    """Rows that have ``place``, their dense number over the whole table, with ``segment``: the place of the last row up
+    to them that meets ``starts``, as the first row must. No key or segment is gathered."""
+    # place minus rank among the rows that start nothing is the same all along what follows a start
+    going = numbered(rows.filter(~starts).select("place"), [C("place")], "__k").select("place", (C("place") - C("__k")).alias("__island"))
+    begun = going.groupBy("__island").agg((F.min("place") - 1).alias("segment"))
+    return rows.join(going.join(begun, "__island").select("place", "segment"), "place", "left").withColumn("segment", F.coalesce("segment", "place"))
+
+
+def page_size(asked: int) -> int:
+    """The page size within PAGE_SIZES that is nearest to what is asked for."""
+    return min(max(asked, PAGE_SIZES[0]), PAGE_SIZES[1])
+
+
 def page(rows: DataFrame, order: list[Column], page: int = 1, per_page: int = 25) -> DataFrame:
     """One page of rows in an order; the page size is kept within PAGE_SIZES."""
-    size = min(max(per_page, PAGE_SIZES[0]), PAGE_SIZES[1])
+    size = page_size(per_page)
     return rows.orderBy(*order).offset((max(page, 1) - 1) * size).limit(size)
 
 
+def list_items(paragraphs: DataFrame) -> DataFrame:
+    """(id, place, item): the items of each list, from 1, with the lines that go on an item put to it; blank lines and
+    what stands before the first item drop out. Lines are those of one content, so no more than that meets in a task."""
+    lines = F.filter(F.transform(F.split("content", "\n"), T.collapsed), lambda x: x != "")
+    marked = F.transform(lines, lambda x: F.struct(x.alias("line"), x.rlike(T.LIST_ITEM).alias("item")))
+    # the items so far; a line that begins none is put to the last one
+    items = F.aggregate(marked, F.array().cast("array<string>"), lambda done, x: F.when(x["item"], F.concat(done, F.array(x["line"]))).when(
+        F.size(done) > 0, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(F.element_at(done, -1), F.lit(" "), x["line"])))).otherwise(done))
+    return paragraphs.select("id", F.posexplode(items).alias("place", "item")).select("id", (C("place") + 1).cast("long").alias("place"), "item")
+
+
 def page_bounds(total: int, page: int, per_page: int) -> tuple[int, int]:
     """The number of pages, and the page that is shown when ``page`` is asked for."""
     pages = max(1, -(-total // per_page))
@@ -113,19 +143,19 @@ def allowed(filename: str) -> Column:
 
 
 def with_occurrences(paragraphs: DataFrame) -> DataFrame:
-    """Paragraphs with the number of rows of equal content; counted before the shuffle and joined back on a hash, so a
+    """Paragraphs with the number of rows of equal content; digests are counted before the shuffle and joined back, so a
     content of any frequency is split over tasks. A null content occurs once."""
-    hashed = paragraphs.withColumn("__h", F.xxhash64("content"))
-    counts = hashed.filter("content is not null").groupBy("__h", "content").agg(F.count(F.lit(1)).alias("occurrences"))
-    joined = hashed.join(counts, ["__h", "content"], "left").drop("__h")
+    hashed = paragraphs.withColumn("__h", digest("content"))
+    counts = hashed.filter("__h is not null").groupBy("__h").agg(F.count(F.lit(1)).alias("occurrences"))
+    joined = hashed.join(counts, "__h", "left").drop("__h")
     return joined.withColumn("occurrences", F.coalesce("occurrences", F.lit(1)))
 
 
 def raw_classes(paragraphs: DataFrame) -> DataFrame:
     """(id, class_id, duplicates) of every paragraph whose very content stands in another row."""
-    rows = paragraphs.filter("content is not null").select("id", "content", F.xxhash64("content").alias("h"))
-    classes = rows.groupBy("h", "content").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return rows.join(classes, ["h", "content"]).select("id", "class_id", (C("n") - 1).alias("duplicates"))
+    rows = paragraphs.filter("content is not null").select("id", digest("content").alias("h"))
+    classes = rows.groupBy("h").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return rows.join(classes, "h").select("id", "class_id", (C("n") - 1).alias("duplicates"))
 
 
 def first_of(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -134,8 +164,8 @@ def first_of(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
 
 
 def collapsed(paragraphs: DataFrame) -> DataFrame:
-    """The row of smallest id of each content."""
-    return first_of(paragraphs, ["content"], [C("id")])
+    """The row of smallest id of each content; null is a content here."""
+    return first_of(paragraphs.withColumn("__h", digest("content")), ["__h"], [C("id")]).drop("__h")
 
 
 def connections(results: DataFrame, paragraphs: DataFrame) -> DataFrame:
@@ -146,9 +176,9 @@ def connections(results: DataFrame, paragraphs: DataFrame) -> DataFrame:
 
 def statistics(documents: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """One row: documents, paragraphs, different contents, and contents in several rows."""
-    contents = paragraphs.groupBy("content").agg(F.count(F.lit(1)).alias("n")).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_paragraphs"), F.count("content").alias("unique_paragraphs"),
-        F.count_if((C("n") > 1) & C("content").isNotNull()).alias("duplicate_paragraphs"))
+    contents = paragraphs.groupBy(digest("content").alias("h")).agg(F.count(F.lit(1)).alias("n")).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_paragraphs"), F.count("h").alias("unique_paragraphs"),
+        F.count_if((C("n") > 1) & C("h").isNotNull()).alias("duplicate_paragraphs"))
     return side_by_side(documents.agg(F.count(F.lit(1)).alias("total_documents")), contents)
 
 
@@ -158,19 +188,17 @@ def side_by_side(*rows: DataFrame) -> DataFrame:
 
 
 def references(paragraphs: DataFrame, documents: DataFrame) -> DataFrame:
-    """Each content in several rows with one reference per row, in the order of ids. A reference list is as long as its
-    content has rows, as the result demands; contents that stand once are dropped before lists are made."""
-    repeated = with_occurrences(paragraphs.select("id", "content", "document_id").filter("content is not null")).filter("occurrences > 1")
-    rows = repeated.join(documents.select(C("doc_id").alias("document_id"), "filename"), "document_id").withColumn("ref", F.concat(C("document_id").cast("string"), F.lit(":"), "filename"))
-    lists = rows.groupBy("content").agg(F.count(F.lit(1)).alias("occurrences"), F.sort_array(F.collect_list(F.struct("id", "ref"))).alias("refs")).filter("occurrences > 1")
-    return lists.select("content", "occurrences", F.lit(True).alias("appears_in_multiple"), F.array_join(F.transform("refs", lambda x: x["ref"]), "; ").alias("refs"))
+    """(class_id, id, document_id, filename, occurrences, appears_in_multiple): every paragraph of a document, with the
+    smallest id of its content and the number of rows that hold it. The references of a content are the rows of its
+    class, so no list grows with it; null contents have none."""
+    rows = paragraphs.filter("content is not null").select("id", "document_id", digest("content").alias("h")).join(documents.select(C("doc_id").alias("document_id"), "filename"), "document_id")
+    classes = rows.groupBy("h").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("occurrences"))
+    return rows.join(classes, "h").select("class_id", "id", "document_id", "filename", "occurrences", (C("occurrences") > 1).alias("appears_in_multiple"))
 
 
-def duplicate_groups(paragraphs: DataFrame) -> DataFrame:
-    """(content, ids, documents) of contents in several rows, listed in the order of ids."""
-    lists = paragraphs.filter("content is not null").groupBy("content").agg(F.sort_array(F.collect_list(F.struct("id", "document_id"))).alias("rows")).filter("size(rows) > 1")
-    join = lambda f: F.array_join(F.transform("rows", lambda x: x[f].cast("string")), ",")
-    return lists.select("content", join("id").alias("ids"), join("document_id").alias("documents"))
+def duplicate_groups(paragraphs: DataFrame, documents: DataFrame) -> DataFrame:
+    """(class_id, copies, id, document_id, filename): the members of contents in several rows."""
+    return references(paragraphs, documents).filter("occurrences > 1").select("class_id", C("occurrences").alias("copies"), "id", "document_id", "filename")
 
 
 def type_histogram(paragraphs: DataFrame, key: str) -> DataFrame:
@@ -221,18 +249,6 @@ def headed(paragraphs: DataFrame) -> DataFrame:
     return rows.withColumn("header", F.when(is_header("previous_paragraph_type") & ~is_header("paragraph_type"), C("previous_content"))).drop("place", "previous_paragraph_type", "previous_content")
 
 
-def merged_runs(paragraphs: DataFrame, kinds: tuple[str, ...] = ("list", "table")) -> DataFrame:
-    """(document_id, id, content, merged): runs of neighbours of one of ``kinds`` as one paragraph, the others alone."""
-    rows = before_each(paragraphs, ["document_id"], _in_document(), ["paragraph_type"])
-    same = F.coalesce((C("previous_paragraph_type") == C("paragraph_type")) & C("paragraph_type").isin(*kinds), F.lit(False))
-    # place minus rank among the rows that go on a run is the same all along a run
-    going = numbered(rows.filter(same).select("place"), [C("place")], "k").select("place", (C("place") - C("k")).alias("island"))
-    island = going.groupBy("island").agg((F.min("place") - 1).alias("start"))
-    runs = rows.join(going.join(island, "island").select("place", "start"), "place", "left").withColumn("start", F.coalesce("start", "place"))
-    lists = runs.groupBy("document_id", "start").agg(F.sort_array(F.collect_list(F.struct("place", "id", "content"))).alias("rows"))
-    return lists.select("document_id", C("rows")[0]["id"].alias("id"), F.array_join(F.transform("rows", lambda x: x["content"]), "\n").alias("content"), F.size("rows").cast("long").alias("merged"))
-
-
 def replaced_results(results: DataFrame) -> DataFrame:
     """The table of results after it is replaced: one row per unordered pair with its best score, numbered anew."""
     pairs = results.filter("paragraph1_id <> paragraph2_id").groupBy(F.least("paragraph1_id", "paragraph2_id").alias("paragraph1_id"), F.greatest("paragraph1_id", "paragraph2_id").alias("paragraph2_id")).agg(
@@ -241,10 +257,11 @@ def replaced_results(results: DataFrame) -> DataFrame:
 
 
 def with_default_tags(tags: DataFrame) -> DataFrame:
-    """Tags with the default ones that aren't there yet, numbered on from the highest id. There are few tags."""
-    new = tags.sparkSession.createDataFrame([(n,) for n in DEFAULT_TAGS], "tag_name string").join(tags, "tag_name", "left_anti")
+    """Tags with the default ones that aren't there yet, numbered on from the highest id in their order. There are few
+    tags."""
+    new = tags.sparkSession.createDataFrame([(k, *x) for k, x in enumerate(DEFAULT_TAGS)], "k int, tag_name string, color string").join(tags.select("tag_name"), "tag_name", "left_anti")
     top = tags.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    rows = side_by_side_all(new, top).select((C("top") + F.row_number().over(Window.orderBy("tag_name"))).alias("id"), "tag_name", F.lit(None).cast("string").alias("color"))
+    rows = side_by_side_all(new, top).select((C("top") + F.row_number().over(Window.orderBy("k"))).alias("id"), "tag_name", "color")
     return tags.select("id", "tag_name", "color").unionByName(rows)
 
 
@@ -255,16 +272,16 @@ def side_by_side_all(rows: DataFrame, one: DataFrame) -> DataFrame:
 
 def tagged_duplicates(paragraph_tags: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """(paragraph_id, tag_id) after every tag is carried to all rows of equal content."""
-    rows = paragraphs.filter("content is not null").select(C("id").alias("paragraph_id"), F.xxhash64("content").alias("h"), "content")
+    rows = paragraphs.filter("content is not null").select(C("id").alias("paragraph_id"), digest("content").alias("h"))
     held = paragraph_tags.distinct()
-    per_content = held.join(rows, "paragraph_id").select("h", "content", "tag_id").distinct()
-    return held.unionByName(rows.join(per_content, ["h", "content"]).select("paragraph_id", "tag_id")).distinct()
+    per_content = held.join(rows, "paragraph_id").select("h", "tag_id").distinct()
+    return held.unionByName(rows.join(per_content, "h").select("paragraph_id", "tag_id")).distinct()
 
 
 def untagged_duplicates(paragraph_tags: DataFrame, paragraphs: DataFrame, which: DataFrame) -> DataFrame:
     """(paragraph_id, tag_id) after the tags in ``which`` are taken from all rows of equal content."""
-    rows = paragraphs.filter("content is not null").select(C("id").alias("paragraph_id"), "content")
-    gone = which.join(rows, "paragraph_id").select("content", "tag_id").join(rows, "content").select("paragraph_id", "tag_id")
+    rows = paragraphs.filter("content is not null").select(C("id").alias("paragraph_id"), digest("content").alias("h"))
+    gone = which.join(rows, "paragraph_id").select("h", "tag_id").distinct().join(rows, "h").select("paragraph_id", "tag_id")
     return paragraph_tags.distinct().join(gone, ["paragraph_id", "tag_id"], "left_anti")
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import difflib
+import re
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,11 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut, mapped, ship
+from .paragraphs import digest
 
 #: Permutations of a signature; bands and rows of candidates, the split that suits a threshold of 0.7.
 PERMUTATIONS, BANDS, ROWS = 128, 14, 9
 #: Shorter contents take no part in near matches.
 MIN_LENGTH = 10
+#: Thresholds by the score they are compared with.
+DEFAULT_THRESHOLDS = {"content": 0.8, "text": 0.85}
 
 
 def exact_classes(paragraphs: DataFrame) -> DataFrame:
@@ -25,17 +31,21 @@ def exact_classes(paragraphs: DataFrame) -> DataFrame:
     the class, its size, and the number of its members in other documents. Rows without content, key or document have
     none. The pairs of a class are its members of different documents; they are not written out, since their number is
     the square of the class. Counts per document come first, so no class gathers in one task."""
-    rows = paragraphs.select("id", "document_id", T.exact_key("content").alias("key")).filter("document_id is not null and key <> ''").withColumn("h", F.xxhash64("key"))
-    per_document = rows.groupBy("h", "key", "document_id").agg(F.count(F.lit(1)).alias("own"), F.min("id").alias("low"))
-    classes = per_document.groupBy("h", "key").agg(F.sum("own").alias("copies"), F.min("low").alias("class_id"), F.count(F.lit(1)).alias("documents")).filter("documents > 1").drop("documents")
-    return rows.join(per_document.drop("low"), ["h", "key", "document_id"]).join(classes, ["h", "key"]).select("id", "class_id", "copies", (F.col("copies") - F.col("own")).alias("links"))
+    keyed = paragraphs.filter("document_id is not null").select("id", "document_id", T.exact_key("content").alias("key")).filter("key <> ''")
+    # the key is worked out once; what is counted and joined is its digest
+    rows = cut(keyed.select("id", "document_id", digest("key").alias("h")), "exact-keys")
+    per_document = rows.groupBy("h", "document_id").agg(F.count(F.lit(1)).alias("own"), F.min("id").alias("low"))
+    classes = per_document.groupBy("h").agg(F.sum("own").alias("copies"), F.min("low").alias("class_id"), F.count(F.lit(1)).alias("documents")).filter("documents > 1").drop("documents")
+    return rows.join(per_document.drop("low"), ["h", "document_id"]).join(classes, "h").select("id", "class_id", "copies", (F.col("copies") - F.col("own")).alias("links"))
 
 
 def distinct_contents(paragraphs: DataFrame) -> DataFrame:
     """(id, content, documents): each distinct content of MIN_LENGTH characters or more once, as its smallest id, and
     whether it lies in several documents; documents is the least and greatest of its document ids."""
     rows = paragraphs.filter(F.col("content").isNotNull() & F.col("document_id").isNotNull() & (F.length("content") >= MIN_LENGTH))
-    return rows.groupBy("content").agg(F.min("id").alias("id"), F.min("document_id").alias("first_document"), F.max("document_id").alias("last_document"))
+    reps = rows.groupBy(digest("content").alias("h")).agg(F.min("id").alias("id"), F.min("document_id").alias("first_document"), F.max("document_id").alias("last_document")).drop("h")
+    # a row that is repeated has one content
+    return reps.join(rows.select("id", "content").dropDuplicates(["id"]), "id")
 
 
 def prefix_join(a: DataFrame, b: DataFrame | None, threshold: float) -> DataFrame:
@@ -46,7 +56,7 @@ def prefix_join(a: DataFrame, b: DataFrame | None, threshold: float) -> DataFram
     and sizes bound the rest. Empty sets match nothing. Items that occur once can't match and are no join keys.
     """
     sides = [a.select("id", "items").filter(F.size("items") > 0)] + ([b.select("id", "items").filter(F.size("items") > 0)] if b is not None else [])
-    both = sides[0] if b is None else sides[0].unionByName(sides[1])
+    both = reduce(DataFrame.unionByName, [x.select("items") for x in sides])
     frequency = both.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
 
     def prefixes(rows: DataFrame, x: str) -> DataFrame:
@@ -71,12 +81,12 @@ def similar_classes(paragraphs: DataFrame, threshold: float = 0.8) -> DataFrame:
     reps = distinct_contents(paragraphs)
     pairs = prefix_join(reps.select("id", T.word_set("content").alias("items")), None, threshold)
     side = lambda x: reps.select(F.col("id").alias(f"id_{x}"), T.exact_key("content").alias(f"key_{x}"), F.col("first_document").alias(f"first_{x}"), F.col("last_document").alias(f"last_{x}"))
-    apart = ~((F.col("first_a") == F.col("last_a")) & (F.col("first_b") == F.col("last_b")) & (F.col("first_a") == F.col("first_b")))
-    return pairs.join(side("a"), "id_a").join(side("b"), "id_b").filter(apart & (F.col("key_a") != F.col("key_b"))).select("id_a", "id_b", F.col("score").alias("content_score"))
+    return pairs.join(side("a"), "id_a").join(side("b"), "id_b").filter(_apart() & (F.col("key_a") != F.col("key_b"))).select("id_a", "id_b", F.col("score").alias("content_score"))
 
 
 def signatures(contents: DataFrame) -> DataFrame:
-    """(id, signature, bands): MinHash of word pairs for contents over 100 characters, else of character shingles."""
+    """(id, signature, bands): MinHash of word pairs for contents over 100 characters, else of character shingles; null
+    for contents without any."""
     pairs = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat(F.element_at("words", i), F.lit(" "), F.element_at("words", i + 1)))
     held = contents.select("id", "content", T.tokens("content").alias("words"), T.cleaned("content").alias("cleaned")).select(
         "id", F.when(F.length("content") <= 100, T.shingles("cleaned")).when(F.size("words") > 1, pairs).otherwise(F.array().cast("array<string>")).alias("items"))
@@ -91,58 +101,123 @@ def signatures(contents: DataFrame) -> DataFrame:
                     h = np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in set(items)), np.uint64)
                     out.append(((h[:, None] * multiply + add) >> np.uint64(33)).min(0).astype(np.int32))
                 else:
-                    out.append(np.full(PERMUTATIONS, np.iinfo(np.int32).max, np.int32))
-            bands = [[xxhash.xxh3_64_intdigest(s[k * ROWS : (k + 1) * ROWS].tobytes(), seed=k) - (1 << 63) for k in range(BANDS)] for s in out]
+                    out.append(None)
+            bands = [None if s is None else [xxhash.xxh3_64_intdigest(s[k * ROWS : (k + 1) * ROWS].tobytes(), seed=k) - (1 << 63) for k in range(BANDS)] for s in out]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32())), pa.array(bands, pa.list_(pa.int64()))], ["id", "signature", "bands"])
 
-    return held.mapInArrow(sign, "id long, signature array<int>, bands array<long>")
+    return mapped(held, sign, "id long, signature array<int>, bands array<long>")
 
 
-def lsh_pairs(paragraphs: DataFrame, threshold: float = 0.8) -> DataFrame:
+def lsh_pairs(paragraphs: DataFrame, threshold: float = 0.8, hot: int = 1000) -> DataFrame:
     """(id_a, id_b, estimate): representatives of distinct contents in different documents that share a band and whose
-    signatures agree in ``threshold`` of their places. Candidates are found across the whole table."""
+    signatures agree in ``threshold`` of their places. Candidates are found across the whole table; contents without
+    items, which would all agree, are candidates of none. Equal signatures take part once, as their smallest id: their
+    classes are told by :func:`signature_classes`, so a band holds different signatures only. The members of a band with
+    more than ``hot`` are dealt into blocks, and each pair of blocks is joined in a task of its own."""
     reps = distinct_contents(paragraphs)
-    signed = signatures(reps)
-    bands = signed.select(F.explode("bands").alias("v"), "id")
-    pairs = bands.select("v", F.col("id").alias("id_a")).join(bands.select("v", F.col("id").alias("id_b")), "v").filter("id_a < id_b").select("id_a", "id_b").distinct()
+    signed = cut(signatures(reps).filter("signature is not null").select("id", "signature", "bands", digest_of("signature").alias("s")), "signatures")
+    # a class lies in the documents of all its contents
+    least = cut(signed.select("s", "id").join(reps.select("id", "first_document", "last_document"), "id").groupBy("s").agg(
+        F.min("id").alias("id"), F.min("first_document").alias("first_document"), F.max("last_document").alias("last_document")), "signature-documents")
+    bands = cut(signed.join(least, ["s", "id"], "left_semi").select(F.explode("bands").alias("v"), "id"), "bands")
+    sizes = bands.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("v", F.ceil(F.col("n") / hot).cast("int").alias("blocks"))
+    dealt = bands.join(sizes, "v").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # the pair of blocks (x, y), x <= y, meets block x as its left side and y as its right side
+    left = dealt.select("v", F.col("id").alias("l"), F.col("block").alias("x"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("y"))
+    right = dealt.select("v", F.col("id").alias("r"), F.col("block").alias("y"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("x"))
+    met = left.join(right, ["v", "x", "y"]).filter("x < y or l < r")
+    pairs = met.select(F.least("l", "r").alias("id_a"), F.greatest("l", "r").alias("id_b")).distinct()
     side = lambda x: signed.select(F.col("id").alias(f"id_{x}"), F.col("signature").alias(f"s_{x}")).join(
-        reps.select(F.col("id").alias(f"id_{x}"), F.col("first_document").alias(f"first_{x}"), F.col("last_document").alias(f"last_{x}")), f"id_{x}")
+        least.select(F.col("id").alias(f"id_{x}"), F.col("first_document").alias(f"first_{x}"), F.col("last_document").alias(f"last_{x}")), f"id_{x}")
     same = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda t, x: t + x) / PERMUTATIONS
-    apart = ~((F.col("first_a") == F.col("last_a")) & (F.col("first_b") == F.col("last_b")) & (F.col("first_a") == F.col("first_b")))
-    return pairs.join(side("a"), "id_a").join(side("b"), "id_b").filter(apart).select("id_a", "id_b", same.alias("estimate")).filter(F.col("estimate") >= threshold)
-
-
-def chunked_score(a: str, b: str) -> float:
-    """How much of the shorter text, in overlapping chunks, stands in the longer one, at most 1."""
-    short, long = (a, b) if len(a) <= len(b) else (b, a)
-    size = min(100, len(short) // 2)
-    if size < 20:
-        return difflib.SequenceMatcher(None, a, b).ratio()
-    step = size // 2
-    chunks = (short[k : k + size] for k in range(0, len(short), step))
-    return min(1.0, sum(len(c) for c in chunks if len(c) >= 20 and c in long) / len(short))
-
-
-def text_score(a: Column, b: Column) -> Column:
-    """The character similarity of two texts in lower case: the ratio of lengths if one contains the other, chunk
-    overlap if one has over 1000 characters, else the matching ratio of the first against the second. Containment is
-    native, so only the other rows reach Python."""
-    low_a, low_b = F.lower(F.trim(a)), F.lower(F.trim(b))
-    la, lb = F.length(low_a), F.length(low_b)
-
-    @F.pandas_udf("double")
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        done: dict = {}
-        out = []
-        for p, q in zip(x, y):
-            if p is None or q is None:
-                out.append(None)
-                continue
-            if (p, q) not in done:
-                done[p, q] = chunked_score(p, q) if max(len(p), len(q)) > 1000 else difflib.SequenceMatcher(None, p, q).ratio()
-            out.append(done[p, q])
-        return pd.Series(out, dtype="float64")
-
-    inside = low_a.contains(low_b) | low_b.contains(low_a)
-    rest = F.when(~inside & (la > 0) & (lb > 0), low_a)
-    return F.when((la == 0) | (lb == 0) | a.isNull() | b.isNull(), 0.0).when(inside, F.least(la, lb) / F.greatest(la, lb)).otherwise(ratio(rest, low_b))
+    return pairs.join(side("a"), "id_a").join(side("b"), "id_b").filter(_apart()).select("id_a", "id_b", same.alias("estimate")).filter(F.col("estimate") >= threshold)
+
+
+def digest_of(column: str) -> Column:
+    """128 bits that stand for an array of integers."""
+    return F.unhex(F.substring(F.sha2(F.array_join(F.col(column), ","), 256), 1, 32))
+
+
+def signature_classes(paragraphs: DataFrame) -> DataFrame:
+    """(id, class_id): representatives of distinct contents whose signatures are equal, with the smallest id of these.
+    Contents without items are in no class."""
+    signed = cut(signatures(distinct_contents(paragraphs)).filter("signature is not null").select("id", digest_of("signature").alias("s")), "signature-classes")
+    classes = signed.groupBy("s").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return signed.join(classes, "s").select("id", "class_id")
+
+
+def _apart() -> Column:
+    """Whether the contents of a pair don't lie in one and the same document only."""
+    return ~((F.col("first_a") == F.col("last_a")) & (F.col("first_b") == F.col("last_b")) & (F.col("first_a") == F.col("first_b")))
+
+
+def chunked_score(a: Column, b: Column) -> Column:
+    """How much of the shorter text, in overlapping chunks, stands in the longer one, at most 1; null if the shorter one
+    is under 40 characters."""
+    la, lb = F.length(a), F.length(b)
+    short, long = F.when(la <= lb, a).otherwise(b), F.when(la <= lb, b).otherwise(a)
+    n = F.least(la, lb)
+    size = F.least(F.lit(100), F.floor(n / 2)).cast("int")
+    chunks = F.transform(F.sequence(F.lit(0), n - 1, F.greatest(F.floor(size / 2), F.lit(1)).cast("int")), lambda k: F.substring(short, k + 1, size))
+    found = F.aggregate(F.filter(chunks, lambda c: (F.length(c) >= 20) & long.contains(c)), F.lit(0), lambda t, c: t + F.length(c))
+    return F.when(size >= 20, F.least(found / n, F.lit(1.0)))
+
+
+def _ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+    return pd.Series([None if p is None or q is None else difflib.SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y)], dtype="float64")
+
+
+def text_scores(pairs: DataFrame, a: str = "content1", b: str = "content2") -> DataFrame:
+    """``pairs`` with ``text_score``, the character similarity of two texts in lower case: the ratio of lengths if one
+    contains the other, chunk overlap if one has over 1000 characters, else the matching ratio of the first against the
+    second. A null or blank text scores 0.
+
+    Only the last reaches Python, each different pair of texts once, so that its cost is bounded by pairs of 1000
+    characters; a text of under 40 beside a longer one than 1000 is matched too, in time proportional to that."""
+    ship(pairs.sparkSession)
+    low_a, low_b = F.lower(F.trim(F.col(a))), F.lower(F.trim(F.col(b)))
+    rows = pairs.withColumn("__a", low_a).withColumn("__b", low_b)
+    x, y = F.col("__a"), F.col("__b")
+    la, lb = F.length(x), F.length(y)
+    native = F.when((la == 0) | (lb == 0) | x.isNull() | y.isNull(), 0.0).when(x.contains(y) | y.contains(x), F.least(la, lb) / F.greatest(la, lb)).when(F.greatest(la, lb) > 1000, chunked_score(x, y))
+    held = cut(rows.withColumn("text_score", native).withColumn("__pair", F.when(F.col("text_score").isNull(), F.xxhash64("__a", "__b"))), "text-scores")
+    ratio = F.pandas_udf(_ratio, "double")
+    matched = held.filter("text_score is null").select("__a", "__b", "__pair").dropDuplicates(["__pair", "__a", "__b"]).repartition("__pair").select("__pair", "__a", "__b", ratio("__a", "__b").alias("__ratio"))
+    joined = held.join(matched, ["__pair", "__a", "__b"], "left")
+    return joined.select(*[F.col(c) for c in pairs.columns], F.coalesce("text_score", "__ratio").alias("text_score"))
+
+
+def equal_share(x: str, y: str) -> float:
+    """Percent of what two texts hold together that is equal, by matching blocks: of characters up to 1000 of them, of
+    words with the blanks after them in longer texts."""
+    if max(len(x), len(y)) > 1000:
+        x, y = (re.findall(r"\S*\s*", t)[:-1] for t in (x, y))
+        weigh = lambda part: sum(map(len, part))
+    else:
+        weigh = len
+    same = sum(weigh(x[m.a : m.a + m.size]) for m in difflib.SequenceMatcher(None, x, y, False).get_matching_blocks())
+    return round(100.0 * same / max(1, weigh(x) + weigh(y) - same), 1)
+
+
+def differences(members: DataFrame) -> DataFrame:
+    """(cluster_id, id, equal_percent, bucket) of cluster members (cluster_id, id, content): how much of each equals the
+    cluster's first paragraph; high beyond 80, medium beyond 50, else low. Null contents count as empty. A content is
+    compared once in a cluster, however often it stands there."""
+    ship(members.sparkSession)
+    rows = cut(members.select("cluster_id", "id", F.coalesce("content", F.lit("")).alias("content"), digest("content").alias("h")), "members")
+    first = rows.groupBy("cluster_id").agg(F.min_by("content", "id").alias("first"))
+    share = F.pandas_udf(lambda a, b: pd.Series([equal_share(x, y) for x, y in zip(a, b)], dtype="float64"), "double")
+    compared = rows.dropDuplicates(["cluster_id", "h"]).select("cluster_id", "h", "content").join(first, "cluster_id").select("cluster_id", "h", share("first", "content").alias("equal_percent"))
+    out = rows.select("cluster_id", "id", F.coalesce("h", F.lit(b"")).alias("k")).join(compared.select("cluster_id", F.coalesce("h", F.lit(b"")).alias("k"), "equal_percent"), ["cluster_id", "k"])
+    return out.select("cluster_id", "id", "equal_percent", F.when(F.col("equal_percent") > 80, "high").when(F.col("equal_percent") > 50, "medium").otherwise("low").alias("bucket"))
+
+
+def full_search(paragraphs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(id_a, id_b, content_score, text_score, kind): the whole search. Exact matches, each member of a class against
+    its smallest id with scores of 1; then pairs of representatives of different contents by words, as
+    :func:`similar_classes` has them, with their text score, 0.01 at least. Nothing for fewer than two usable rows."""
+    exact = exact_classes(paragraphs).filter("id <> class_id").select(F.col("class_id").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("content_score"), F.lit(1.0).alias("text_score"), F.lit("exact").alias("kind"))
+    side = lambda k, x: paragraphs.select(F.col("id").alias(f"id_{x}"), F.col("content").alias(f"content{k}"))
+    pairs = similar_classes(paragraphs, threshold).join(side(1, "a"), "id_a").join(side(2, "b"), "id_b")
+    similar = text_scores(pairs).select("id_a", "id_b", "content_score", F.greatest("text_score", F.lit(0.01)).alias("text_score"), F.lit("similar").alias("kind"))
+    return exact.unionByName(similar)

@@ -3,9 +3,8 @@ that adding and deleting leave, with SQL."""
 
 from __future__ import annotations
 
-import difflib
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -31,12 +30,6 @@ def _clusters(t):
     return G.components(G.edges(t("similarity_results"), 0.8)).withColumnRenamed("component", "cluster_id")
 
 
-@query("A9_collapsed_with_references", """select min(id) as id, count(*) as occurrences, count(distinct document_id) as documents, count(distinct document_id) > 1 as appears_in_multiple from paragraphs where content is not null group by content""")
-def _(spark, t):
-    per = t("paragraphs").filter("content is not null").groupBy("content", "document_id").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    return per.groupBy("content").agg(F.min("id").alias("id"), F.sum("n").alias("occurrences"), F.count("document_id").alias("documents")).select("id", "occurrences", "documents", (C("documents") > 1).alias("appears_in_multiple"))
-
-
 @query("A6_J4_first_of_duplicates", "select min(id) as id, count(*) as n from paragraphs where content is not null group by content having count(*) > 1")
 def _(spark, t):
     return t("paragraphs").filter("content is not null").groupBy("content").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", "n")
@@ -53,32 +46,6 @@ def _(spark, t):
     return rows.agg(F.count(F.lit(1)).alias("clusters"), F.coalesce(F.sum("paragraphs"), F.lit(0)).alias("paragraphs"), F.round(F.avg("similarity_threshold"), 2).alias("mean_threshold"))
 
 
-@query("A21_batch_summary", "select count(*) as total, count(*) filter (page_count is not null) as processed, count(*) filter (page_count is null) as failed, round(avg(page_count), 4) as mean_pages from document_file_metadata")
-def _(spark, t):
-    return t("document_file_metadata").agg(F.count(F.lit(1)).alias("total"), F.count("page_count").alias("processed"), F.count_if(C("page_count").isNull()).alias("failed"), F.round(F.avg("page_count"), 4).alias("mean_pages"))
-
-
-@query("C3_differences")
-def _(spark, t):
-    """How much of each cluster member equals the cluster's first paragraph, by matching blocks."""
-    rows = _clusters(t).join(t("paragraphs").select("id", "content"), "id")
-    first = rows.groupBy("cluster_id").agg(F.min_by("content", "id").alias("first"))
-
-    @F.pandas_udf("double")
-    def equal_share(a: pd.Series, b: pd.Series) -> pd.Series:
-        def share(x, y):
-            same = sum(m.size for m in difflib.SequenceMatcher(None, x, y, False).get_matching_blocks())
-            return round(100.0 * same / max(1, len(x) + len(y) - same), 1)
-        return pd.Series([share(x or "", y or "") for x, y in zip(a, b)])
-
-    return rows.join(first, "cluster_id").select("cluster_id", "id", equal_share("first", "content").alias("equal_percent"))
-
-
-@query("D17_K11_K12_created_clusters", f"{_GRAPH} select component as cluster_id, g.id as paragraph_id from g join paragraphs p on p.id = g.id")
-def _(spark, t):
-    return _clusters(t).join(t("paragraphs").select("id"), "id").select("cluster_id", C("id").alias("paragraph_id"))
-
-
 @query("F8_same_content_elsewhere", "select distinct p.id from paragraphs p where exists (select 1 from paragraphs q where q.content = p.content and q.id <> p.id)")
 def _(spark, t):
     return P.raw_classes(t("paragraphs")).select("id")
@@ -98,45 +65,6 @@ def _(spark, t):
     return pairs.join(side("a"), "a").join(side("b"), "b").filter("key_a <> key_b").select("a", "b")
 
 
-@query("K1_K2_added_document", "select (select max(doc_id) from documents) + 1 as document_id, (select count(*) from documents) + 1 as documents, (select count(*) from paragraphs) + 2 as paragraphs, (select max(id) from paragraphs) + 2 as last_id")
-def _(spark, t):
-    new = spark.createDataFrame([("first paragraph",), ("second paragraph",)], "content string")
-    top = P.side_by_side(t("documents").agg((F.coalesce(F.max("doc_id"), F.lit(0)) + 1).alias("document_id"), (F.count(F.lit(1)) + 1).alias("documents")),
-                         t("paragraphs").agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"), F.count(F.lit(1)).alias("n")), new.agg(F.count(F.lit(1)).alias("k")))
-    return top.select("document_id", "documents", (C("n") + C("k")).alias("paragraphs"), (C("last") + C("k")).alias("last_id"))
-
-
-@query("K5_deleted_metadata", "select count(*) as n from document_file_metadata where document_id is distinct from 1")
-def _(spark, t):
-    return t("document_file_metadata").filter(~C("document_id").eqNullSafe(F.lit(1))).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("K13_deleted_cluster", f"{_GRAPH} select component as cluster_id, id from g where component <> (select min(component) from g)")
-def _(spark, t):
-    rows = _clusters(t)
-    first = rows.agg(F.min("cluster_id").alias("cluster_id"))
-    return rows.join(F.broadcast(first), "cluster_id", "left_anti").select("cluster_id", "id")
-
-
-@query("K15_K16_cleared", "select 'documents' as name, 0 as n union all select 'paragraphs', 0 union all select 'similarity_results', 0 union all select 'tags', count(*) from tags")
-def _(spark, t):
-    return P.sizes({"documents": t("documents").filter("false"), "paragraphs": t("paragraphs").filter("false"), "similarity_results": t("similarity_results").filter("false"), "tags": t("tags")})
-
-
-@query("K17_K18_deleted_insert", "select suite as name, count(*) as pages from eval_items where suite <> (select min(suite) from eval_items) group by suite")
-def _(spark, t):
-    first = t("eval_items").agg(F.min("suite").alias("suite"))
-    return t("eval_items").join(F.broadcast(first), "suite", "left_anti").groupBy(C("suite").alias("name")).agg(F.count(F.lit(1)).alias("pages"))
-
-
-@query("K20_export_sheets", f"""{_GRAPH} select 'clusters' as sheet, count(distinct component) as n from g join paragraphs p on p.id = g.id union all select 'documents', count(*) from documents union all select 'paragraphs', count(*) from paragraphs p join documents d on d.doc_id = p.document_id
-union all select 'similarity', count(*) from similarity_results s join paragraphs a on a.id = s.paragraph1_id join paragraphs b on b.id = s.paragraph2_id union all select 'summary', 1 union all select 'tags', count(*) from tags""")
-def _(spark, t):
-    sheets = {"clusters": G.clusters(_clusters(t), t("paragraphs"), 0.8), "documents": P.document_report(t("documents"), t("paragraphs"), t("similarity_results")), "paragraphs": P.with_documents(t("paragraphs"), t("documents")),
-              "similarity": P.pair_contents(t("similarity_results"), t("paragraphs")), "summary": P.summary(t("documents"), t("paragraphs"), t("tags"), t("similarity_results")), "tags": P.tag_report(t("tags"), t("paragraph_tags"), t("paragraphs"))}
-    return P.sizes(sheets).withColumnRenamed("name", "sheet")
-
-
 @query("K21_P8_json_page", """select '{"page":2,"per_page":25,"total_items":' || (select count(*) from paragraphs) || ',"total_pages":' || (select (count(*) + 24) // 25 from paragraphs) || '}' as body""")
 def _(spark, t):
     total = t("paragraphs").agg(F.count(F.lit(1)).alias("n"))
@@ -153,16 +81,6 @@ def _(spark, t):
     return _clusters(t).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("members")).orderBy("cluster_id").limit(1)
 
 
-@query("S14_T11_short_edges", "select id, case when length(content) < 100 and para_position <= 1 then 'header' else paragraph_type end as kind from paragraphs")
-def _(spark, t):
-    return t("paragraphs").select("id", F.when((F.length("content") < 100) & (C("para_position") <= 1), "header").otherwise(C("paragraph_type")).alias("kind"))
-
-
-@query("T10_list_items", f"select id, len(list_filter(string_split(content, chr(10)), lambda x: regexp_matches(trim(regexp_replace(x, '{T.SPACE}+', ' ', 'g')), '{T.LIST_ITEM}'))) as items from paragraphs where paragraph_type = 'list'")
-def _(spark, t):
-    return t("paragraphs").filter("paragraph_type = 'list'").select("id", F.size(F.filter(F.split("content", "\n"), lambda x: T.collapsed(x).rlike(T.LIST_ITEM))).cast("long").alias("items"))
-
-
 @query("T20_encoded_lists", r"""select id, '[' || array_to_string(list_transform(list_sort(list_filter(regexp_extract_all(fonts_used, '["'']([^"'']*)["'']', 1), lambda x: x <> '')), lambda x: '"' || x || '"'), ',') || ']' as fonts from document_file_metadata where fonts_used is not null""")
 def _(spark, t):
     return t("document_file_metadata").filter("fonts_used is not null").select("id", F.to_json(F.sort_array(F.filter(F.regexp_extract_all("fonts_used", F.lit("[\"']([^\"']*)[\"']"), F.lit(1)), lambda x: x != ""))).alias("fonts"))
@@ -182,3 +100,33 @@ def _(spark, t):
     exact = S.exact_classes(t("paragraphs")).select("id", F.lit("exact").alias("kind"))
     ends = t("similarity_results").filter("similarity_type = 'similar'").select(F.explode(F.array("paragraph1_id", "paragraph2_id")).alias("id")).distinct()
     return exact.unionByName(ends.join(t("paragraphs").select("id"), "id").select("id", F.lit("similar").alias("kind")))
+
+
+@query("C3_differences")
+def _(spark, t):
+    return S.differences(_clusters(t).join(t("paragraphs").select("id", "content"), "id"))
+
+
+@query("P9_clamped_pages", "select asked, least(greatest(asked, 10), 100) as per_page, least(greatest(asked, 10), 100) as held from (values (1), (10), (25), (100), (1000)) v(asked)")
+def _(spark, t):
+    rows = t("paragraphs").select("id")
+    parts = [P.page(rows, [C("id")], 1, n).agg(F.lit(n).cast("long").alias("asked"), F.lit(P.page_size(n)).cast("long").alias("per_page"), F.count(F.lit(1)).alias("held")) for n in (1, 10, 25, 100, 1000)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query("A21_W8_batch_summary", "select source, count(*) as total, count(page_count) as processed, count(*) - count(page_count) as failed, cast(coalesce(sum(page_count), 0) as bigint) as elapsed, round(avg(page_count), 4) as mean_seconds, round((count(*) - count(page_count)) * avg(page_count), 4) as remaining from documents d join document_file_metadata m on m.document_id = d.doc_id group by source")
+def _(spark, t):
+    """Files of each source as a batch in work, the page count as the seconds a file took and null for one still to do."""
+    rows = t("document_file_metadata").join(t("documents").select(C("doc_id").alias("document_id"), "source"), "document_id")
+    per = rows.groupBy("source").agg(F.count(F.lit(1)).alias("total"), F.count("page_count").alias("processed"), F.coalesce(F.sum("page_count"), F.lit(0)).alias("elapsed"))
+    return per.select("source", "total", "processed", (C("total") - C("processed")).alias("failed"), "elapsed", F.round(F.when(C("processed") > 0, C("elapsed") / C("processed")), 4).alias("mean_seconds"), F.round(T.remaining_seconds("total", "processed", "elapsed"), 4).alias("remaining"))
+
+
+_COLLAPSE = rf"trim(regexp_replace(line, '{T.SPACE}+', ' ', 'g'))"
+
+
+@query("T10_list_items", rf"""with l as (select id, unnest(string_split(content, chr(10))) as line, unnest(range(len(string_split(content, chr(10))))) as n from paragraphs where paragraph_type = 'list'),
+m as (select id, n, {_COLLAPSE} as line, regexp_matches({_COLLAPSE}, '{T.LIST_ITEM}') as item from l), k as (select *, sum(item::int) over (partition by id order by n rows unbounded preceding) as place from m where line <> '')
+select id, place, string_agg(line, ' ' order by n) as item from k where place > 0 group by id, place""")
+def _(spark, t):
+    return P.list_items(t("paragraphs").filter("paragraph_type = 'list'"))

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from . import further, p2_timestamps, relational, textual
+from ..session import scoped
+from . import further, layouts, p2_timestamps, relational, stored, textual
 
-_MODULES = [p2_timestamps, relational, textual, further]
+_MODULES = [p2_timestamps, relational, textual, further, stored, layouts]
 
 
 def queries() -> dict:
     out = {}
     for m in _MODULES:
         out |= m.QUERIES
-    return out
+    return {name: scoped(build) for name, build in out.items()}
 
 
 def oracle_sql() -> dict[str, str]:

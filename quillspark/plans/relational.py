@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.timestamps import with_instant
+from ..operators import folds
 from ..operators import paragraphs as P
 from ..session import table
 
@@ -22,16 +24,30 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def instants(t):
+    """(doc_id, instant_us) of the upload dates."""
+    zones = F.broadcast(t("source_zones").dropDuplicates(["source"]))
+    return with_instant(t("documents").select("doc_id", "source", "upload_date").join(zones, "source", "left"), "upload_date", "time_zone", "slash_order").select("doc_id", "instant_us")
+
+
 # --- scans ---------------------------------------------------------------------------------------------------------
 
-@query("S2_documents_newest", "select doc_id, filename, file_type, file_path, upload_date, row_number() over (order by upload_date desc nulls last, doc_id) as place from (select * from documents)")
+# The order of upload dates is that of the instants they denote, of which the notation tells nothing; SQL reads only the
+# notations with year, month and day first and leaves the others to the tests.
+
+@query("S2_documents_newest")
 def _(spark, t):
-    return P.numbered(t("documents").select("doc_id", "filename", "file_type", "file_path", "upload_date"), [C("upload_date").desc_nulls_last(), C("doc_id")], "place")
+    """(doc_id, filename, file_type, file_path, instant_us, place): the newest first, undated last."""
+    dated = t("documents").select("doc_id", "filename", "file_type", "file_path").join(instants(t), "doc_id")
+    return P.numbered(dated, [C("instant_us").desc_nulls_last(), C("doc_id")], "place")
 
 
-@query("S3_documents_page", "select doc_id, filename, upload_date from documents order by upload_date desc nulls last, doc_id limit 25 offset 25")
+@query("S3_documents_page")
 def _(spark, t):
-    return P.page(t("documents").select("doc_id", "filename", "upload_date"), [C("upload_date").desc_nulls_last(), C("doc_id")], page=2, per_page=25)
+    """(doc_id, filename, instant_us, total): the second page of the newest documents, with the number of all."""
+    dated = t("documents").select("doc_id", "filename").join(instants(t), "doc_id")
+    total = t("documents").agg(F.count(F.lit(1)).alias("total"))
+    return P.side_by_side_all(P.page(dated, [C("instant_us").desc_nulls_last(), C("doc_id")], page=2, per_page=25), total)
 
 
 @query("S4_paragraphs", """select p.id, p.content, p.document_id, p.paragraph_type, p.para_position, p.header_content, d.filename,
@@ -190,15 +206,23 @@ def _(spark, t):
     return P.statistics(t("documents"), t("paragraphs"))
 
 
-@query("A5_A10_references", """select content, count(*) as occurrences, count(*) > 1 as appears_in_multiple, string_agg(document_id || ':' || filename, '; ' order by id) as refs
-from paragraphs p join documents d on d.doc_id = p.document_id group by content having count(*) > 1""".replace("document_id || ':' || filename", "cast(document_id as varchar) || ':' || filename"))
+@query("A5_A10_references", """select c.class_id, p.id, p.document_id, d.filename, c.n as occurrences, c.n > 1 as appears_in_multiple from paragraphs p join documents d on d.doc_id = p.document_id
+join (select content, min(p.id) as class_id, count(*) as n from paragraphs p join documents d on d.doc_id = p.document_id where content is not null group by content) c on c.content = p.content""")
 def _(spark, t):
     return P.references(t("paragraphs"), t("documents"))
 
 
-@query("A7_duplicate_groups", "select content, string_agg(cast(id as varchar), ',' order by id) as ids, string_agg(cast(document_id as varchar), ',' order by id) as documents from paragraphs where content is not null group by content having count(id) > 1")
+@query("A7_duplicate_groups", """select c.class_id, c.n as copies, p.id, p.document_id, d.filename from paragraphs p join documents d on d.doc_id = p.document_id
+join (select content, min(p.id) as class_id, count(*) as n from paragraphs p join documents d on d.doc_id = p.document_id where content is not null group by content having count(*) > 1) c on c.content = p.content""")
+def _(spark, t):
+    return P.duplicate_groups(t("paragraphs"), t("documents"))
+
+
+@query("A9_collapsed_references", """with k as (select p.id, p.content, p.document_id, d.filename from paragraphs p join documents d on d.doc_id = p.document_id where content is not null), c as (select content, min(id) as id, count(*) as n from k group by content)
+select c.id, c.n > 1 as appears_in_multiple, k.id as reference_id, k.filename from c join k on k.content = c.content""")
 def _(spark, t):
-    return P.duplicate_groups(t("paragraphs"))
+    """Each content once as its smallest id, with the file of every paragraph that holds it, one row per reference."""
+    return P.references(t("paragraphs"), t("documents")).select(C("class_id").alias("id"), "appears_in_multiple", C("id").alias("reference_id"), "filename")
 
 
 @query("A8_collapsed", """select id, document_id from (select *, row_number() over (partition by content order by id) as n from paragraphs) where n = 1 and document_id = 1""")
@@ -280,7 +304,7 @@ def _(spark, t):
 r as (select *, sum(new) over (partition by document_id order by para_position, id) as run from m)
 select min_by(id, (para_position, id)) as id, string_agg(content, chr(10) order by para_position, id) as content, count(*) as merged from r group by document_id, run""".replace("min_by(id, (para_position, id))", "first(id order by para_position, id)"))
 def _(spark, t):
-    return P.merged_runs(t("paragraphs")).select("id", "content", "merged")
+    return folds.merged_runs(t("paragraphs")).select("id", "content", "merged")
 
 
 # --- set operations -------------------------------------------------------------------------------------------------------
@@ -295,26 +319,6 @@ def _(spark, t):
 
 # --- mutations: the tables that result ---------------------------------------------------------------------------------------
 
-@query("K3_replace_results", "select row_number() over (order by p1, p2) as id, p1 as paragraph1_id, p2 as paragraph2_id, score as content_similarity_score from (select least(paragraph1_id, paragraph2_id) as p1, greatest(paragraph1_id, paragraph2_id) as p2, max(content_similarity_score) as score from similarity_results where paragraph1_id <> paragraph2_id group by 1, 2)")
-def _(spark, t):
-    return P.replaced_results(t("similarity_results"))
-
-
-@query("K4_upsert_metadata", "select document_id, last(file_size order by id) as file_size from document_file_metadata group by document_id".replace("last(file_size order by id)", "max_by(coalesce(file_size, -1), id)"))
-def _(spark, t):
-    return P.first_of(t("document_file_metadata"), ["document_id"], [C("id").desc()]).select("document_id", F.coalesce("file_size", F.lit(-1)).alias("file_size"))
-
-
-@query("K6_K7_add_tags", """select id, tag_name from tags union all select (select max(id) from tags) + row_number() over (order by n), n from (values ('Common'), ('Disclaimer'), ('Footer'), ('Header'), ('Important')) v(n) where n not in (select tag_name from tags)""")
-def _(spark, t):
-    return P.with_default_tags(t("tags")).select("id", "tag_name")
-
-
-@query("K8_delete_tag", "select distinct paragraph_id, tag_id from paragraph_tags where tag_id <> 3")
-def _(spark, t):
-    return t("paragraph_tags").filter("tag_id <> 3").distinct()
-
-
 @query("K9_tag_all_duplicates", """select distinct paragraph_id, tag_id from paragraph_tags union select q.id, x.tag_id from paragraph_tags x join paragraphs p on p.id = x.paragraph_id join paragraphs q on q.content = p.content""")
 def _(spark, t):
     return P.tagged_duplicates(t("paragraph_tags"), t("paragraphs"))
@@ -326,14 +330,3 @@ def _(spark, t):
     return P.untagged_duplicates(tags, t("paragraphs"), first)
 
 
-@query("K14_delete_document", """select 'documents' as name, count(*) as n from documents where doc_id <> 1 union all select 'paragraphs', count(*) from paragraphs where document_id <> 1
-union all select 'document_file_metadata', count(*) from document_file_metadata where document_id <> 1 union all select 'similarity_results', count(*) from similarity_results where paragraph1_id not in (select id from paragraphs where document_id = 1) and paragraph2_id not in (select id from paragraphs where document_id = 1)
-union all select 'paragraph_tags', count(*) from (select distinct * from paragraph_tags) where paragraph_id not in (select id from paragraphs where document_id = 1)""")
-def _(spark, t):
-    left = P.without_document({n: t(n) for n in ("documents", "paragraphs", "document_file_metadata", "similarity_results", "paragraph_tags")}, 1)
-    return P.sizes(left)
-
-
-@query("K19_export_pairs", "select s.id, a.content as content1, b.content as content2, s.content_similarity_score, s.text_similarity_score from similarity_results s join paragraphs a on a.id = s.paragraph1_id join paragraphs b on b.id = s.paragraph2_id where s.content_similarity_score >= 0.8")
-def _(spark, t):
-    return P.pair_contents(t("similarity_results").filter("content_similarity_score >= 0.8"), t("paragraphs")).select("id", "content1", "content2", "content_similarity_score", "text_similarity_score")

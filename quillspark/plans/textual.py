@@ -12,6 +12,8 @@ from ..operators import inserts as I
 from ..operators import paragraphs as P
 from ..operators import similarity as S
 from ..session import table
+from ..sources import files
+from .relational import instants
 
 C, SQL, QUERIES = F.col, {}, {}
 
@@ -76,8 +78,27 @@ def _(spark, t):
 
 @query("D8_D9_text_scores")
 def _(spark, t):
-    x = P.pair_contents(t("similarity_results"), t("paragraphs"))
-    return x.select("id", F.round(S.text_score(C("content1"), C("content2")), 6).alias("text_score"))
+    x = S.text_scores(P.pair_contents(t("similarity_results"), t("paragraphs")))
+    return x.select("id", F.round("text_score", 6).alias("text_score"))
+
+
+# What of the text score plain SQL can say: one text within the other, and the chunks of texts of over 1000 characters.
+_LOW = lambda x: f"lower(trim({x}))"
+
+
+@query("D9_long_text_scores", f"""with p as (select s.id, {_LOW('a.content')} as a, {_LOW('b.content')} as b from similarity_results s join paragraphs a on a.id = s.paragraph1_id join paragraphs b on b.id = s.paragraph2_id),
+q as (select *, case when length(a) <= length(b) then a else b end as x, case when length(a) <= length(b) then b else a end as y, least(length(a), length(b)) as n from p where greatest(length(a), length(b)) > 200 and least(length(a), length(b)) >= 40),
+c as (select id, x, y, n, least(100, n // 2) as size from q), k as (select id, y, n, unnest(list_transform(range(0, n, size // 2), lambda i: substring(x, i + 1, size))) as chunk from c)
+select id, round(least(sum(case when length(chunk) >= 20 and contains(y, chunk) then length(chunk) else 0 end) / any_value(n), 1.0), 6) as chunk_score from k group by id""")
+def _(spark, t):
+    x = P.pair_contents(t("similarity_results"), t("paragraphs")).select("id", F.lower(F.trim("content1")).alias("a"), F.lower(F.trim("content2")).alias("b"))
+    long = x.filter((F.greatest(F.length("a"), F.length("b")) > 200) & (F.least(F.length("a"), F.length("b")) >= 40))
+    return long.select("id", F.round(S.chunked_score(C("a"), C("b")), 6).alias("chunk_score"))
+
+
+@query("D10_full_search")
+def _(spark, t):
+    return S.full_search(t("paragraphs"), 0.8)
 
 
 @query("D6_lsh_pairs")
@@ -85,6 +106,11 @@ def _(spark, t):
     return S.lsh_pairs(t("paragraphs"), 0.8)
 
 
+@query("D4_signature_classes")
+def _(spark, t):
+    return S.signature_classes(t("paragraphs"))
+
+
 _GRAPH = """with recursive l as (select distinct least(paragraph1_id, paragraph2_id) a, greatest(paragraph1_id, paragraph2_id) b from similarity_results where content_similarity_score >= 0.8 and paragraph1_id <> paragraph2_id),
 e as (select a, b from l union select b, a from l), r as (select a, b from e union select r.a, e.b from r join e on r.b = e.a), g as (select a as id, least(min(b), a) as component from r group by a)"""
 
@@ -140,10 +166,28 @@ def _(spark, t):
     return t("paragraphs").select(F.explode(T.split_words("content")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("frequency")).orderBy(C("frequency").desc(), "word").limit(100)
 
 
-@query("C4_dates", r"select doc_id, case when upload_date is null then '-' else coalesce(strftime(try_cast(regexp_extract(upload_date, '^\d{4}-\d{2}-\d{2}') as date), '%d-%m-%Y'), '-') end as shown from documents")
+@query("C4_dates")
+def _(spark, t):
+    """(doc_id, shown, shown_with_time): the upload instant in UTC as day-month-year, without and with its time; - for none."""
+    dated = t("documents").select("doc_id").join(instants(t), "doc_id")
+    at = F.timestamp_micros("instant_us")
+    shown = lambda form: F.coalesce(F.date_format(at, form), F.lit("-"))
+    return dated.select("doc_id", shown("dd-MM-yyyy").alias("shown"), shown("dd-MM-yyyy HH:mm").alias("shown_with_time"))
+
+
+_ISO = r"'^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z$'"
+
+
+@query("C4_iso_dates", f"select doc_id, strftime(cast(replace(replace(upload_date, 'T', ' '), 'Z', '') as timestamp), '%d-%m-%Y %H:%M') as shown from documents where regexp_matches(upload_date, {_ISO})")
 def _(spark, t):
-    day = F.try_to_date(F.regexp_extract("upload_date", r"^\d{4}-\d{2}-\d{2}", 0), "yyyy-MM-dd")
-    return t("documents").select("doc_id", F.coalesce(F.date_format(day, "dd-MM-yyyy"), F.lit("-")).alias("shown"))
+    dated = t("documents").filter(C("upload_date").rlike(_ISO[1:-1])).select("doc_id").join(instants(t), "doc_id")
+    return dated.select("doc_id", F.date_format(F.timestamp_micros("instant_us"), "dd-MM-yyyy HH:mm").alias("shown"))
+
+
+@query("S2_iso_documents_newest", f"select doc_id, row_number() over (order by cast(replace(replace(upload_date, 'T', ' '), 'Z', '') as timestamp) desc, doc_id) as place from documents where regexp_matches(upload_date, {_ISO})")
+def _(spark, t):
+    dated = t("documents").filter(C("upload_date").rlike(_ISO[1:-1])).select("doc_id").join(instants(t), "doc_id")
+    return P.numbered(dated, [C("instant_us").desc_nulls_last(), C("doc_id")], "place").select("doc_id", "place")
 
 
 @query("C5_C6_truncated", r"""select id, case when length(content) <= 100 then content else (case when regexp_extract(substring(content, 1, 101), '(?s)^(.*) ', 1) <> '' then regexp_extract(substring(content, 1, 101), '(?s)^(.*) ', 1) else substring(content, 1, 100) end) || '...' end as at_word,
@@ -215,46 +259,79 @@ def _(spark, t):
     return t("paragraphs").select("id", kind.alias("kind"))
 
 
-@query("T23_T24_names", r"select doc_id, regexp_extract(filename, '^(.*)\.[^.]*$', 1) as stem, lower(regexp_extract(filename, '\.([^.]*)$', 1)) as extension from documents where contains(filename, '.')")
+@query("T23_names", r"select doc_id, regexp_extract(filename, '^(.*)\.[^.]*$', 1) as stem, lower(regexp_extract(filename, '\.([^.]*)$', 1)) as extension from documents where contains(filename, '.')")
 def _(spark, t):
     return t("documents").filter(C("filename").contains(".")).select("doc_id", F.regexp_extract("filename", r"^(.*)\.[^.]*$", 1).alias("stem"), F.lower(F.regexp_extract("filename", r"\.([^.]*)$", 1)).alias("extension"))
 
 
-_MATCH = """with recursive a as (select item_id as page, suite, list_distinct(list_filter(regexp_split_to_array(lower(text), '{s}+'), lambda x: x <> '')) as w from eval_items),
+@query("S22_T23_renamed_uploads", r"""select doc_id, filename, case when row_number() over (partition by filename order by doc_id) = 1 then filename when contains(filename, '.') then regexp_extract(filename, '^(.*)\.[^.]*$', 1) || '_20260101000000' ||
+case when row_number() over (partition by filename order by doc_id) > 2 then '_' || (row_number() over (partition by filename order by doc_id) - 1) else '' end || '.' || regexp_extract(filename, '\.([^.]*)$', 1)
+else filename || '_20260101000000' || case when row_number() over (partition by filename order by doc_id) > 2 then '_' || (row_number() over (partition by filename order by doc_id) - 1) else '' end end as stored from documents where filename is not null""")
+def _(spark, t):
+    return files.stored_names(t("documents").select("doc_id", "filename"), "doc_id", "20260101000000")
+
+
+@query("T24_heading_levels", r"select id, coalesce(try_cast(regexp_extract(style, 'Heading (\d+)', 1) as int), 1) as level from (select id, case when id % 3 = 0 then 'Heading ' || (id % 7 + 1) when id % 3 = 1 then 'Heading' else 'Title' end as style from paragraphs where paragraph_type in ('header', 'heading'))")
+def _(spark, t):
+    style = F.when(C("id") % 3 == 0, F.concat(F.lit("Heading "), (C("id") % 7 + 1).cast("string"))).when(C("id") % 3 == 1, "Heading").otherwise("Title")
+    return t("paragraphs").filter("paragraph_type in ('header', 'heading')").select("id", T.heading_level(style).alias("level"))
+
+
+_MATCH = """with recursive a as (select item_id as page, list_distinct(list_filter(regexp_split_to_array(lower(text), '{s}+'), lambda x: x <> '')) as w from eval_items),
 l as (select doc_id as document_id, unnest(string_split(text, chr(10))) as content, unnest(range(len(string_split(text, chr(10))))) as place from documents),
-b as (select document_id * 100000 + place as page, document_id, list_distinct(list_filter(regexp_split_to_array(lower(content), '{s}+'), lambda x: x <> '')) as w from l),
-x as (select page, unnest(w) as item, len(w) as n from a), y as (select page, document_id, unnest(w) as item, len(w) as n from b),
-p as (select x.page as insert_page, y.page as document_page, y.document_id, count(*) / (any_value(x.n) + any_value(y.n) - count(*)) as score from x join y on x.item = y.item group by x.page, y.page, y.document_id),
-m as (select * from p where score >= {t} qualify row_number() over (partition by insert_page, document_id order by score desc, document_page) = 1)""".replace("{s}", _SP)
+b as (select document_id, place, list_distinct(list_filter(regexp_split_to_array(lower(content), '{s}+'), lambda x: x <> '')) as w from l),
+x as (select page, unnest(w) as item, len(w) as n from a), y as (select document_id, place, unnest(w) as item, len(w) as n from b),
+p as (select x.page as insert_page, y.place, y.document_id, count(*) / (any_value(x.n) + any_value(y.n) - count(*)) as score from x join y on x.item = y.item group by x.page, y.place, y.document_id),
+m as (select * from p where score >= 0.7 qualify row_number() over (partition by insert_page, document_id order by score desc, place) = 1)""".replace("{s}", _SP)
 
 
 def _pages(documents):
     """The lines of documents as their pages."""
     lines = documents.select(C("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("place", "content"))
-    return lines.select((C("document_id") * 100000 + C("place")).alias("page_id"), "document_id", "content")
+    return lines.select(F.struct("document_id", "place").alias("page_id"), "document_id", "content")
 
 
-@query("D11_W5_page_matches", _MATCH.replace("{t}", "0.7") + " select insert_page, document_id, document_page, round(score, 6) as score from m")
+@query("D11_W5_page_matches", _MATCH + " select insert_page, document_id, place, round(score, 6) as score from m")
 def _(spark, t):
     pages = t("eval_items").select(C("item_id").alias("page_id"), C("text").alias("content"))
-    return I.page_matches(pages, _pages(t("documents")), 0.7).withColumn("score", F.round("score", 6))
+    return I.page_matches(pages, _pages(t("documents")), 0.7).select("insert_page", "document_id", C("document_page.place").cast("long").alias("place"), F.round("score", 6).alias("score"))
+
+
+# every item an insert of its text, twice or with a blank page for two thirds of them
+_BOOKS = "books as (select item_id, item_id as page from eval_items union all select item_id, item_id from eval_items where item_id % 3 = 0 union all select item_id, null from eval_items where item_id % 3 = 1)"
+
 
+def _books(items):
+    copies = F.when(C("item_id") % 3 == 0, F.array(F.lit("text"), F.lit("again"))).when(C("item_id") % 3 == 1, F.array(F.lit("text"), F.lit("blank"))).otherwise(F.array(F.lit("text")))
+    rows = items.select("item_id", "text", F.explode(copies).alias("kind"))
+    return rows.select(C("item_id").alias("insert_id"), F.struct("item_id", "kind").alias("page_id"), F.when(C("kind") == "blank", "").when(C("kind") == "again", F.upper("text")).otherwise(C("text")).alias("content"))
 
-@query("D12_A20_insert_matches", _MATCH.replace("{t}", "0.7") + ", n as (select suite, count(*) as pages from eval_items group by suite) select e.suite as insert_id, document_id, count(*) as match_count, round(sum(score) / any_value(pages), 6) as match_score, round(count(*) / any_value(pages), 6) as match_percentage from m join eval_items e on e.item_id = m.insert_page join n on n.suite = e.suite group by e.suite, document_id having sum(score) / any_value(pages) >= 0.01")
+
+@query("D12_A20_insert_matches", _MATCH + f", {_BOOKS}, n as (select item_id, count(*) as pages from books group by item_id) select b.item_id as insert_id, document_id, count(*) as match_count, round(sum(score) / any_value(n.pages), 6) as match_score, round(count(*) / any_value(n.pages), 6) as match_percentage from books b join m on m.insert_page = b.page join n on n.item_id = b.item_id group by b.item_id, document_id having sum(score) / any_value(n.pages) >= 0.7")
 def _(spark, t):
-    pages = t("eval_items").select(C("suite").alias("insert_id"), C("item_id").alias("page_id"), C("text").alias("content"))
-    found = I.page_matches(pages, _pages(t("documents")), 0.7)
-    return I.insert_matches(pages, found, 0.01).withColumns({c: F.round(c, 6) for c in ("match_score", "match_percentage")})
+    pages = _books(t("eval_items"))
+    # in the order of their scores, the smaller numbers first on a tie
+    return I.insert_matches(pages, I.page_matches(pages, _pages(t("documents")), 0.7), 0.7).withColumns({c: F.round(c, 6) for c in ("match_score", "match_percentage")}).orderBy(C("match_score").desc(), "insert_id", "document_id")
 
 
-@query("A23_insert_usage", _MATCH.replace("{t}", "0.7") + " select e.suite as insert_id, count(distinct document_id) as documents, round(avg(score), 6) as mean_score from m join eval_items e on e.item_id = m.insert_page group by e.suite")
+@query("A23_insert_usage", _MATCH + " select e.suite as insert_id, count(distinct document_id) as documents, round(avg(score), 6) as mean_score from m join eval_items e on e.item_id = m.insert_page group by e.suite")
 def _(spark, t):
     pages = t("eval_items").select(C("suite").alias("insert_id"), C("item_id").alias("page_id"), C("text").alias("content"))
     found = I.page_matches(pages, _pages(t("documents")), 0.7).join(pages.select("insert_id", C("page_id").alias("insert_page")), "insert_page")
     return found.groupBy("insert_id").agg(F.countDistinct("document_id").alias("documents"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
-@query("W4_colon_attach")
+_TYPED = "paragraph_type in ('list', 'table')"
+
+
+@query("W4_colon_attach", f"""with r as (select id, document_id, paragraph_type as kind, content, column_no as col, coalesce({_TYPED}, false) as el, row_number() over (partition by document_id order by para_position nulls first, id) as n from paragraphs where content is not null),
+s as (select *, sum(case when el then 0 else 1 end) over (partition by document_id order by n rows unbounded preceding) as seg from r), t as (select *, row_number() over (partition by document_id, seg order by n) as k,
+first(col) over (partition by document_id, seg order by n) as lead_col, first(el) over (partition by document_id, seg order by n) as lead_el, right(trim(content, ' ' || chr(9) || chr(10) || chr(13)), 1) = ':' as ends from s),
+j as (select *, k > 1 and not lead_el and coalesce(bool_and(ends) over (partition by document_id, seg order by n rows between unbounded preceding and 1 preceding), false)
+and bool_and(k = 1 or lead_col is null or col is null or lead_col = col) over (partition by document_id, seg order by n rows unbounded preceding) as joins from t),
+g as (select *, case when k = 1 or joins then 0 when k = 2 and not lead_el or lag(joins) over (partition by document_id, seg order by n) or kind <> lag(kind) over (partition by document_id, seg order by n) then 1 else 0 end as new from j),
+h as (select *, sum(new) over (partition by document_id, seg order by n rows unbounded preceding) as part from g)
+select document_id, first(id order by n) as id, first(kind order by n) as kind, string_agg(content, chr(10) order by n) as content from h group by document_id, seg, part""")
 def _(spark, t):
     return folds.attach_elements(t("paragraphs"))
 
@@ -264,6 +341,8 @@ def _(spark, t):
     return folds.split_texts(t("paragraphs"))
 
 
-@query("T16_S18_packed_pages")
+@query("T16_S18_packed_pages", """with recursive r as (select document_id, content, length(content) as n, row_number() over (partition by document_id order by para_position nulls first, id) as k from paragraphs where trim(content) <> ''),
+p as (select document_id, k, content, n as used, 0 as page from r where k = 1 union all select r.document_id, r.k, r.content, case when p.used + r.n > 3000 then r.n else p.used + r.n end, case when p.used + r.n > 3000 then p.page + 1 else p.page end from p join r on r.document_id = p.document_id and r.k = p.k + 1)
+select document_id, page as page_number, string_agg(content, chr(10) order by k) as content from p group by document_id, page""")
 def _(spark, t):
     return folds.packed_pages(t("paragraphs"))

@@ -16,6 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import paragraphs as P
+from ..session import mapped
+
 #: What a parser gives per paragraph: content, kind, style and heading level.
 Raw = tuple[str, str, str | None, int | None]
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -45,6 +48,39 @@ def parse_docx(data: bytes) -> list[Raw]:
     return out
 
 
+# Headings of tables of contents, the paragraphs among which one is looked for, and those looked at after it.
+_TOC_NAMES, _TOC_WITHIN, _TOC_ENTRIES = ("table of contents", "contents", "toc"), 20, 50
+
+
+def table_of_contents(raw: list[Raw]) -> list[tuple[int, str, str]]:
+    """(position, content, kind) of the table of contents among the paragraphs of a file: its heading, one of the first
+    paragraphs, and the entries after it, with dots and a page number each, up to the first other text."""
+    texts = [(k, x[0]) for k, x in enumerate(raw) if x[1] != "table"]
+    for n, (k, text) in enumerate(texts[:_TOC_WITHIN]):
+        if text.lower().strip() in _TOC_NAMES:
+            out = [(k, text, "toc")]
+            for m, entry in texts[n + 1 : n + _TOC_ENTRIES]:
+                if ".." in entry and re.search(r"\d+\s*$", entry):
+                    out.append((m, entry, "toc_entry"))
+                elif entry.strip():
+                    break
+            return out
+    return []
+
+
+def stored_names(uploads: DataFrame, order: str, stamp: str) -> DataFrame:
+    """``uploads`` (order, filename) with ``stored``, the name to store each under: the first upload of a name keeps it,
+    later ones get the time before the extension, and a number too from the third on. Names are numbered in one order
+    over all rows, so a name that a scanner gives to a tenth of them is no single task. Null names drop out."""
+    rows = P.numbered(uploads.filter("filename is not null"), [F.col("filename"), F.col(order)], "__at")
+    first = rows.groupBy("filename").agg(F.min("__at").alias("__first"))
+    n = F.col("__at") - F.col("__first")
+    added = F.concat(F.lit(f"_{stamp}"), F.when(n > 1, F.concat(F.lit("_"), n.cast("string"))).otherwise(""))
+    dot = F.col("filename").contains(".")
+    name = F.when(dot, F.concat(F.regexp_extract("filename", r"^(.*)\.[^.]*$", 1), added, F.lit("."), F.regexp_extract("filename", r"\.([^.]*)$", 1))).otherwise(F.concat(F.col("filename"), added))
+    return rows.join(first, "filename").select(*uploads.columns, F.when(n == 0, F.col("filename")).otherwise(name).alias("stored"))
+
+
 _parsers: dict[str, Callable[[bytes], list[Raw]]] = {"txt": parse_text, "docx": parse_docx}
 
 
@@ -77,4 +113,4 @@ def parsed(files: DataFrame) -> DataFrame:
             kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["path", "position", "content", "paragraph_type", "style", "level", "error"])
 
-    return files.select("path", "file_type", "content").mapInArrow(stream, "path string, position int, content string, paragraph_type string, style string, level int, error string")
+    return mapped(files.select("path", "file_type", "content"), stream, "path string, position int, content string, paragraph_type string, style string, level int, error string")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators import folds, graph, inserts, similarity
+from quillspark.operators import folds, graph, inserts, layout, similarity
 from quillspark.operators import paragraphs as P
 from quillspark.operators.store import Store
 from quillspark.sources import files
@@ -47,14 +47,37 @@ def test_scores(spark):
     pairs = [("The quick brown fox jumps", "Quick brown foxes jump", 0.333333, 0.851064), ("alpha beta gamma delta epsilon", "alpha beta gamma delta zeta", 0.666667, 0.842105),
              ("the of and", "of the", 0.0, 0.375), ("abc", "abcdef", 0.0, 0.5), ("kitten sitting", "sitting kitten", 1.0, 0.5), ("   ", "   ", 0.0, 0.0)]
     df = spark.createDataFrame(pairs, "a string, b string, d7 double, d8 double")
-    for r in df.select("d7", "d8", F.round(T.jaccard(T.word_set("a"), T.word_set("b")), 6).alias("x"), F.round(similarity.text_score(F.col("a"), F.col("b")), 6).alias("y")).collect():
+    df = similarity.text_scores(df, "a", "b")
+    for r in df.select("d7", "d8", F.round(T.jaccard(T.word_set("a"), T.word_set("b")), 6).alias("x"), F.round("text_score", 6).alias("y")).collect():
         assert (r.x, r.y) == (r.d7, r.d8)
 
 
-def test_chunked_score():
-    a = "".join(random.Random(1).choices("abcdefgh ", k=1500))
-    assert similarity.chunked_score(a, a) == 1.0
-    assert similarity.chunked_score("short one", "another") == difflib.SequenceMatcher(None, "short one", "another").ratio()
+def chunk_share(a, b):
+    """The chunk overlap of two texts, worked out text by text."""
+    short, long = sorted((a, b), key=len)
+    size = min(100, len(short) // 2)
+    parts = [short[k : k + size] for k in range(0, len(short), size // 2)]
+    return min(1.0, sum(len(c) for c in parts if len(c) >= 20 and c in long) / len(short))
+
+
+def test_text_scores_of_long_texts(spark):
+    rng = random.Random(1)
+    text = lambda n: "".join(rng.choices("abcdefgh ", k=n)).strip() or "x"
+    base = text(1500)
+    pairs = [(base, base[:700] + text(900)), (base, base[200:900] + "q"), (base, text(80)), (base, "short one"), (text(300), text(310)), (None, base), ("", base), (base, base), (base, base[:700] + text(900))]
+    rows = [(k, a, b, 0.5) for k, (a, b) in enumerate(pairs)]
+    got = {r.k: r.text_score for r in similarity.text_scores(spark.createDataFrame(rows, "k int, content1 string, content2 string, text double")).collect()}
+    for k, (a, b) in enumerate(pairs):
+        if not a or not b:
+            expected = 0.0
+        elif a.strip() in b.strip() or b.strip() in a.strip():
+            expected = min(len(a.strip()), len(b.strip())) / max(len(a.strip()), len(b.strip()))
+        elif max(len(a.strip()), len(b.strip())) > 1000 and min(len(a), len(b)) >= 40:
+            expected = chunk_share(a.strip(), b.strip())
+        else:
+            expected = difflib.SequenceMatcher(None, a.strip(), b.strip()).ratio()
+        assert got[k] == pytest.approx(expected)
+    assert similarity.text_scores(spark.createDataFrame([], "content1 string, content2 string")).count() == 0
 
 
 def test_exact_classes(spark):
@@ -108,7 +131,8 @@ def test_collapse_and_references(spark):
     rows = paragraphs(spark, [(1, "x", 1, "normal", None), (2, "x", 2, "normal", None), (3, "y", 2, "normal", None), (4, None, 2, "normal", None), (5, None, 2, "normal", None)])
     documents = spark.createDataFrame([(1, "a.pdf"), (2, "b.pdf")], "doc_id long, filename string")
     assert [r.id for r in P.collapsed(rows.filter("content is not null")).filter("document_id = 2").collect()] == [3]
-    assert [(r.occurrences, r.refs) for r in P.references(rows, documents).collect()] == [(2, "1:a.pdf; 2:b.pdf")]
+    assert {(r.class_id, r.id, r.filename, r.occurrences) for r in P.references(rows, documents).collect()} == {(1, 1, "a.pdf", 2), (1, 2, "b.pdf", 2), (3, 3, "b.pdf", 1)}
+    assert {(r.class_id, r.id) for r in P.duplicate_groups(rows, documents).collect()} == {(1, 1), (1, 2)}
     assert P.statistics(documents, rows).first().asDict() == {"total_documents": 2, "total_paragraphs": 5, "unique_paragraphs": 2, "duplicate_paragraphs": 1}
     assert P.statistics(documents.limit(0), rows.limit(0)).first().total_paragraphs == 0
 
@@ -117,15 +141,15 @@ def test_headers_and_runs(spark):
     kinds = [("H1", "header"), ("H2", "header"), ("p1", "normal"), ("p2", "normal"), ("H3", "header"), ("p3", "normal"), ("a", "list"), ("b", "list"), ("c", "table")]
     rows = paragraphs(spark, [(k, c, 1, kind, None) for k, (c, kind) in enumerate(kinds)])
     assert {r.content: r.header for r in P.headed(rows).collect() if r.header} == {"p1": "H2", "p3": "H3"}
-    assert {(r.content, r.merged) for r in P.merged_runs(rows).collect() if r.merged > 1} == {("a\nb", 2)}
+    assert {(r.content, r.merged) for r in folds.merged_runs(rows).collect() if r.merged > 1} == {("a\nb", 2)}
     assert [r.sequence for r in P.positions(rows).orderBy("id").collect()] == list(range(9))
-    assert P.headed(rows.limit(0)).count() == 0 and P.merged_runs(rows.limit(0)).count() == 0
+    assert P.headed(rows.limit(0)).count() == 0 and folds.merged_runs(rows.limit(0)).count() == 0
 
 
 def test_page_and_tags(spark):
     assert P.page_bounds(101, 9, 25) == (5, 5) and P.page_bounds(0, 0, 25) == (1, 1)
     tags = spark.createDataFrame([(1, "Header", "#fff")], "id long, tag_name string, color string")
-    assert sorted(r.tag_name for r in P.with_default_tags(tags).collect()) == sorted(P.DEFAULT_TAGS)
+    assert sorted(r.tag_name for r in P.with_default_tags(tags).collect()) == sorted(n for n, _ in P.DEFAULT_TAGS)
 
 
 def test_folds(spark):
@@ -138,6 +162,70 @@ def test_folds(spark):
     assert {(r.id, r.content) for r in folds.attach_elements(rows).collect()} == {(1, "intro:\na"), (3, "z")}
 
 
+@pytest.mark.parametrize("stretch", [1, 3, 7, 20_000])
+def test_pages_are_packed_alike_in_stretches_of_any_length(spark, stretch):
+    rng = random.Random(stretch)
+    rows = paragraphs(spark, [(k, "x" * rng.choice([1, 4, 9, 31]), rng.choice([1, 1, 1, 2, None]), "normal", None) for k in range(80)] + [(900, " ", 1, "normal", None), (901, None, 1, "normal", None)])
+    held = {}
+    for r in rows.orderBy("para_position", "id").collect():
+        if r.content and r.content.strip():
+            held.setdefault(r.document_id, []).append(r.content)
+    expected = {(d, k, p) for d, c in held.items() for k, p in enumerate(folds.packed(c, 30))}
+    assert {tuple(r) for r in folds.packed_pages(rows, 30, stretch).collect()} == expected
+    assert folds.packed_pages(rows.limit(0)).count() == 0
+
+
+def test_attached_in_segments(spark):
+    rng = random.Random(3)
+    rows = paragraphs(spark, [(k, rng.choice(["a:", "b", "c: "]) + str(k % 5), rng.choice([1, 1, 2]), rng.choice(["normal", "list", "list", "table", None]), rng.choice([None, 1, 2])) for k in range(150)])
+    rows = rows.withColumn("content", F.when(F.col("id") % 3 == 0, F.concat("content", F.lit(":"))).otherwise(F.col("content")))
+    held = {}
+    for r in rows.orderBy("para_position", "id").collect():
+        held.setdefault(r.document_id, []).append((r.id, r.paragraph_type, r.content, r.column_no))
+    assert {tuple(r) for r in folds.attach_elements(rows).collect()} == {(d, *x) for d, c in held.items() for x in folds.attached(c)}
+
+
+def test_large_components_are_split_by_distributed_moves(spark):
+    rng = random.Random(5)
+    groups = [range(k, k + 12) for k in range(0, 60, 12)]
+    pairs = {(a, b) for g in groups for a in g for b in g if a < b and rng.random() < 0.8} | {(g[0], h[0]) for g, h in zip(groups, groups[1:])}
+    links = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "a long, b long, weight double")
+    got = {r.id: r.community for r in graph.communities(links, graph.components(links), most_links=10).collect()}
+    assert got == {v: g[0] for g in groups for v in g}
+
+
+def test_hot_bands(spark):
+    # many contents of one signature band, dealt into blocks; contents without items meet nobody
+    rows = [(k, f"the very same words stand in this line number {k}", k % 5, "normal", None) for k in range(60)] + [(200 + k, "the of and to in", k, "normal", None) for k in range(30)]
+    whole = {(r.id_a, r.id_b) for r in similarity.lsh_pairs(paragraphs(spark, rows), 0.5).collect()}
+    assert whole and {(r.id_a, r.id_b) for r in similarity.lsh_pairs(paragraphs(spark, rows), 0.5, hot=4).collect()} == whole
+    assert all(a < 200 and b < 200 for a, b in whole)
+
+
+def test_differences(spark):
+    rows = [(1, 10, "the same words"), (1, 11, "the same words"), (1, 12, "quite another"), (1, 13, None), (2, 20, "word " * 400), (2, 21, "word " * 399 + "end")]
+    got = {r.id: (r.equal_percent, r.bucket) for r in similarity.differences(spark.createDataFrame(rows, "cluster_id long, id long, content string")).collect()}
+    assert got[10] == got[11] == (100.0, "high") and got[12][1] == "low" and got[13] == (0.0, "low") and 99 < got[21][0] < 100
+
+
+def test_layout(spark):
+    cells = lambda x, n: [(1, 0, k, x, 20.0 * k, x + 100, 20.0 * k + 15, 600.0, 800.0, "word " * 30) for k in n]
+    df = spark.createDataFrame(cells(50.0, range(8)) + cells(400.0, range(20, 28)) + [(1, 0, 99, None, None, None, None, 600.0, 800.0, None)], "document_id long, page_no long, block_no long, x0 double, y0 double, x1 double, y1 double, page_width double, page_height double, content string")
+    assert [r.several for r in layout.several_columns(df).collect()] == [True]
+    assert [(r.from_x, r.to_x) for r in layout.column_bounds(df).orderBy("column_no").collect()] == [(0.0, 150.0), (400.0, 600.0)]
+    rects = spark.createDataFrame([(1, 0, 40.0, 0.0, 160.0, 55.0)], "document_id long, page_no long, x0 double, y0 double, x1 double, y1 double")
+    assert {r.block_no for r in layout.outside_tables(df, rects).collect()} == {*range(3, 8), *range(20, 28), 99}
+    assert layout.column_bounds(df.limit(0)).count() == 0 and layout.several_columns(df.limit(0)).count() == 0
+
+
+def test_contents_and_names(spark):
+    raw = [("Title", "header", None, 1), ("Contents", "unknown", None, None), ("One .... 1", "unknown", None, None), ("", "unknown", None, None), ("Two .... 12", "unknown", None, None), ("Text", "unknown", None, None), ("Three .... 3", "unknown", None, None)]
+    assert files.table_of_contents(raw) == [(1, "Contents", "toc"), (2, "One .... 1", "toc_entry"), (4, "Two .... 12", "toc_entry")]
+    assert files.table_of_contents(raw[2:]) == []
+    names = spark.createDataFrame([(1, "scan.pdf"), (2, "scan.pdf"), (3, "scan.pdf"), (4, "plain"), (5, None), (6, "plain")], "n long, filename string")
+    assert {r.n: r.stored for r in files.stored_names(names, "n", "T").collect()} == {1: "scan.pdf", 2: "scan_T.pdf", 3: "scan_T_2.pdf", 4: "plain", 6: "plain_T"}
+
+
 def docx(body):
     w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
     out = io.BytesIO()
