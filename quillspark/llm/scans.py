@@ -155,8 +155,8 @@ def _cue(symbol: int, last: bool) -> int | None:
         return HEADER
     if ends == 2 or length == 2 and not last:
         return BODY
-    if ends == 0 and length < 2 and not recurs:
-        # a heading stands alone; within a paragraph this is a line of text
+    if ends == 0 and not recurs:
+        # a heading, or a text without an end, stands alone; within a paragraph this is a line of text
         return BREAK if rest % 2 else BODY
     if ends == 1 and last:
         return BREAK
