@@ -243,10 +243,14 @@ def positions(paragraphs: DataFrame) -> DataFrame:
 
 
 def headed(paragraphs: DataFrame) -> DataFrame:
-    """Paragraphs with the header right before them in their document and column; headers themselves have none."""
-    rows = before_each(paragraphs, ["document_id", "column_no"], _in_document(), ["paragraph_type", "content"])
+    """Paragraphs with the header right before them in their document and column; headers themselves have none. Only
+    keys are put in order; contents are fetched for the headers that are found."""
+    keys = paragraphs.select("id", "document_id", "column_no", "para_position", "paragraph_type")
+    rows = before_each(keys, ["document_id", "column_no"], _in_document(), ["paragraph_type", "id"])
     is_header = lambda c: F.coalesce(C(c).isin("header", "heading"), F.lit(False))
-    return rows.withColumn("header", F.when(is_header("previous_paragraph_type") & ~is_header("paragraph_type"), C("previous_content"))).drop("place", "previous_paragraph_type", "previous_content")
+    led = rows.filter(is_header("previous_paragraph_type") & ~is_header("paragraph_type")).select("id", C("previous_id").alias("__header"))
+    found = led.dropDuplicates(["id"]).join(paragraphs.select(C("id").alias("__header"), C("content").alias("header")).dropDuplicates(["__header"]), "__header").select("id", "header")
+    return paragraphs.join(found, "id", "left")
 
 
 def replaced_results(results: DataFrame) -> DataFrame:

@@ -286,12 +286,12 @@ def _(spark, t):
 
 @query("O4_composite_order", "select id, row_number() over (partition by document_id order by para_position, id) as place from paragraphs")
 def _(spark, t):
-    return P.positions(t("paragraphs")).select("id", (C("sequence") + 1).alias("place"))
+    return P.positions(t("paragraphs").select("id", "document_id", "para_position")).select("id", (C("sequence") + 1).alias("place"))
 
 
 @query("W1_positions", "select id, row_number() over (partition by document_id order by para_position, id) - 1 as sequence from paragraphs")
 def _(spark, t):
-    return P.positions(t("paragraphs")).select("id", "sequence")
+    return P.positions(t("paragraphs").select("id", "document_id", "para_position")).select("id", "sequence")
 
 
 @query("W2_headers", """select id, case when lag(paragraph_type in ('header', 'heading')) over w and not paragraph_type in ('header', 'heading') then lag(content) over w end as header

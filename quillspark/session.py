@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,12 +67,29 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     is deleted when the scope it is made in ends, or with the session if the scope's result reads it."""
     spark = df.sparkSession
     path = folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffles_deleted(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quill_path = path
     return out
 
 
+@contextlib.contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Have Spark delete the shuffle files of what is run inside when it ends. What is written is not computed again, so
+    nothing needs them; otherwise they would hold disk until the driver happens to collect its garbage."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(setting)
+        else:
+            spark.conf.set(setting, before)
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """The path of a new folder in the shared one, deleted like the tables of :func:`cut`."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -149,12 +167,6 @@ def _clean_at_exit() -> None:
 atexit.register(_clean_at_exit)
 
 
-def release(spark: SparkSession) -> None:
-    """Have the driver collect its garbage, upon which Spark deletes the shuffle files that nothing refers to any more.
-    Long pipelines call it between large steps, so that these don't hold disk at the same time."""
-    spark._jvm.System.gc()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data directory."""
     ship(spark)
