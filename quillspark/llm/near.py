@@ -20,9 +20,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, drop_cut, mapped, release, table
+from ..session import cut, drop_cut, mapped, table
 from .form import Form, MemberCounter, representatives, words
 from .copies import record
+from .links import components
 
 THRESHOLD = 0.8
 MIN_LETTERS_DIGITS = 60
@@ -428,7 +429,8 @@ def candidates(fresh: DataFrame, rarity: np.ndarray, sets: float, threshold: flo
 
 
 def similar_sets(scan: Scan, evidence: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """(words_a, words_b): pairs of different sets of words that share ``threshold`` of their union.
+    """(words_a, words_b, flips, share): pairs of different sets of words that share ``threshold`` of their union, with
+    the ones in the XOR of their odd sketches and the share itself.
 
     ``evidence`` may hold further candidates (words_a, words_b). Copies take part once, as the sets are compared and
     not the rows. Sketches drop what is clearly less similar; the words decide, compared by 32-bit hashes, of which two
@@ -441,12 +443,10 @@ def similar_sets(scan: Scan, evidence: DataFrame | None = None, threshold: float
     held = sketches(fresh)
     side = lambda x: held.select(F.col("words_id").alias(f"words_{x}"), *[F.col(f"s{k}").alias(f"s{x}{k}") for k in range(BITS // 64)], F.col("n").alias(f"n_{x}"))
     pairs = cut(pairs.distinct(), "near-candidates")
-    release(pairs.sparkSession)
     judged = pairs.join(side("a"), "words_a").join(side("b"), "words_b")
     flips = sum((F.bit_count(F.col(f"sa{k}").bitwiseXOR(F.col(f"sb{k}"))) for k in range(BITS // 64)), F.lit(0))
-    close = cut(judged.filter((flips <= most_flips(threshold)) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)).select("words_a", "words_b"), "near-pairs")
+    close = cut(judged.filter((flips <= most_flips(threshold)) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)).select("words_a", "words_b", flips.alias("flips")), "near-pairs")
     drop_cut(pairs)
-    release(close.sparkSession)
 
     ends = close.select(F.explode(F.array("words_a", "words_b")).alias("words_id")).distinct()
     sets = cut(fresh.select("words_id", "hashes").join(ends, "words_id").groupBy("words_id").agg(F.first("hashes").alias("hashes")), "near-words")
@@ -454,7 +454,8 @@ def similar_sets(scan: Scan, evidence: DataFrame | None = None, threshold: float
     shared = F.size(F.array_intersect("h_a", "h_b"))
     # whole numbers decide, so that a share of exactly the threshold counts
     enough = shared * 1000 >= (F.size("h_a") + F.size("h_b") - shared) * round(threshold * 1000)
-    sure = cut(close.join(a, "words_a").join(b, "words_b").filter(enough).select("words_a", "words_b"), "similar-sets")
+    share = shared / (F.size("h_a") + F.size("h_b") - shared)
+    sure = cut(close.join(a, "words_a").join(b, "words_b").filter(enough).select("words_a", "words_b", "flips", share.alias("share")), "similar-sets")
     for done in (close, sets):
         drop_cut(done)
     return sure
@@ -481,4 +482,36 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select(F.least("id_a", "id_b").alias("paragraph_a"), F.greatest("id_a", "id_b").alias("paragraph_b"))
 
 
-QUERIES = {"p4_found": p4_found}
+def _classes(rows: DataFrame) -> DataFrame:
+    """(id, words_id, class_id): paragraphs of equal sets of words are one class, named by its smallest id."""
+    return rows.select("id", "words_id").join(rows.groupBy("words_id").agg(F.min("id").alias("class_id")), "words_id")
+
+
+def p4_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(paragraph_id, class_id, group_id, links): every paragraph of 60 letters and digits and 15 different words, with
+    its class, the group that similar pairs link its class to directly or indirectly (by the smallest id), and the
+    number of other classes similar to its own. Copies are not expanded into pairs."""
+    rows, pairs = _edited(spark, sf_dir)
+    classes = cut(_classes(rows), "near-classes")
+    linked = cut(_class_pairs(classes, pairs), "near-class-pairs")
+    groups = components(linked.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))).select(F.col("v").alias("class_id"), "group_id")
+    ends = linked.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
+    told = classes.join(groups, "class_id", "left").join(ends, "class_id", "left")
+    return told.select(F.col("id").alias("paragraph_id"), "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def _class_pairs(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    names = classes.select("words_id", "class_id").distinct()
+    a, b = (names.select(F.col("words_id").alias(f"words_{x}"), F.col("class_id").alias(x)) for x in "ab")
+    return pairs.join(a, "words_a").join(b, "words_b").select(F.least("a", "b").alias("class_a"), F.greatest("a", "b").alias("class_b"), "flips", "share")
+
+
+def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(class_a, class_b, share, estimate): similar pairs of class representatives, with the share of their words and
+    what their odd sketches estimate of it."""
+    rows, pairs = _edited(spark, sf_dir)
+    estimate = 1 - F.log(F.greatest(1 - 2 * F.col("flips") / BITS, F.lit(1e-9))) / math.log(1 - 2 / BITS) / 2 / SAMPLES
+    return _class_pairs(_classes(rows), pairs).select("class_a", "class_b", F.round("share", 6).alias("share"), F.round(estimate, 6).alias("estimate"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_members": p4_members, "p4_pairs": p4_pairs}

@@ -37,6 +37,20 @@ def test_form():
         assert FORM(kept) == kept
 
 
+def test_form_in_all_planes():
+    invisible = [*map(chr, range(0xE0020, 0xE0080)), "\U000e0001", "\U000e0100", "\U000e01ef", "\ufe0f"]
+    assert FORM("a" + "".join(invisible) + "b") == "ab"
+    for code in (0x2F800, 0x2FA1D):
+        assert FORM(chr(code)) == unicodedata.normalize("NFC", chr(code))
+    assert FORM("Ⅳ ⅻ") == "IV xii" and FORM("ﬃ") == "ffi"
+
+
+def test_form_ends_in_circles():
+    # representatives that lead back to one another: each text of the circle has the same form
+    form = Form({"ab": "cd", "cd": "ab"})
+    assert form("ab") == form("cd") and form(form("xaby")) == form("xcdy")
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.characters(codec="utf-8"), max_size=40))
 def test_form_is_idempotent(text):
@@ -90,6 +104,14 @@ def test_number_points_count(spark):
     assert {r.id for r in copies.members(keyed(rows)).collect()} == {1, 3}
 
 
+def test_short_contents_of_long_forms_and_cells(spark):
+    # 25 ligatures of three letters are 75 letters; cells are told by their own integers, however often they stand
+    rows = table(spark, [(1, "\ufb03" * 25, 1, "normal", None), (2, "ffi" * 25, 2, "normal", None), (3, "ffi" * 25 + "x", 2, "normal", None),
+                         (10, "|".join(["a" * 30, "b" * 30, "b" * 30]), 1, "table", None), (11, "|".join(["b" * 30, "a" * 30, "b" * 30]), 1, "table", None),
+                         (12, "|".join(["b" * 30, "a" * 30, "a" * 30]), 1, "table", None), (13, "|".join(["a" * 30, "b" * 30]), 1, "table", None), (14, "|".join(["a" * 30, "b" * 30, "c" * 30]), 1, "table", None)])
+    assert {(r.group_id, r.id) for r in copies.members(keyed(rows)).collect()} == {(1, 1), (1, 2), (10, 10), (10, 11)}
+
+
 def test_best(spark):
     rows = spark.createDataFrame([(1, 5, 10), (1, 6, 30), (1, 4, 30), (2, 8, None), (2, 9, None)], "group_id long, id long, at long")
     got = copies.best(rows, "group_id", [F.col("at").desc_nulls_last(), F.col("id")])
@@ -220,6 +242,17 @@ def test_split_words_in_consistent_form(spark):
     assert {r.id for r in split(df).collect()} == {*range(len(ends)), 20, 21}
 
 
+def test_hot_values_are_dealt_into_blocks(spark):
+    # one band value for all sets, met in blocks of three, gives the pairs that it gives in one run
+    rng = random.Random(6)
+    base = [f"base{k}" for k in range(40)]
+    texts = {k: " ".join([*rng.sample(base, 38), f"own{k}"]) for k in range(40)}
+    scan = near.Scan(table(spark, [(i, t, 1, "normal", None) for i, t in texts.items()]))
+    fresh = scan.rows.filter("size(hashes) > 0")
+    whole = {tuple(r) for r in near.candidates(fresh, scan.rarity, scan.sets).collect()}
+    assert len(whole) > 100 and {tuple(r) for r in near.candidates(fresh, scan.rarity, scan.sets, hot=3).collect()} == whole
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(5)
     errors = []
@@ -258,6 +291,17 @@ def test_components(spark, seed):
     assert links.components(df.limit(0)).count() == 0
 
 
+def test_components_without_broadcasts(spark):
+    pairs = [(1000, k) for k in range(1001, 1060)] + [(k, k + 1) for k in range(2000, 2030)] + [(1, 2), (3, 2)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.v: r.group_id for r in links.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[0])
+    assert got == {1: 1, 2: 1, 3: 1} | {k: 1000 for k in range(1000, 1060)} | {k: 2000 for k in range(2000, 2031)}
+
+
 # --- scan noise (7) -------------------------------------------------------------------------------------------------------------------
 
 def test_readings():
@@ -280,6 +324,21 @@ def test_noise(spark):
     assert labels(df.limit(0)).count() == 0
 
 
+def test_running_titles_of_any_length(spark):
+    long = "Annual Report of the Board on Valves and Pumps of the Northern and Southern Works and their Housings"
+    other = "the warden will inspect the valve before the end of the month and\nthe parties agree to it in writing"
+    rows = [(k, long, 1, "normal", None) for k in range(3)] + [(10 + k, f"Rules\n{other} {k}.", 2, "normal", None) for k in range(3)] + [(20, "Draft (internal)", 3, "normal", None), (21, "DRAFT (internal)  ·  Page 2", 3, "normal", None)]
+    # copies of a paragraph, and rows of tables, repeat their lines without a title among them
+    rows += [(30 + k, f"{other}\nand no more is said of it.", 4, "normal", None) for k in range(3)] + [(40 + k, f"Item | Due\n{k} | {k + 1}", 5, "table", None) for k in range(3)] + [(50, long, 6, "normal", None)]
+    assert {r.id for r in labels(table(spark, rows)).collect() if r.headers} == {0, 1, 2, 10, 11, 12, 20, 21}
+
+
+def test_words_split_around_headers(spark):
+    # the model leaves out the running title between the two parts of a word
+    rows = [(k, "Annual Valve Report", 1, "header", None) for k in range(3)] + [(10, "the war-\nAnnual Valve Report\nden signs", 1, "normal", None), (11, "the war-\n- 7 -\nden signs", 1, "normal", None), (12, "the war-\n\n", 1, "normal", None)]
+    assert {r.id for r in split(table(spark, rows)).collect()} == {10, 11}
+
+
 def test_repair():
     text = "The valve was re-\npaired by the\nANNUAL REPORT V3\ncrew yesterday.\nIt is n0w open."
     assert scans.repaired(text, [2], [3], {"n0w": "now"}) == "The valve was repaired by the crew yesterday.\nIt is now open."
@@ -350,6 +409,16 @@ def test_mixed(spark):
     assert mixing.mixed(documents.limit(0), mix).count() == 0 and mixing.mixed(documents, mix.limit(0)).count() == 0
 
 
+def test_every_document_is_a_record(spark):
+    rows = [(k, f"text number {k} of the first source", "a") for k in range(40)] + [(100 + k, "one text many times over", "a") for k in range(5)] + [(200, "one text many times over", "b"), (201, "of b alone", "b")]
+    counted = mixing.token_counts(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    every, once = mixing.units(counted).collect(), mixing.units(counted, once=True).collect()
+    assert {r.doc_id for r in every} == {r[0] for r in rows} and {r.doc_id for r in once} == {r[0] for r in rows} - {101, 102, 103, 104}
+    # the first document of each source shares a unit with that of the other
+    unit = {r.doc_id: r.unit for r in every}
+    assert unit[100] == unit[200] and len(set(unit.values())) == len(rows) - 1
+
+
 # --- quality (10) --------------------------------------------------------------------------------------------------------------------------------
 
 def test_rules_separate():
