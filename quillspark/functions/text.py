@@ -108,24 +108,26 @@ def is_table(text) -> Column:
     return _c(text).rlike(_TABLE_ROW) | _c(text).rlike(_DIVIDER)
 
 
+# LIST_ITEM in any line of a text, with any blanks but line ends, and something after them: one search instead of one a line
+_BLANK = "[" + SPACE[1:-1] + "&&[^\n]]"
+_ANY_ITEM = "(?dm)" + LIST_ITEM.replace(r"\s", _BLANK) + NON_SPACE
+
+
 def has_list_item(text) -> Column:
-    return F.exists(F.split(_c(text), "\n"), lambda line: collapsed(line).rlike(LIST_ITEM))
+    return _c(text).rlike(_ANY_ITEM)
+
+
+def _holds(text, phrases: list[str]) -> Column:
+    """Whether a text, in lower case, holds one of some phrases."""
+    return F.lower(_c(text)).rlike("|".join("".join(c if c.isalnum() or c in " ©" else "\\" + c for c in p) for p in phrases))
 
 
 def is_address(text) -> Column:
-    low = F.lower(_c(text))
-    named = F.lit(False)
-    for w in ADDRESS_WORDS:
-        named = named | low.contains(w)
-    return _c(text).rlike(POSTCODE) & named
+    return _c(text).rlike(POSTCODE) & _holds(text, ADDRESS_WORDS)
 
 
 def is_boilerplate(text) -> Column:
-    low = F.lower(_c(text))
-    out = _c(text).rlike(r"^\s*Page \d+ of \d+\s*$")
-    for w in BOILERPLATE:
-        out = out | low.contains(w)
-    return out
+    return _c(text).rlike(r"^\s*Page \d+ of \d+\s*$") | _holds(text, BOILERPLATE)
 
 
 def is_toc_entry(text) -> Column:

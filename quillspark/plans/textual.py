@@ -336,7 +336,17 @@ def _(spark, t):
     return folds.attach_elements(t("paragraphs"))
 
 
-@query("T15_split_long")
+_STRIP = lambda x: f"regexp_replace(regexp_replace({x}, '^{_SP}+', ''), '{_SP}+$', '')"
+
+
+@query("T15_split_long", rf"""with recursive s as (select id, content, regexp_extract_all(content, '(?s).*?[.!?]{_SP}+') as parts from paragraphs where content <> ''),
+k as (select id, unnest(parts) as part, unnest(range(1, len(parts) + 1)) as n from s), e as (select id, n, sum(length(part)) over (partition by id order by n) as e from k),
+r as (select id, 0 as n, 0 as start, 0 as added, null::hugeint as begun, null::hugeint as ended from s union all select r.id, e.n, case when added + e.e - start >= 500 then e.e else start end, case when added + e.e - start >= 500 then 0 else added + e.e - start end,
+case when added + e.e - start >= 500 then start end, case when added + e.e - start >= 500 then e.e end from r join e on e.id = r.id and e.n = r.n + 1),
+p as (select id, begun, ended from r where ended is not null), l as (select s.id, coalesce(max(p.ended), 0) as start, count(p.ended) as n from s left join p on p.id = s.id group by s.id),
+a as (select id, begun, {_STRIP("substring(content, (begun + 1)::bigint, (ended - begun)::bigint)")} as content from p join s using (id) union all
+select id, start, case when start = 0 then content else {_STRIP("substring(content, (start + 1)::bigint)")} end from l join s using (id) where start < length(content) or n = 0)
+select id, row_number() over (partition by id order by begun) - 1 as piece, content from a""")
 def _(spark, t):
     return folds.split_texts(t("paragraphs"))
 
