@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut
 from .paragraphs import first_of
 from .similarity import prefix_join
 
@@ -21,8 +22,9 @@ def page_matches(insert_pages: DataFrame, document_pages: DataFrame, threshold:
     """(insert_page, document_id, document_page, score): the best page of each document for each page of an insert, the
     first one on a tie. Pages have page_id, of any type that orders, and content, document pages document_id too; blank
     pages match nothing."""
-    a = insert_pages.select(C("page_id").alias("id"), lower_words("content").alias("items"))
-    b = document_pages.select(C("page_id").alias("id"), lower_words("content").alias("items"))
+    # words are split once for all steps of the join
+    a = cut(insert_pages.select(C("page_id").alias("id"), lower_words("content").alias("items")), "insert-words")
+    b = cut(document_pages.select(C("page_id").alias("id"), lower_words("content").alias("items")), "page-words")
     scored = prefix_join(a, b, threshold).select(C("id_a").alias("insert_page"), C("id_b").alias("document_page"), "score")
     rows = scored.join(document_pages.select(C("page_id").alias("document_page"), "document_id"), "document_page")
     return first_of(rows, ["insert_page", "document_id"], [C("score").desc(), C("document_page")]).select("insert_page", "document_id", "document_page", "score")

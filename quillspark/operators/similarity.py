@@ -39,13 +39,21 @@ def exact_classes(paragraphs: DataFrame) -> DataFrame:
     return rows.join(per_document.drop("low"), ["h", "document_id"]).join(classes, "h").select("id", "class_id", "copies", (F.col("copies") - F.col("own")).alias("links"))
 
 
-def distinct_contents(paragraphs: DataFrame) -> DataFrame:
-    """(id, content, documents): each distinct content of MIN_LENGTH characters or more once, as its smallest id, and
-    whether it lies in several documents; documents is the least and greatest of its document ids."""
-    rows = paragraphs.filter(F.col("content").isNotNull() & F.col("document_id").isNotNull() & (F.length("content") >= MIN_LENGTH))
-    reps = rows.groupBy(digest("content").alias("h")).agg(F.min("id").alias("id"), F.min("document_id").alias("first_document"), F.max("document_id").alias("last_document")).drop("h")
+def _usable(paragraphs: DataFrame) -> DataFrame:
+    return paragraphs.filter(F.col("content").isNotNull() & F.col("document_id").isNotNull() & (F.length("content") >= MIN_LENGTH))
+
+
+def representatives(paragraphs: DataFrame) -> DataFrame:
+    """(id, first_document, last_document): each distinct content of MIN_LENGTH characters or more as its smallest id,
+    with the least and greatest id of its documents."""
+    return _usable(paragraphs).groupBy(digest("content").alias("h")).agg(F.min("id").alias("id"), F.min("document_id").alias("first_document"), F.max("document_id").alias("last_document")).drop("h")
+
+
+def distinct_contents(paragraphs: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """:func:`representatives`, or those given, with their content."""
+    reps = representatives(paragraphs) if of is None else of
     # a row that is repeated has one content
-    return reps.join(rows.select("id", "content").dropDuplicates(["id"]), "id")
+    return reps.join(_usable(paragraphs).select("id", "content").join(reps.select("id"), "id", "left_semi").dropDuplicates(["id"]), "id")
 
 
 def prefix_join(a: DataFrame, b: DataFrame | None, threshold: float) -> DataFrame:
@@ -66,7 +74,9 @@ def prefix_join(a: DataFrame, b: DataFrame | None, threshold: float) -> DataFram
         long = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
         return ranked.select(F.col("id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}"), F.explode(F.slice("order", F.lit(1), long)).alias("o")).filter("o.f > 1").select(f"id_{x}", f"n_{x}", F.col("o.item").alias("item"))
 
-    left, right = prefixes(sides[0], "a"), prefixes(sides[-1], "b")
+    # a self-join ranks its sets once
+    left = cut(prefixes(sides[0], "a"), "prefixes")
+    right = left.select(*[F.col(f"{c}_a").alias(f"{c}_b") for c in ("id", "n")], "item") if b is None else prefixes(sides[-1], "b")
     sized = (F.col("n_a") >= F.col("n_b") * threshold - 1e-9) & (F.col("n_b") >= F.col("n_a") * threshold - 1e-9)
     pairs = left.join(right, "item").filter(sized & (F.col("id_a") < F.col("id_b") if b is None else F.lit(True))).select("id_a", "id_b").distinct()
     sets = [rows.select(F.col("id").alias(f"id_{x}"), F.col("items").alias(f"items_{x}")) for rows, x in ((sides[0], "a"), (sides[-1], "b"))]
@@ -78,10 +88,12 @@ def similar_classes(paragraphs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(id_a, id_b, content_score): representatives of distinct contents that share ``threshold`` of their words
     without stopwords, have different keys of exact matches, and lie in different documents. Copies of a content are
     one representative; :func:`distinct_contents` tells its documents."""
-    reps = distinct_contents(paragraphs)
-    pairs = prefix_join(reps.select("id", T.word_set("content").alias("items")), None, threshold)
-    side = lambda x: reps.select(F.col("id").alias(f"id_{x}"), T.exact_key("content").alias(f"key_{x}"), F.col("first_document").alias(f"first_{x}"), F.col("last_document").alias(f"last_{x}"))
-    return pairs.join(side("a"), "id_a").join(side("b"), "id_b").filter(_apart() & (F.col("key_a") != F.col("key_b"))).select("id_a", "id_b", F.col("score").alias("content_score"))
+    reps = distinct_contents(paragraphs, cut(representatives(paragraphs), "representatives"))
+    # words and keys are worked out once; what is joined is small
+    held = cut(reps.select("id", "first_document", "last_document", T.word_set("content").alias("items"), T.exact_key("content").alias("key")).withColumn("key", digest("key")), "word-sets")
+    pairs = prefix_join(held.select("id", "items"), None, threshold)
+    side = lambda x: held.select(F.col("id").alias(f"id_{x}"), F.col("key").alias(f"key_{x}"), F.col("first_document").alias(f"first_{x}"), F.col("last_document").alias(f"last_{x}"))
+    return pairs.join(side("a"), "id_a").join(side("b"), "id_b").filter(_apart() & ~F.col("key_a").eqNullSafe(F.col("key_b"))).select("id_a", "id_b", F.col("score").alias("content_score"))
 
 
 def signatures(contents: DataFrame) -> DataFrame:
@@ -114,8 +126,8 @@ def lsh_pairs(paragraphs: DataFrame, threshold: float = 0.8, hot: int = 1000) ->
     items, which would all agree, are candidates of none. Equal signatures take part once, as their smallest id: their
     classes are told by :func:`signature_classes`, so a band holds different signatures only. The members of a band with
     more than ``hot`` are dealt into blocks, and each pair of blocks is joined in a task of its own."""
-    reps = distinct_contents(paragraphs)
-    signed = cut(signatures(reps).filter("signature is not null").select("id", "signature", "bands", digest_of("signature").alias("s")), "signatures")
+    reps = cut(representatives(paragraphs), "representatives")
+    signed = cut(signatures(distinct_contents(paragraphs, reps)).filter("signature is not null").select("id", "signature", "bands", digest_of("signature").alias("s")), "signatures")
     # a class lies in the documents of all its contents
     least = cut(signed.select("s", "id").join(reps.select("id", "first_document", "last_document"), "id").groupBy("s").agg(
         F.min("id").alias("id"), F.min("first_document").alias("first_document"), F.max("last_document").alias("last_document")), "signature-documents")

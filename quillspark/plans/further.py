@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..operators import graph as G
 from ..operators import paragraphs as P
 from ..operators import similarity as S
-from ..session import table
+from ..session import spread, table
 from .textual import _GRAPH, _KEY
 
 C, SQL, QUERIES = F.col, {}, {}
@@ -53,13 +53,13 @@ def _(spark, t):
 
 @query("F12_J11_cross_document", f"""with k as (select id, document_id, {_KEY} as key from paragraphs where document_id is not null) select key, count(*) as paragraphs, count(distinct document_id) as documents from k where key <> '' group by key having count(distinct document_id) > 1""")
 def _(spark, t):
-    per = t("paragraphs").filter("document_id is not null").select("document_id", T.exact_key("content").alias("key")).filter("key <> ''").groupBy("key", "document_id").agg(F.count(F.lit(1)).alias("n"))
+    per = spread(t("paragraphs")).filter("document_id is not null").select("document_id", T.exact_key("content").alias("key")).filter("key <> ''").groupBy("key", "document_id").agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy("key").agg(F.sum("n").alias("paragraphs"), F.count(F.lit(1)).alias("documents")).filter("documents > 1")
 
 
 @query("J13_U3_similar_without_exact", f"""with k as (select id, {_KEY} as key from paragraphs) select distinct least(paragraph1_id, paragraph2_id) as a, greatest(paragraph1_id, paragraph2_id) as b from similarity_results s join k x on x.id = paragraph1_id join k y on y.id = paragraph2_id where x.key <> y.key""")
 def _(spark, t):
-    keys = t("paragraphs").select("id", T.exact_key("content").alias("key"))
+    keys = spread(t("paragraphs")).select("id", T.exact_key("content").alias("key"))
     pairs = t("similarity_results").select(F.least("paragraph1_id", "paragraph2_id").alias("a"), F.greatest("paragraph1_id", "paragraph2_id").alias("b")).distinct()
     side = lambda x: keys.select(C("id").alias(x), C("key").alias(f"key_{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").filter("key_a <> key_b").select("a", "b")
@@ -97,9 +97,9 @@ def _(spark, t):
 @query("U2_all_matches", f"""with k as (select id, {_KEY} as key, document_id from paragraphs where document_id is not null), e as (select id from k where key <> '' and key in (select key from k group by key having count(distinct document_id) > 1))
 select id, 'exact' as kind from e union all select distinct p.id, 'similar' from similarity_results s join paragraphs p on p.id in (s.paragraph1_id, s.paragraph2_id) where s.similarity_type = 'similar'""")
 def _(spark, t):
-    exact = S.exact_classes(t("paragraphs")).select("id", F.lit("exact").alias("kind"))
+    exact = S.exact_classes(spread(t("paragraphs"))).select("id", F.lit("exact").alias("kind"))
     ends = t("similarity_results").filter("similarity_type = 'similar'").select(F.explode(F.array("paragraph1_id", "paragraph2_id")).alias("id")).distinct()
-    return exact.unionByName(ends.join(t("paragraphs").select("id"), "id").select("id", F.lit("similar").alias("kind")))
+    return exact.unionByName(ends.join(spread(t("paragraphs")).select("id"), "id").select("id", F.lit("similar").alias("kind")))
 
 
 @query("C3_differences")

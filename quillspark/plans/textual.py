@@ -11,7 +11,7 @@ from ..operators import graph as G
 from ..operators import inserts as I
 from ..operators import paragraphs as P
 from ..operators import similarity as S
-from ..session import table
+from ..session import spread, table
 from ..sources import files
 from .relational import instants
 
@@ -37,25 +37,25 @@ _TOKENS = f"list_filter({_SPLIT(_CLEAN)}, lambda x: x not in {_STOP})"
 
 @query("D1_normalized", f"select id, {_KEY} as key from paragraphs")
 def _(spark, t):
-    return t("paragraphs").select("id", T.exact_key("content").alias("key"))
+    return spread(t("paragraphs")).select("id", T.exact_key("content").alias("key"))
 
 
 @query("D2_shingles", f"""with c as (select id, {_CLEAN} as c from paragraphs), k as (select id, c, case when length(c) < 30 then 2 else 3 end as k from c)
 select id, case when length(c) < k then '' else array_to_string(list_transform(range(1, length(c) - k + 2), lambda i: substring(c, i, k)), '~') end as shingles from k""")
 def _(spark, t):
-    return t("paragraphs").select("id", T.cleaned("content").alias("cleaned")).select("id", F.array_join(T.shingles("cleaned"), "~").alias("shingles"))
+    return spread(t("paragraphs")).select("id", T.cleaned("content").alias("cleaned")).select("id", F.array_join(T.shingles("cleaned"), "~").alias("shingles"))
 
 
 @query("D3_tokens", f"select id, array_to_string({_TOKENS}, ' ') as tokens from paragraphs")
 def _(spark, t):
-    return t("paragraphs").select("id", F.array_join(T.tokens("content"), " ").alias("tokens"))
+    return spread(t("paragraphs")).select("id", F.array_join(T.tokens("content"), " ").alias("tokens"))
 
 
 @query("D5_exact_classes", f"""with k as (select id, document_id, {_KEY} as key from paragraphs where document_id is not null), g as (select * from k where key <> ''),
 c as (select key, min(id) as class_id, count(*) as copies from g group by key having count(distinct document_id) > 1)
 select g.id, c.class_id, c.copies, c.copies - count(*) over (partition by g.key, g.document_id) as links from g join c on c.key = g.key""")
 def _(spark, t):
-    return S.exact_classes(t("paragraphs"))
+    return S.exact_classes(spread(t("paragraphs")))
 
 
 _REPS = "reps as (select content, min(id) as id, min(document_id) as f, max(document_id) as l from paragraphs where content is not null and document_id is not null and length(content) >= 10 group by content)"
@@ -66,7 +66,7 @@ x as (select id, unnest(w) as item, n from n), p as (select a.id as id_a, b.id a
 select id_a, id_b, s / (n_a + n_b - s) as content_score from p join k a on a.id = id_a join k b on b.id = id_b
 where s / (n_a + n_b - s) >= 0.8 and a.key <> b.key and not (a.f = a.l and b.f = b.l and a.f = b.f)""")
 def _(spark, t):
-    return S.similar_classes(t("paragraphs"), 0.8)
+    return S.similar_classes(spread(t("paragraphs")), 0.8)
 
 
 @query("D7_content_scores", f"""with w as (select id, list_distinct({_TOKENS}) as w from paragraphs) select s.id, round(case when len(list_distinct(list_concat(a.w, b.w))) = 0 then 0.0 else len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) end, 6) as content_score
@@ -98,17 +98,17 @@ def _(spark, t):
 
 @query("D10_full_search")
 def _(spark, t):
-    return S.full_search(t("paragraphs"), 0.8)
+    return S.full_search(spread(t("paragraphs")), 0.8)
 
 
 @query("D6_lsh_pairs")
 def _(spark, t):
-    return S.lsh_pairs(t("paragraphs"), 0.8)
+    return S.lsh_pairs(spread(t("paragraphs")), 0.8)
 
 
 @query("D4_signature_classes")
 def _(spark, t):
-    return S.signature_classes(t("paragraphs"))
+    return S.signature_classes(spread(t("paragraphs")))
 
 
 _GRAPH = """with recursive l as (select distinct least(paragraph1_id, paragraph2_id) a, greatest(paragraph1_id, paragraph2_id) b from similarity_results where content_similarity_score >= 0.8 and paragraph1_id <> paragraph2_id),
@@ -163,7 +163,7 @@ def _(spark, t):
 
 @query("C2_O6_top_words", rf"select word, count(*) as frequency from (select unnest({_SPLIT('content')}) as word from paragraphs) group by word order by frequency desc, word limit 100")
 def _(spark, t):
-    return t("paragraphs").select(F.explode(T.split_words("content")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("frequency")).orderBy(C("frequency").desc(), "word").limit(100)
+    return spread(t("paragraphs")).select(F.explode(T.split_words("content")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("frequency")).orderBy(C("frequency").desc(), "word").limit(100)
 
 
 @query("C4_dates")
@@ -193,12 +193,12 @@ def _(spark, t):
 @query("C5_C6_truncated", r"""select id, case when length(content) <= 100 then content else (case when regexp_extract(substring(content, 1, 101), '(?s)^(.*) ', 1) <> '' then regexp_extract(substring(content, 1, 101), '(?s)^(.*) ', 1) else substring(content, 1, 100) end) || '...' end as at_word,
 case when length(content) <= 150 then content else substring(content, 1, 150) || '...' end as hard from paragraphs""")
 def _(spark, t):
-    return t("paragraphs").select("id", T.truncated("content", 100).alias("at_word"), T.cut_hard("content").alias("hard"))
+    return spread(t("paragraphs")).select("id", T.truncated("content", 100).alias("at_word"), T.cut_hard("content").alias("hard"))
 
 
 @query("C7_C11_highlight", "select id, regexp_replace(content, '(?i)(contract)', '<mark>\\1</mark>', 'g') as marked, replace(replace(replace(replace(replace(content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;') as escaped from paragraphs")
 def _(spark, t):
-    return t("paragraphs").select("id", T.highlighted("content", "contract").alias("marked"), T.escaped_html("content").alias("escaped"))
+    return spread(t("paragraphs")).select("id", T.highlighted("content", "contract").alias("marked"), T.escaped_html("content").alias("escaped"))
 
 
 @query("C8_C9_rates", "select source, case when s < 60 then s || 's' when s < 3600 then (s // 60) || 'm ' || (s % 60) || 's' else (s // 3600) || 'h ' || ((s % 3600) // 60) || 'm' end as duration, dated from (select source, count(*) * 37 as s, round(100.0 * count(upload_date) / count(*), 1) as dated from documents group by source)")
@@ -223,12 +223,12 @@ _BOILER = r"(regexp_matches(content, '^\s*Page \d+ of \d+\s*$') or " + " or ".jo
 
 @query("T1_classified", f"select id, case when {_HEADER} then 'header' when {_ROW} then 'table' when {_ITEM} then 'list' when {_ADDRESS} then 'address' when {_BOILER} then 'boilerplate' else 'normal' end as kind from paragraphs where trim(content) <> ''")
 def _(spark, t):
-    return t("paragraphs").filter(F.trim("content") != "").select("id", T.classified("content").alias("kind"))
+    return spread(t("paragraphs")).filter(F.trim("content") != "").select("id", T.classified("content").alias("kind"))
 
 
 @query("T2_T8_tests", rf"""select id, {_HEADER} as header, {_ROW} as table_row, {_ITEM} as list_item, {_ADDRESS} as address, {_BOILER} as boilerplate, contains(content, '..') and regexp_matches(content, '\d+\s*$') as toc, regexp_matches(content, ':{_SP}*$') as introduces from paragraphs where content <> ''""")
 def _(spark, t):
-    return t("paragraphs").filter("content <> ''").select("id", T.is_header("content").alias("header"), T.is_table("content").alias("table_row"), T.has_list_item("content").alias("list_item"), T.is_address("content").alias("address"),
+    return spread(t("paragraphs")).filter("content <> ''").select("id", T.is_header("content").alias("header"), T.is_table("content").alias("table_row"), T.has_list_item("content").alias("list_item"), T.is_address("content").alias("address"),
                                   T.is_boilerplate("content").alias("boilerplate"), T.is_toc_entry("content").alias("toc"), T.introduces_list("content").alias("introduces"))
 
 
@@ -294,7 +294,7 @@ def _pages(documents):
 @query("D11_W5_page_matches", _MATCH + " select insert_page, document_id, place, round(score, 6) as score from m")
 def _(spark, t):
     pages = t("eval_items").select(C("item_id").alias("page_id"), C("text").alias("content"))
-    return I.page_matches(pages, _pages(t("documents")), 0.7).select("insert_page", "document_id", C("document_page.place").cast("long").alias("place"), F.round("score", 6).alias("score"))
+    return I.page_matches(pages, _pages(spread(t("documents"))), 0.7).select("insert_page", "document_id", C("document_page.place").cast("long").alias("place"), F.round("score", 6).alias("score"))
 
 
 # every item an insert of its text, twice or with a blank page for two thirds of them
@@ -311,13 +311,13 @@ def _books(items):
 def _(spark, t):
     pages = _books(t("eval_items"))
     # in the order of their scores, the smaller numbers first on a tie
-    return I.insert_matches(pages, I.page_matches(pages, _pages(t("documents")), 0.7), 0.7).withColumns({c: F.round(c, 6) for c in ("match_score", "match_percentage")}).orderBy(C("match_score").desc(), "insert_id", "document_id")
+    return I.insert_matches(pages, I.page_matches(pages, _pages(spread(t("documents"))), 0.7), 0.7).withColumns({c: F.round(c, 6) for c in ("match_score", "match_percentage")}).orderBy(C("match_score").desc(), "insert_id", "document_id")
 
 
 @query("A23_insert_usage", _MATCH + " select e.suite as insert_id, count(distinct document_id) as documents, round(avg(score), 6) as mean_score from m join eval_items e on e.item_id = m.insert_page group by e.suite")
 def _(spark, t):
     pages = t("eval_items").select(C("suite").alias("insert_id"), C("item_id").alias("page_id"), C("text").alias("content"))
-    found = I.page_matches(pages, _pages(t("documents")), 0.7).join(pages.select("insert_id", C("page_id").alias("insert_page")), "insert_page")
+    found = I.page_matches(pages, _pages(spread(t("documents"))), 0.7).join(pages.select("insert_id", C("page_id").alias("insert_page")), "insert_page")
     return found.groupBy("insert_id").agg(F.countDistinct("document_id").alias("documents"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
@@ -348,7 +348,7 @@ a as (select id, begun, {_STRIP("substring(content, (begun + 1)::bigint, (ended
 select id, start, case when start = 0 then content else {_STRIP("substring(content, (start + 1)::bigint)")} end from l join s using (id) where start < length(content) or n = 0)
 select id, row_number() over (partition by id order by begun) - 1 as piece, content from a""")
 def _(spark, t):
-    return folds.split_texts(t("paragraphs"))
+    return folds.split_texts(spread(t("paragraphs")))
 
 
 @query("T16_S18_packed_pages", """with recursive r as (select document_id, content, length(content) as n, row_number() over (partition by document_id order by para_position nulls first, id) as k from paragraphs where trim(content) <> ''),

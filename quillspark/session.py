@@ -173,6 +173,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` for work that outweighs reading: if it comes from fewer files than there are cores, its rows are dealt to all
+    of these first, as a file of one row group is read by a single task. Tables of more files stay as they are."""
+    cores, files = df.sparkSession.sparkContext.defaultParallelism, len(df._jdf.inputFiles())
+    return df.repartition(cores) if 0 < files < cores else df
+
+
 def mapped(df: DataFrame, function, schema) -> DataFrame:
     """``df.mapInArrow`` with this package at hand on the executors."""
     ship(df.sparkSession)
