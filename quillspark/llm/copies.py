@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.p2_timestamps import document_instants
-from ..session import cut, mapped, table
+from ..session import cut, mapped, spread, table
 from .form import MEMBERS, Form, MemberCounter, formed, learned, letters_digits
 
 #: Fewer letters and digits than this make no group.
@@ -79,7 +79,7 @@ def fields(paragraphs: DataFrame, form: Form, least: int = MIN_LETTERS_DIGITS) -
         yield pa.RecordBatch.from_arrays([*(pa.nulls(n, k) for k in kinds[:-2]), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names)
 
     kind = F.coalesce(F.lower("paragraph_type") == "table", F.lit(False))
-    return mapped(paragraphs.select(F.col("id").cast("long"), F.col("document_id").cast("long"), F.col("content"), kind.alias("t")), scan, _FIELDS)
+    return mapped(spread(paragraphs.select(F.col("id").cast("long"), F.col("document_id").cast("long"), F.col("content"), kind.alias("t"))), scan, _FIELDS)
 
 
 def dictionary(rows: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def consistent(df: DataFrame, column: str, form: Form) -> DataFrame:
             columns = [pa.array(new, pa.string()) if k == at else c for k, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([x != y for x, y in zip(old, new)], pa.bool_())], [*batch.schema.names, "changed"])
 
-    return mapped(df, rewrite, StructType([*df.schema.fields, StructField("changed", BooleanType())]))
+    return mapped(spread(df), rewrite, StructType([*df.schema.fields, StructField("changed", BooleanType())]))
 
 
 def best(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, drop_cut, mapped
+from ..session import cut, drop_cut, mapped, spread
 
 # Letters of other scripts that print like the Latin letter after them.
 LOOK_ALIKES = """
@@ -175,7 +175,7 @@ def count_members(df: DataFrame, column: str) -> dict[str, int]:
         found = counter.counts()
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["member", "n"])
 
-    counts = mapped(df.select(column), count, "member string, n long").groupBy("member").agg(F.sum("n").alias("n"))
+    counts = mapped(spread(df.select(column)), count, "member string, n long").groupBy("member").agg(F.sum("n").alias("n"))
     return {r.member: r.n for r in counts.collect()}
 
 

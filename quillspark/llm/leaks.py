@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import mapped, table
+from ..session import mapped, spread, table
 from .form import Form, learned, words
 
 #: So many consecutive words of an item make a leak.
@@ -100,7 +100,7 @@ def leaks(documents: DataFrame, items: DataFrame, form: Form, run: int = RUN) ->
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in _SCHEMA.split(", ")])
         return scan
 
-    texts = documents.select(F.col("doc_id").cast("long"), "text")
+    texts = spread(documents.select(F.col("doc_id").cast("long"), "text"))
     out = None
     for by_window in blocks(items, form, run):
         found = mapped(texts, search(Scanner(form, by_window, run)), _SCHEMA)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..session import cut, drop_cut, mapped, table
+from ..session import cut, drop_cut, mapped, spread, table
 
 #: The rank file of a public tokenizer; it is read by the driver and travels with the tasks.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -42,7 +42,7 @@ def token_counts(documents: DataFrame, ranks_file: str = RANKS) -> DataFrame:
                 batch.column(0), batch.column(1), pa.array([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in texts], pa.binary()),
                 pa.array([len(encoding.encode_ordinary(x)) for x in texts], pa.int64())], ["doc_id", "source", "digest", "tokens"])
 
-    return mapped(documents.select(F.col("doc_id").cast("long"), "source", "text"), count, "doc_id long, source string, digest binary, tokens long")
+    return mapped(spread(documents.select(F.col("doc_id").cast("long"), "source", "text")), count, "doc_id long, source string, digest binary, tokens long")
 
 
 def min_cost_flow(n: int, edges: list[tuple[int, int, int, int]], start: int, end: int) -> list[int]:

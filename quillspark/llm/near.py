@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, drop_cut, mapped, table
+from ..session import cut, drop_cut, mapped, spread, table
 from .form import Form, MemberCounter, representatives, words
 from .copies import record
 from .links import components
@@ -244,7 +244,7 @@ def _scanned(paragraphs: DataFrame, form: Form) -> DataFrame:
             pa.array(range(-2, n - 2), pa.int32()), pa.array(tables, pa.binary())], _NAMES)
 
     kind = F.coalesce(F.lower("paragraph_type") == "table", F.lit(False))
-    return mapped(paragraphs.select(F.col("id").cast("long"), "content", kind.alias("t")), scan, _SCAN)
+    return mapped(spread(paragraphs.select(F.col("id").cast("long"), "content", kind.alias("t"))), scan, _SCAN)
 
 
 _NAMES = [x.split()[0] for x in _SCAN.split(", ")]

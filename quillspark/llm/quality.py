@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, mapped, table
+from ..session import cut, mapped, spread, table
 from .form import Form, PerToken, representatives, words
 
 # Frequent function words of English, German and French.
@@ -115,7 +115,7 @@ def statistics(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64() if k < 3 else pa.float64()) for k, c in enumerate(columns))], ["doc_id", *_STATISTICS])
 
     schema = "doc_id long, " + ", ".join(f"{x} {'long' if k < 3 else 'double'}" for k, x in enumerate(_STATISTICS))
-    return mapped(documents.select(F.col("doc_id").cast("long"), "text"), measure, schema)
+    return mapped(spread(documents.select(F.col("doc_id").cast("long"), "text")), measure, schema)
 
 
 Rule = tuple[str, list[tuple[str, str, float]]]

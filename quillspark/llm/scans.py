@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, mapped, table
+from ..session import cut, mapped, spread, table
 from .form import MEMBERS, Form, MemberCounter, PerToken, formed
 from .quality import COMMON_WORDS
 
@@ -328,7 +328,7 @@ def scanned(paragraphs: DataFrame, form: Form) -> DataFrame:
         counts = members.counts()
         yield packed(len(counts), member=list(counts), member_n=list(counts.values()))
 
-    return mapped(paragraphs.select(F.col("id").cast("long"), F.col("document_id").cast("long"), "content"), scan, _SCAN)
+    return mapped(spread(paragraphs.select(F.col("id").cast("long"), F.col("document_id").cast("long"), "content")), scan, _SCAN)
 
 
 def lines(rows: DataFrame) -> DataFrame:
