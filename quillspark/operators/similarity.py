@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import difflib
+import hashlib
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import cut, mapped, ship
+from ..session import cut, drop_cut, mapped, ship
 from .paragraphs import digest
 
 #: Permutations of a signature; bands and rows of candidates, the split that suits a threshold of 0.7.
@@ -24,6 +27,15 @@ PERMUTATIONS, BANDS, ROWS = 128, 14, 9
 MIN_LENGTH = 10
 #: Thresholds by the score they are compared with.
 DEFAULT_THRESHOLDS = {"content": 0.8, "text": 0.85}
+#: Counters for the frequency of items, and what stands for the rarity of an item of one set.
+SLOTS, ALONE = 1 << 20, 255
+#: Sets that may hold the items of a value by chance, as a power of two.
+CHANCE_BITS = 9
+#: Items that a value stands for at most: (sizes of the smaller set from, to below, items). A set of n items has about a
+#: fifth of them to choose from at 0.8, so the number is less for longer sets.
+MOST_ITEMS = ((1, 96, 3), (96, 512, 2), (512, 1 << 31, 1))
+
+_U = np.uint64
 
 
 def exact_classes(paragraphs: DataFrame) -> DataFrame:
@@ -33,7 +45,11 @@ def exact_classes(paragraphs: DataFrame) -> DataFrame:
     the square of the class. Counts per document come first, so no class gathers in one task."""
     keyed = paragraphs.filter("document_id is not null").select("id", "document_id", T.exact_key("content").alias("key")).filter("key <> ''")
     # the key is worked out once; what is counted and joined is its digest
-    rows = cut(keyed.select("id", "document_id", digest("key").alias("h")), "exact-keys")
+    return _exact(cut(keyed.select("id", "document_id", digest("key").alias("h")), "exact-keys"))
+
+
+def _exact(rows: DataFrame) -> DataFrame:
+    """:func:`exact_classes` of rows (id, document_id, h) with the digests of their keys."""
     per_document = rows.groupBy("h", "document_id").agg(F.count(F.lit(1)).alias("own"), F.min("id").alias("low"))
     classes = per_document.groupBy("h").agg(F.sum("own").alias("copies"), F.min("low").alias("class_id"), F.count(F.lit(1)).alias("documents")).filter("documents > 1").drop("documents")
     return rows.join(per_document.drop("low"), ["h", "document_id"]).join(classes, "h").select("id", "class_id", "copies", (F.col("copies") - F.col("own")).alias("links"))
@@ -56,44 +72,194 @@ def distinct_contents(paragraphs: DataFrame, of: DataFrame | None = None) -> Dat
     return reps.join(_usable(paragraphs).select("id", "content").join(reps.select("id"), "id", "left_semi").dropDuplicates(["id"]), "id")
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers whose bits all depend on all bits (a published finalizer)."""
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+def _hashes(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of a column of lists one after another, where each list starts, and how long it is."""
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    return _mix(column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)), offsets[:-1] - offsets[0], np.diff(offsets)
+
+
+def _rarity(sets: DataFrame) -> tuple[np.ndarray, int]:
+    """How rare items are, by counter, and the number of sets: quarter bits by which fewer sets (items: hashes) hold one than there are, ALONE
+    if it is in one set. The number of counters is fixed, and so is what comes to the driver; items that share a
+    counter seem less rare."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS + 1, np.int64)
+        for batch in batches:
+            held = _hashes(batch.column(0))[0]
+            total[:SLOTS] += np.bincount((held >> _U(44)).astype(np.int64), minlength=SLOTS)
+            total[SLOTS] += batch.num_rows
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(total[slot])], ["slot", "f"])
+
+    counts = mapped(sets.select("h"), count, "slot int, f long").groupBy("slot").agg(F.sum("f").alias("f")).toArrow()
+    total = np.zeros(SLOTS + 1, np.int64)
+    total[counts.column("slot").to_numpy()] = counts.column("f").to_numpy()
+    bits = np.log2(max(1, total[SLOTS]) / np.maximum(total[:SLOTS], 1))
+    return np.where(total[:SLOTS] == 1, ALONE, np.clip(np.round(bits * 4), 0, ALONE - 1)).astype(np.uint8), max(1, int(total[SLOTS]))
+
+
+def _first_shared(h: np.ndarray, starts: np.ndarray, n: np.ndarray, rarity: np.ndarray, enough: int, threshold: float) -> tuple[np.ndarray, ...]:
+    """(set number, value, skipped): for each set the values that stand for what may be the first items, rarest first,
+    that it shares with a set similar enough, and how many of its own items come before these without being shared.
+
+    A value stands for as many items as it takes until few sets should hold them all by chance (``enough`` quarter
+    bits), at most as MOST_ITEMS says, no more than are shared for certain. Where it ends depends on the items, so that
+    both sets of a pair have the value in common. An item of one set only is never shared."""
+    owner = np.repeat(np.arange(len(n)), n)
+    rare = rarity[(h >> _U(44)).astype(np.int64)].astype(np.int64)
+    order = np.lexsort((h, -rare, owner))
+    h, rare = h[order], rare[order]
+    need = np.ceil(n * threshold - 1e-9).astype(np.int64)
+    owners, values, skips = [], [], []
+    for low, high, most in MOST_ITEMS:
+        # the smaller set of a pair tells which of these holds
+        s = np.flatnonzero((n >= low) & (n * threshold < high + 1e-9))
+        length = n[s] - need[s] + 1
+        s = np.repeat(s, length)
+        at = np.arange(len(s)) - np.repeat(np.cumsum(length) - length, length)
+        value, bits, depth = np.full(len(s), most, np.uint64), np.zeros(len(s), np.int64), 1
+        while len(s):
+            shared = rare[starts[s] + at] != ALONE
+            s, at, value, bits = s[shared], at[shared], value[shared], bits[shared]
+            value, bits = _mix(value + h[starts[s] + at]), bits + rare[starts[s] + at]
+            done = (bits >= enough) | (depth >= most)
+            out = done | (depth >= need[s])
+            owners.append(s[out])
+            values.append(value[out])
+            skips.append(at[out] - (depth - 1))
+            s, at, value, bits = s[~done], at[~done], value[~done], bits[~done]
+            more = np.clip(n[s] - need[s] + depth - at, 0, n[s] - 1 - at)
+            step = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+            s, at, value, bits = (np.repeat(x, more) for x in (s, at, value, bits))
+            at = at + 1 + step
+            depth += 1
+    return np.concatenate(owners), np.concatenate(values), np.concatenate(skips)
+
+
 def prefix_join(a: DataFrame, b: DataFrame | None, threshold: float) -> DataFrame:
     """(id_a, id_b, score): pairs whose sets share ``threshold`` of their union or more, exactly.
 
-    ``a`` and ``b`` have columns id and items (arrays of distinct strings); without ``b`` it is a self-join with
-    id_a < id_b. Two such sets share one of their rarest n - ceil(t n) + 1 items, so only these prefixes are joined,
-    and sizes bound the rest. Empty sets match nothing. Items that occur once can't match and are no join keys.
+    ``a`` and ``b`` have columns id and items (arrays of distinct strings without line ends); without ``b`` it is a self-join with
+    id_a < id_b. Empty sets match nothing. Two such sets share one of their rarest n - ceil(t n) + 1 items. If that is
+    a common one, the next item they share is put to it, as :func:`_first_shared` says, so that few sets meet by chance.
+    Where they meet, sizes, the items skipped so far and 64 bits of parity, of which no more differ than items, drop
+    most pairs; the items themselves decide.
     """
     sides = [a.select("id", "items").filter(F.size("items") > 0)] + ([b.select("id", "items").filter(F.size("items") > 0)] if b is not None else [])
-    both = reduce(DataFrame.unionByName, [x.select("items") for x in sides])
-    frequency = both.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
-
-    def prefixes(rows: DataFrame, x: str) -> DataFrame:
-        n = F.size("items")
-        keyed = rows.select("id", n.alias("n"), F.explode("items").alias("item")).join(frequency, "item", "left")
-        ranked = keyed.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "item"))).alias("order"))
-        long = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
-        return ranked.select(F.col("id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}"), F.explode(F.slice("order", F.lit(1), long)).alias("o")).filter("o.f > 1").select(f"id_{x}", f"n_{x}", F.col("o.item").alias("item"))
-
-    # a self-join ranks its sets once
-    left = cut(prefixes(sides[0], "a"), "prefixes")
-    right = left.select(*[F.col(f"{c}_a").alias(f"{c}_b") for c in ("id", "n")], "item") if b is None else prefixes(sides[-1], "b")
-    sized = (F.col("n_a") >= F.col("n_b") * threshold - 1e-9) & (F.col("n_b") >= F.col("n_a") * threshold - 1e-9)
-    pairs = left.join(right, "item").filter(sized & (F.col("id_a") < F.col("id_b") if b is None else F.lit(True))).select("id_a", "id_b").distinct()
-    sets = [rows.select(F.col("id").alias(f"id_{x}"), F.col("items").alias(f"items_{x}")) for rows, x in ((sides[0], "a"), (sides[-1], "b"))]
-    scored = pairs.join(sets[0], "id_a").join(sets[1], "id_b").select("id_a", "id_b", T.jaccard(F.col("items_a"), F.col("items_b")).alias("score"))
+    hashed = [x.select("id", F.transform("items", lambda w: F.xxhash64(w)).alias("h")) for x in sides]
+    rarity, sets = _rarity(reduce(DataFrame.unionByName, [x.select("h") for x in hashed]))
+    enough = max(0, round(4 * np.log2(sets)) - 4 * CHANCE_BITS)
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                h, starts, n = _hashes(batch.column(1))
+                odd = np.bitwise_xor.reduceat(_U(1) << (_mix(h ^ _U(0x5DEECE66D)) & _U(63)), starts).view(np.int64)
+                owner, value, skip = _first_shared(h, starts, n, rarity, enough, threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), batch.column(0).take(pa.array(owner)), pa.array(odd[owner]), pa.array(n[owner].astype(np.int32)), pa.array(skip.astype(np.int32))], ["v", "id", "odd", "n", "skip"])
+
+    # a self-join deals its sets once
+    dealt = [cut(mapped(x, deal, f"v long, id {x.schema['id'].dataType.simpleString()}, odd long, n int, skip int"), "first-shared") for x in hashed]
+    left, right = (rows.select(*[F.col(c).alias(f"{c}_{x}") for c in ("v", "id", "odd", "n", "skip")]) for rows, x in ((dealt[0], "a"), (dealt[-1], "b")))
+    total = F.col("n_a") + F.col("n_b")
+    shared = F.ceil(total * (threshold / (1 + threshold)) - 1e-9)
+    # the cheap tests, which drop most, come first
+    apart = F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd_b"))) <= total * ((1 - threshold) / (1 + threshold)) + 1e-6
+    near = apart & (shared <= F.least(F.col("n_a") - F.col("skip_a"), F.col("n_b") - F.col("skip_b")))
+    pairs = left.join(right, (F.col("v_a") == F.col("v_b")) & (F.col("id_a") < F.col("id_b") if b is None else F.lit(True)) & near).select("id_a", "id_b").distinct()
+    pairs = cut(pairs, "pairs-that-met")
+    for rows in dealt:
+        drop_cut(rows)
+
+    def those(rows: DataFrame, ids: DataFrame) -> DataFrame:
+        # a list as one string is a third of its size in the exchange
+        return cut(rows.select("id", F.array_join("items", "\n").alias("items")).join(ids.distinct(), "id", "left_semi"), "sets-that-met")
+
+    ends = [pairs.select(F.col(f"id_{x}").alias("id")) for x in "ab"]
+    held = [those(sides[0], ends[0].unionByName(ends[1]))] * 2 if b is None else [those(rows, ids) for rows, ids in zip(sides, ends)]
+    side = lambda x: held["ab".index(x)].select(F.col("id").alias(f"id_{x}"), F.split("items", "\n").alias(f"items_{x}"))
+    scored = pairs.join(side("a"), "id_a").join(side("b"), "id_b").select("id_a", "id_b", T.jaccard(F.col("items_a"), F.col("items_b")).alias("score"))
     return scored.filter(F.col("score") >= threshold)
 
 
+class _Words(dict):
+    """Words of lower-case text between blanks without what is neither letter, number nor underscore, "" for stopwords;
+    kept as long as they are few."""
+
+    def __missing__(self, raw: str) -> str:
+        if len(self) > 300_000:
+            self.clear()
+        word = "".join(c for c in raw if c == "_" or unicodedata.category(c)[0] in "LN")
+        got = self[raw] = "" if word in _STOP else word
+        return got
+
+
+_STOP = frozenset(T.STOPWORDS)
+_NO_PUNCTUATION = str.maketrans("", "", ",.;:!?\"'()[]")
+
+
+def _short(text: str) -> bytes:
+    return hashlib.sha256(text.encode()).digest()[:16]
+
+
+def _worded(paragraphs: DataFrame) -> DataFrame:
+    """(id, document_id, key, h, s, words) of rows that have a document and a content: digests of the key of exact
+    matches (null for an empty key), of the content and of its words; and its different words without stopwords in order.
+    All but the key are null where a content takes no part in near matches. Texts are read once for all of these, in
+    Python, where what is looked up by word costs a fraction of the regular expressions of :mod:`..functions.text`."""
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
+        for batch in batches:
+            keys, held, sets = [], [], []
+            for text, long in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                raw = text.split()
+                key = " ".join(raw).translate(_NO_PUNCTUATION).strip(" ")
+                keys.append(_short(key) if key else None)
+                words = set(map(known.__getitem__, raw)) - {""} if long else None
+                held.append(" ".join(sorted(words)) if words else None)
+                sets.append(_short(held[-1]) if words else None)
+            words = pa.array(held, pa.string())
+            h = pc.if_else(words.is_valid(), batch.column(2), pa.scalar(None, batch.schema.field(2).type))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), h, pa.array(sets, pa.binary()), words], names)
+
+    names = ["id", "document_id", "key", "h", "s", "words"]
+    rows = paragraphs.filter("document_id is not null and content is not null").select("id", "document_id", digest("content").alias("h"), F.lower("content").alias("text"), (F.length("content") >= MIN_LENGTH).alias("long"))
+    kinds = [rows.schema[c].dataType.simpleString() for c in ("id", "document_id")]
+    return mapped(rows, lambda batches: read(x.select(["id", "document_id", "h", "text", "long"]) for x in batches), f"id {kinds[0]}, document_id {kinds[1]}, key binary, h binary, s binary, words string")
+
+
+def _similar(rows: DataFrame, threshold: float) -> DataFrame:
+    """:func:`similar_classes` of a cut table of :func:`_worded` rows, which is deleted when it is read. Equal sets of
+    words are one, named by the smallest id, until the pairs are told."""
+    used = rows.filter("words is not null")
+    reps = cut(used.groupBy("h").agg(F.min("id").alias("id"), F.min("document_id").alias("first"), F.max("document_id").alias("last"), F.first("key").alias("key"), F.first("s").alias("s")).drop("h"), "representatives")
+    classes = cut(reps.groupBy("s").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("members")), "word-sets")
+    sets = cut(used.select("id", "words", "s").join(classes.select("id", "s"), ["id", "s"], "left_semi").dropDuplicates(["id", "s"]).select("id", F.split("words", " ").alias("items")), "sets")
+    drop_cut(rows)
+    alike = cut(prefix_join(sets, None, threshold).unionByName(classes.filter("members > 1").select(F.col("id").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("score"))), "similar-sets")
+    drop_cut(sets)
+    members = cut(reps.join(classes.select("s", F.col("id").alias("class")), "s").drop("s"), "members")
+    drop_cut(reps)
+    side = lambda x: members.select(F.col("class").alias(f"id_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("first", "last", "key")], F.col("id").alias(x))
+    pairs = alike.join(side("a"), "id_a").join(side("b"), "id_b").filter(_apart() & ~F.col("key_a").eqNullSafe(F.col("key_b")) & ((F.col("id_a") != F.col("id_b")) | (F.col("a") < F.col("b"))))
+    return pairs.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), F.col("score").alias("content_score"))
+
+
 def similar_classes(paragraphs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(id_a, id_b, content_score): representatives of distinct contents that share ``threshold`` of their words
     without stopwords, have different keys of exact matches, and lie in different documents. Copies of a content are
     one representative; :func:`distinct_contents` tells its documents."""
-    reps = distinct_contents(paragraphs, cut(representatives(paragraphs), "representatives"))
     # words and keys are worked out once; what is joined is small
-    held = cut(reps.select("id", "first_document", "last_document", T.word_set("content").alias("items"), T.exact_key("content").alias("key")).withColumn("key", digest("key")), "word-sets")
-    pairs = prefix_join(held.select("id", "items"), None, threshold)
-    side = lambda x: held.select(F.col("id").alias(f"id_{x}"), F.col("key").alias(f"key_{x}"), F.col("first_document").alias(f"first_{x}"), F.col("last_document").alias(f"last_{x}"))
-    return pairs.join(side("a"), "id_a").join(side("b"), "id_b").filter(_apart() & ~F.col("key_a").eqNullSafe(F.col("key_b"))).select("id_a", "id_b", F.col("score").alias("content_score"))
+    return _similar(cut(_worded(paragraphs.filter(F.length("content") >= MIN_LENGTH)), "worded"), threshold)
 
 
 def signatures(contents: DataFrame) -> DataFrame:

@@ -97,6 +97,50 @@ def test_prefix_join(spark, threshold):
     assert got == {(a, b) for a in sets for b in sets if a < b and share(sets[a], sets[b]) >= threshold - 1e-12}
 
 
+@pytest.mark.parametrize("chance", [0, 2, 9])
+def test_few_sets_of_common_items_meet(spark, monkeypatch, chance):
+    # every word is in hundreds of sets, so sets that shared one rare word were all candidates: 300 times as many as alike
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(60)]
+    sets = {k: rng.sample(words, rng.randint(8, 16)) for k in range(900)}
+    sets |= {1000 + k: sets[k][1:] + ["x"] * (k % 2) for k in range(100)} | {2000: ["w1"], 2001: ["w1"]}
+    counts = {}
+    monkeypatch.setattr(similarity, "CHANCE_BITS", chance)
+    monkeypatch.setattr(similarity, "cut", lambda df, name, of=similarity.cut: counts.setdefault(name, []).append(df.count()) or of(df, name))
+    df = spark.createDataFrame(list(sets.items()), "id long, items array<string>")
+    got = {(r.id_a, r.id_b) for r in similarity.prefix_join(df, None, 0.8).collect()}
+    share = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    assert got == {(a, b) for a in sets for b in sets if a < b and share(sets[a], sets[b]) >= 0.8} and len(got) >= 60
+    assert counts["pairs-that-met"][0] <= 3 * len(got)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 0.95])
+def test_values_miss_no_pair_of_any_size(threshold):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for size in (1, 2, 3, 4, 5, 9, 40, 95, 96, 119, 120, 121, 511, 512, 600, 640):
+        for _ in range(6):
+            one = rng.choice(4000, size, False)
+            kept = one[: max(1, int(np.ceil(size * (threshold + (1 - threshold) * rng.random()))))]
+            two = np.append(kept, 5000 + np.arange(rng.integers(0, 3)))
+            if len(kept) / len(np.union1d(one, two)) < threshold:
+                continue
+            rarity = rng.integers(0, 20, similarity.SLOTS).astype(np.uint8)
+            h = similarity._mix(np.concatenate([one, two]).astype(np.uint64) + np.uint64(1))
+            owner, value, skip = similarity._first_shared(h, np.array([0, size]), np.array([size, len(two)]), rarity, 30, threshold)
+            assert set(value[owner == 0]) & set(value[owner == 1]) and (skip >= 0).all()
+
+
+def test_words_and_keys_read_once_are_those_of_the_text_functions(spark):
+    odd = ["Hello,  World! x_y", "\u00c9t\u00e9 \u2028 \u00a0 na\u00efve's (\u0130stanbul)", "\u039f\u0394\u039f\u03a3 \u03a3\u0391\u03a3. 12\u00bd", "the of and to in", "_ __ |&_ !_?", "  , . ;  :  ! ?  ", "short", "a\u000bb\u001cc\u0085d tail of it", "e\u0301a \u0e01\u0e34 combining", None, ""]
+    rows = paragraphs(spark, [(k, t, 1, "normal", None) for k, t in enumerate(odd)] + [(99, "of no document", None, "normal", None)])
+    got = {r.id: (r.key, r.words) for r in similarity._worded(rows).collect()}
+    told = rows.filter("document_id is not null and content is not null").withColumn("key", T.exact_key("content")).select(
+        "id", F.when(F.col("key") != "", P.digest("key")).alias("key"), F.when(F.length("content") >= 10, T.word_set("content")).alias("w"))
+    assert got == {r.id: (r.key, " ".join(sorted(r.w)) if r.w else None) for r in told.collect()}
+
+
 def test_lsh_is_subset_of_similar(spark, sf_dir):
     found = similarity.lsh_pairs(spark.read.parquet(f"{sf_dir}/paragraphs.parquet"), 0.8).collect()
     assert all(r.id_a < r.id_b and 0.8 <= r.estimate <= 1 for r in found)
