@@ -6,6 +6,7 @@ import difflib
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -30,7 +31,7 @@ DEFAULT_THRESHOLDS = {"content": 0.8, "text": 0.85}
 #: Counters for the frequency of items, and what stands for the rarity of an item of one set.
 SLOTS, ALONE = 1 << 20, 255
 #: Sets that may hold the items of a value by chance, as a power of two.
-CHANCE_BITS = 9
+CHANCE_BITS = 10
 #: Items that a value stands for at most: (sizes of the smaller set from, to below, items). A set of n items has about a
 #: fifth of them to choose from at 0.8, so the number is less for longer sets.
 MOST_ITEMS = ((1, 96, 3), (96, 512, 2), (512, 1 << 31, 1))
@@ -191,14 +192,14 @@ def prefix_join(a: DataFrame, b: DataFrame | None, threshold: float) -> DataFram
 
 
 class _Words(dict):
-    """Words of lower-case text between blanks without what is neither letter, number nor underscore, "" for stopwords;
-    kept as long as they are few."""
+    """What stands between blanks in lower-case text, without what is neither letter, number nor underscore ("" for
+    stopwords), and without the punctuation that keys leave out; kept as long as they are few."""
 
-    def __missing__(self, raw: str) -> str:
+    def __missing__(self, raw: str) -> tuple[str, str]:
         if len(self) > 300_000:
             self.clear()
-        word = "".join(c for c in raw if c == "_" or unicodedata.category(c)[0] in "LN")
-        got = self[raw] = "" if word in _STOP else word
+        word = raw if raw.isascii() and raw.isalnum() else "".join(c for c in raw if c == "_" or unicodedata.category(c)[0] in "LN")
+        got = self[raw] = "" if word in _STOP else word, raw.translate(_NO_PUNCTUATION)
         return got
 
 
@@ -221,10 +222,10 @@ def _worded(paragraphs: DataFrame) -> DataFrame:
         for batch in batches:
             keys, held, sets = [], [], []
             for text, long in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                raw = text.split()
-                key = " ".join(raw).translate(_NO_PUNCTUATION).strip(" ")
+                told = list(map(known.__getitem__, text.split()))
+                key = " ".join([x[1] for x in told]).strip(" ")
                 keys.append(_short(key) if key else None)
-                words = set(map(known.__getitem__, raw)) - {""} if long else None
+                words = {x[0] for x in told} - {""} if long else None
                 held.append(" ".join(sorted(words)) if words else None)
                 sets.append(_short(held[-1]) if words else None)
             words = pa.array(held, pa.string())
@@ -390,12 +391,103 @@ def differences(members: DataFrame) -> DataFrame:
     return out.select("cluster_id", "id", "equal_percent", F.when(F.col("equal_percent") > 80, "high").when(F.col("equal_percent") > 50, "medium").otherwise("low").alias("bucket"))
 
 
+class _Scorer:
+    """Text scores, those of pairs with one and the same second text in a row faster: what the matcher knows of that text is
+    kept. Texts are in lower case without blanks at the ends."""
+
+    def __init__(self) -> None:
+        self.second, self.known, self.letters = None, {}, {}
+
+    def __call__(self, x: str, y: str) -> float:
+        if not x or not y:
+            return 0.0
+        if x in y or y in x:
+            return min(len(x), len(y)) / max(len(x), len(y))
+        if max(len(x), len(y)) > 1000:
+            short, long = (x, y) if len(x) <= len(y) else (y, x)
+            size = min(100, len(short) // 2)
+            if size >= 20:
+                chunks = (short[k : k + size] for k in range(0, len(short), size // 2))
+                return min(sum(len(c) for c in chunks if len(c) >= 20 and c in long) / len(short), 1.0)
+        if y != self.second:
+            self.second, self.known = y, difflib.SequenceMatcher(None, "", y).b2j
+        letters = self.letters.get(x)
+        if letters is None:
+            if len(self.letters) > 20_000:
+                self.letters.clear()
+            letters = self.letters[x] = frozenset(x)
+        return 2.0 * _matching(x, y, self.known, [c for c in letters if c in self.known]) / (len(x) + len(y))
+
+
+def _matching(x: str, y: str, known: dict[str, list[int]], shared: list[str]) -> int:
+    """How many characters difflib's matching blocks hold, with what it knows of the second text (the places of its characters
+    but for very frequent ones) and which of these characters the first text has. Only their places are looked at."""
+    if len(shared) > 8:
+        at = [i for i, c in enumerate(x) if c in known]
+    else:
+        at = []
+        for c in shared:
+            i = x.find(c)
+            while i >= 0:
+                at.append(i)
+                i = x.find(c, i + 1)
+        at.sort()
+    same, queue = 0, [(0, len(x), 0, len(y))]
+    while queue:
+        alo, ahi, blo, bhi = queue.pop()
+        besti, bestj, size, last, lengths = alo, blo, 0, -2, {}
+        for i in at[bisect_left(at, alo) : bisect_left(at, ahi)]:
+            if i != last + 1:
+                lengths = {}
+            last, here = i, {}
+            for j in known[x[i]]:
+                if j < blo:
+                    continue
+                if j >= bhi:
+                    break
+                k = here[j] = lengths.get(j - 1, 0) + 1
+                if k > size:
+                    besti, bestj, size = i - k + 1, j - k + 1, k
+            lengths = here
+        while besti > alo and bestj > blo and x[besti - 1] == y[bestj - 1]:
+            besti, bestj, size = besti - 1, bestj - 1, size + 1
+        while besti + size < ahi and bestj + size < bhi and x[besti + size] == y[bestj + size]:
+            size += 1
+        if size:
+            same += size
+            if alo < besti and blo < bestj:
+                queue.append((alo, besti, blo, bestj))
+            if besti + size < ahi and bestj + size < bhi:
+                queue.append((besti + size, ahi, bestj + size, bhi))
+    return same
+
+
+def _pair_scores(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` (id_a, id_b, content_score) with ``text_score`` of their texts (id, text), as :func:`text_scores` has it.
+    Texts meet their pairs in the order of the first and then of the second, so a text of many pairs goes through the exchange
+    packed, and is taken apart once."""
+
+    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer()
+        for batch in batches:
+            batch = batch.take(pa.array(np.argsort(batch.column(1).to_numpy(), kind="stable")))
+            scores = [scorer(x, y) for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(scores, pa.float64())], ["id_a", "id_b", "content_score", "text_score"])
+
+    side = lambda x: texts.select(F.col("id").alias(f"id_{x}"), F.col("text").alias(x))
+    met = pairs.join(side("a"), "id_a").join(side("b"), "id_b").select("id_a", "id_b", "content_score", "a", "b")
+    return mapped(met, score, "id_a long, id_b long, content_score double, text_score double")
+
+
 def full_search(paragraphs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(id_a, id_b, content_score, text_score, kind): the whole search. Exact matches, each member of a class against
     its smallest id with scores of 1; then pairs of representatives of different contents by words, as
     :func:`similar_classes` has them, with their text score, 0.01 at least. Nothing for fewer than two usable rows."""
-    exact = exact_classes(paragraphs).filter("id <> class_id").select(F.col("class_id").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("content_score"), F.lit(1.0).alias("text_score"), F.lit("exact").alias("kind"))
-    side = lambda k, x: paragraphs.select(F.col("id").alias(f"id_{x}"), F.col("content").alias(f"content{k}"))
-    pairs = similar_classes(paragraphs, threshold).join(side(1, "a"), "id_a").join(side(2, "b"), "id_b")
-    similar = text_scores(pairs).select("id_a", "id_b", "content_score", F.greatest("text_score", F.lit(0.01)).alias("text_score"), F.lit("similar").alias("kind"))
+    rows = cut(_worded(paragraphs), "worded")
+    keys = cut(rows.filter("key is not null").select("id", "document_id", F.col("key").alias("h")), "exact-keys")
+    exact = _exact(keys).filter("id <> class_id").select(F.col("class_id").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("content_score"), F.lit(1.0).alias("text_score"), F.lit("exact").alias("kind"))
+    pairs = cut(_similar(rows, threshold), "similar-pairs")
+    ends = pairs.select(F.col("id_a").alias("id")).distinct().unionByName(pairs.select(F.col("id_b").alias("id")).distinct())
+    texts = cut(paragraphs.filter("document_id is not null and content is not null").join(ends.distinct(), "id", "left_semi").dropDuplicates(["id"]).select("id", F.lower(F.trim("content")).alias("text")), "texts")
+    similar = _pair_scores(pairs, texts).select("id_a", "id_b", "content_score", F.greatest("text_score", F.lit(0.01)).alias("text_score"), F.lit("similar").alias("kind"))
     return exact.unionByName(similar)

@@ -80,6 +80,28 @@ def test_text_scores_of_long_texts(spark):
     assert similarity.text_scores(spark.createDataFrame([], "content1 string, content2 string")).count() == 0
 
 
+def test_scores_of_many_texts_with_one_second_text():
+    rng = random.Random(9)
+    text = lambda letters, n: "".join(rng.choices(letters, k=n)).strip() or "x"
+    score = similarity._Scorer()
+    for letters in ("abcdefgh ", ".|&_-!? ", "abcdefghijklmnopqrstuvwxyz0123456789 "):
+        for n in (12, 90, 199, 200, 350, 1000):
+            second = text(letters, n)
+            for x in [text(letters, rng.randint(10, n)) for _ in range(6)] + [second[: n // 2] + "q" + second[n // 2 + 3 :], second[3:] + "zz"]:
+                if x not in second and second not in x and max(len(x), len(second)) <= 1000:
+                    assert score(x, second) == difflib.SequenceMatcher(None, x, second).ratio()
+
+
+def test_full_search_scores_pairs_of_one_class(spark):
+    # contents without other words than _ and __ are all alike, and each pair is wanted
+    rng = random.Random(10)
+    texts = [" ".join(["_", *("".join(rng.choices("|&%$#~", k=5)) for _ in range(40)), "__"]) for _ in range(30)]
+    rows = paragraphs(spark, [(k, t, k, "normal", None) for k, t in enumerate(texts)] + [(50, "Exact copy, here", 1, "normal", None), (51, "exact copy here", 2, "normal", None)])
+    got = {(r.id_a, r.id_b): (r.content_score, r.text_score, r.kind) for r in similarity.full_search(rows).collect()}
+    ratio = lambda a, b: max(0.01, difflib.SequenceMatcher(None, texts[a], texts[b]).ratio())
+    assert got == {(a, b): (1.0, ratio(a, b), "similar") for a in range(30) for b in range(a + 1, 30)} | {(50, 51): (1.0, 1.0, "exact")}
+
+
 def test_exact_classes(spark):
     rows = paragraphs(spark, [(1, "Hello, World!", 1, "normal", None), (2, "hello world", 2, "normal", None), (3, "Hello World", 1, "normal", None), (4, "a , b", 3, "normal", None), (5, "a b", 4, "normal", None), (6, None, 5, "normal", None), (7, "", 6, "normal", None), (8, "hello world", None, "normal", None)])
     got = {r.id: (r.class_id, r.copies, r.links) for r in similarity.exact_classes(rows).collect()}
@@ -97,7 +119,7 @@ def test_prefix_join(spark, threshold):
     assert got == {(a, b) for a in sets for b in sets if a < b and share(sets[a], sets[b]) >= threshold - 1e-12}
 
 
-@pytest.mark.parametrize("chance", [0, 2, 9])
+@pytest.mark.parametrize("chance", [0, 2, 10])
 def test_few_sets_of_common_items_meet(spark, monkeypatch, chance):
     # every word is in hundreds of sets, so sets that shared one rare word were all candidates: 300 times as many as alike
     rng = random.Random(6)
